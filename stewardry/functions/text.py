@@ -74,7 +74,7 @@ def iso_time(at: Column) -> Column:
     """ISO text with microseconds only when there are any."""
     whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
     micros = F.date_format(at, "SSSSSS")
-    return F.when(micros == "000000", whole).otherwise(F.concat_ws(".", whole, micros))
+    return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
 def matches_any(query: str, columns: list[str]) -> Column:
