@@ -641,10 +641,10 @@ SELECT application_id, id AS attachment_id, safe AS original_name, id || '-' ||
 oracle("attachment_sizes", "applications uploads", """
 SELECT a.id AS application_id, count(f.id) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size
 FROM applications a LEFT JOIN files f ON f.application_id = a.id GROUP BY a.id""", FILES)
-oracle("schema_evolve", "applications uploads", """
-SELECT a.id, app_no, status, FALSE AS is_duplicate, count(f.id) AS files
-FROM applications a LEFT JOIN files f ON f.application_id = a.id
-WHERE status IN ('draft', 'published') GROUP BY a.id, app_no, status""", FILES)
+oracle("schema_evolve", "applications", """
+SELECT id, app_no, status, CAST(CASE status WHEN 'draft' THEN 1 ELSE 0 END AS BIGINT) AS files,
+       CASE status WHEN 'draft' THEN 'paper-' || id END AS first_file
+FROM applications WHERE status IN ('draft', 'published')""")
 
 oracle("backfill_templates", "templates", """
 SELECT id || '-S' || s_suppkey AS id, 'S' || s_suppkey AS classification_id, field_name, is_required,

@@ -545,31 +545,31 @@ def record_patch(d):
 def schema_evolve(d):
     # rows of the generation before attachments were known, and of the one after
     old = d.applications.filter(F.col("status") == "published").select("id", "app_no", "status")
-    new = attached(d).filter(F.col("status") == "draft").select(
-        "id", "app_no", "status", "attachments"
+    paper = F.struct(F.concat(F.lit("paper-"), "id").alias("id"), F.lit(1).alias("size"))
+    new = d.applications.filter(F.col("status") == "draft").select(
+        "id", "app_no", "status", F.array(paper).alias("attachments")
     )
     merged = tables.add_missing_columns(old, new)
-    return tables.conform_table(merged, "material_applications").select(
-        "id", "app_no", "status", "is_duplicate",
+    return merged.select(
+        "id", "app_no", "status",
         F.coalesce(F.size("attachments"), F.lit(0)).cast("bigint").alias("files"),
+        F.get("attachments", F.lit(0))["id"].alias("first_file"),
     )
 
 
-def attached(d):
+def uploads(d):
     rows = attachments.attachment_rows(d.uploads.distinct())
-    return attachments.append_attachments(d.applications, rows, F.lit(AS_OF).cast("timestamp"))
+    return attachments.accepted_uploads(d.applications, rows)
 
 
 @query
 def attachments_flat(d):
-    return attachments.flat_attachments(attached(d))
+    return uploads(d)
 
 
 @query
 def attachment_sizes(d):
-    return attachments.attachment_sizes(attached(d)).select(
-        "application_id", F.col("files").cast("bigint").alias("files"), "total_size"
-    )
+    return attachments.upload_sizes(d.applications, uploads(d))
 
 
 @query

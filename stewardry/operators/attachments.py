@@ -35,10 +35,33 @@ def attachment_rows(uploads: DataFrame, url_prefix: str = "/api/applications") -
     )
 
 
+def accepted_uploads(applications: DataFrame, rows: DataFrame) -> DataFrame:
+    """One row per attachment that goes to a draft: the form to keep at any volume."""
+    drafts = applications.filter(F.col("status") == "draft").select(
+        F.col("id").alias("application_id")
+    )
+    return rows.join(drafts, "application_id", "left_semi").select(
+        "application_id", "attachment.*"
+    ).withColumnRenamed("id", "attachment_id")
+
+
+def upload_sizes(applications: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Number and total size of each application's attachments, pre-summed before the shuffle."""
+    sums = accepted.groupBy("application_id").agg(
+        F.count("*").alias("files"), F.sum("size").alias("total_size")
+    )
+    return (
+        applications.select(F.col("id").alias("application_id"))
+        .join(sums, "application_id", "left")
+        .na.fill(0, ["files", "total_size"])
+    )
+
+
 def append_attachments(applications: DataFrame, rows: DataFrame, at: Column) -> DataFrame:
-    """Append a batch of attachments to drafts, in upload order.
+    """Append a batch of attachments to drafts' array column, in upload order.
 
-    The column is an array by the data model, so one application's files share a row.
+    For exchange in the row layout: one application's files share a row, a form's worth.
+    :func:`accepted_uploads` keeps them as rows of their own.
     """
     added = (
         rows.groupBy(F.col("application_id").alias("id"))

@@ -1,14 +1,15 @@
 """Duplicate detection of candidate names against active golden records.
 
 The substring condition is answered by 4-gram equality, so there is no nested loop:
-golden names are cut into 4-grams, only grams that start some candidate name are kept,
-and each gram keeps just the golden records a candidate can reach under the cap. Every
-candidate then needs two single-row lookups and row-wise scoring.
+golden names are cut into 4-grams and each gram keeps just the golden records a candidate
+can reach under the cap. Every candidate name then needs two single-row lookups and
+row-wise scoring.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,7 +24,8 @@ HIT = "array<struct<material_code:string,material_name:string,similarity:double,
 def _first_rows(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
     """First ``cap`` rows per key by code; tasks cut their groups before the shuffle."""
     order = Window.partitionBy(*keys).orderBy("code", "golden_id")
-    return df.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= cap).drop("_rank")
+    ranked = df.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") <= cap).drop("_rank")
 
 
 def _fold(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -33,44 +35,74 @@ def _fold(df: DataFrame, key: str, name: str) -> DataFrame:
     )
 
 
-def active_names(golden: DataFrame) -> DataFrame:
-    return golden.filter((F.col("status") == "active") & F.col("material_name").isNotNull()).select(
+def active_names(golden: DataFrame, cap: int) -> DataFrame:
+    """Active records, at most ``cap`` per raw name: no candidate can reach further ones.
+
+    Records of one raw name share their lower-case name and all their grams, so the cut
+    happens once, before names are cut up, and a hot name shrinks before any shuffle.
+    """
+    active = golden.filter(
+        (F.col("status") == "active") & F.col("material_name").isNotNull()
+    ).select(
         F.col("id").alias("golden_id"),
         F.col("material_code").alias("code"),
         F.col("material_name").alias("raw_name"),
-        F.lower("material_name").alias("lower_name"),
     )
+    return _first_rows(active, ["raw_name"], cap)
 
 
-def exact_hits(names: DataFrame, active: DataFrame, cap: int) -> DataFrame:
-    """``name, exact``: golden records whose lower-case name equals the candidate's."""
-    wanted = names.select("name")
-    rows = active.withColumnRenamed("lower_name", "name").join(wanted, "name", "left_semi")
+def exact_hits(active: DataFrame, cap: int, names: DataFrame | None = None) -> DataFrame:
+    """``name, exact``: the first records per lower-case name."""
+    rows = active.withColumn("name", F.lower("raw_name"))
+    if names is not None and fits_broadcast(names):
+        rows = rows.join(F.broadcast(names.select("name")), "name", "left_semi")
     return _fold(_first_rows(rows, ["name"], cap), "name", "exact")
 
 
-def prefix_hits(names: DataFrame, active: DataFrame, cap: int) -> DataFrame:
-    """``prefix, near``: the golden records reachable from a prefix, at most ``2 * cap``.
+def prefix_hits(
+    active: DataFrame, per_name: int, cap: int, names: DataFrame | None = None
+) -> DataFrame:
+    """``prefix, near``: the records reachable from a prefix, at most ``per_name + cap``.
 
-    A candidate leaves out one raw name only (its own text). With at most ``cap`` records
-    kept per raw name, the first ``2 * cap`` of a prefix hold every candidate's first
-    ``cap``. Records of one raw name share all grams, so that first cut happens once,
-    before the names are cut up.
+    A candidate leaves out one raw name only (its own text). With at most ``per_name``
+    records kept per raw name, the first ``per_name + cap`` of a prefix hold every
+    candidate's first ``cap``. Only these few rows per gram and task are shuffled, not the
+    grams.
     """
-    prefixes = materialize(
-        names.filter(F.col("prefix").isNotNull()).select("prefix").distinct()
-    )
-    pieces = _first_rows(active, ["raw_name"], cap).select(
+    pieces = active.select(
         "code", "golden_id", "raw_name",
-        F.explode(grams(F.col("lower_name"), C.PREFIX_CHARS)).alias("prefix"),
+        F.explode(grams(F.lower("raw_name"), C.PREFIX_CHARS)).alias("prefix"),
+    )
+    if names is not None:
+        prefixes = materialize(
+            names.filter(F.col("prefix").isNotNull()).select("prefix").distinct()
+        )
+        if fits_broadcast(prefixes):
+            pieces = pieces.join(F.broadcast(prefixes), "prefix", "left_semi")
+    return _fold(_first_rows(pieces, ["prefix"], per_name + cap), "prefix", "near")
+
+
+class GoldenIndex(NamedTuple):
+    """What candidates look up: ``exact`` by name and ``near`` by prefix, one row per key."""
+
+    exact: DataFrame
+    near: DataFrame
+
+
+def build_index(
+    golden: DataFrame,
+    names: DataFrame | None = None,
+    exact_cap: int = C.EXACT_CAP,
+    partial_cap: int = C.PARTIAL_CAP,
+) -> GoldenIndex:
+    """Index of a golden snapshot, limited to what ``names`` can ask for when they are few."""
+    if min(exact_cap, partial_cap) < 1:
+        raise ValueError("caps must be at least 1")
+    per_name = max(exact_cap, partial_cap)
+    active = active_names(golden, per_name)
+    return GoldenIndex(
+        exact_hits(active, exact_cap, names), prefix_hits(active, per_name, partial_cap, names)
     )
-    if fits_broadcast(prefixes):
-        wanted = pieces.join(F.broadcast(prefixes), "prefix", "left_semi")
-        kept = _first_rows(wanted, ["prefix"], 2 * cap)
-    else:
-        # too many prefixes to broadcast: cut each gram's rows first, then match the rest
-        kept = _first_rows(pieces, ["prefix"], 2 * cap).join(prefixes, "prefix", "left_semi")
-    return _fold(kept, "prefix", "near")
 
 
 def _score_exact() -> Column:
@@ -145,34 +177,36 @@ def candidate_names(candidates: DataFrame, name: str = "material_name") -> DataF
     )
 
 
-def match_names(
-    names: DataFrame, golden: DataFrame, exact_cap: int, partial_cap: int
-) -> DataFrame:
-    """Names with their ``exact`` and ``near`` golden records."""
-    active = active_names(golden)
-    return names.join(exact_hits(names, active, exact_cap), "name", "left").join(
-        prefix_hits(names, active, partial_cap), "prefix", "left"
-    )
+def match_names(names: DataFrame, index: GoldenIndex) -> DataFrame:
+    """Names with their ``exact`` and ``near`` records: two lookups of one row each."""
+    return names.join(index.exact, "name", "left").join(index.near, "prefix", "left")
 
 
 def check_duplicates(
     candidates: DataFrame,
-    golden: DataFrame,
+    golden: DataFrame | None = None,
     exact_cap: int = C.EXACT_CAP,
     partial_cap: int = C.PARTIAL_CAP,
     similarity: Callable[[Column, Column], Column] = token_overlap,
+    index: GoldenIndex | None = None,
 ) -> DataFrame:
-    """Add ``dedup_result`` and ``is_duplicate`` to every candidate."""
+    """Add ``dedup_result`` and ``is_duplicate`` to every candidate.
+
+    Pass ``golden``, or an ``index`` built once when many small batches are checked.
+    """
     kept = [c for c in candidates.columns if c not in ("dedup_result", "is_duplicate")]
     names = materialize(candidate_names(candidates))
+    if index is None:
+        index = build_index(golden, names, exact_cap, partial_cap)
     empty = F.array().cast(HIT)
     hits = F.concat(
         F.coalesce(_score_exact(), empty),
         F.coalesce(_score_near(partial_cap, similarity), empty),
     )
     results = (
-        match_names(names, golden, exact_cap, partial_cap)
+        match_names(names, index)
         .select("name", hits.alias("_hits"))
+        .filter(F.size("_hits") > 0)
         .select("name", _best_first(F.col("_hits")).alias("_best"))
     )
     best = F.coalesce("_best", empty)
@@ -203,9 +237,10 @@ def similar_rows(checked: DataFrame, key: str = "id") -> DataFrame:
 def exact_rows(candidates: DataFrame, golden: DataFrame, cap: int = C.EXACT_CAP) -> DataFrame:
     """One row per candidate and exact hit."""
     names = materialize(candidate_names(candidates))
-    hits = exact_hits(names, active_names(golden), cap)
+    hits = exact_hits(active_names(golden, cap), cap, names)
     return (
         candidates.select("id", normalise(F.col("material_name")).alias("name"))
+        .filter(F.length("name") >= C.MIN_NAME_CHARS)
         .join(hits, "name")
         .select("id", F.explode("exact").alias("g"))
         .select("id", F.col("g.code").alias("material_code"))
@@ -217,10 +252,8 @@ def containment_rows(
 ) -> DataFrame:
     """One row per candidate and capped containment hit, with its unrounded score."""
     names = materialize(candidate_names(candidates))
-    hits = (
-        names.join(prefix_hits(names, active_names(golden), cap), "prefix")
-        .select("name", _near_rows(cap).alias("near"))
-    )
+    near = prefix_hits(active_names(golden, cap), cap, cap, names)
+    hits = names.join(near, "prefix").select("name", _near_rows(cap).alias("near"))
     return (
         candidates.select("id", normalise(F.col("material_name")).alias("name"))
         .join(hits, "name")

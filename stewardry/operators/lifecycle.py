@@ -1,9 +1,9 @@
 """Approval lifecycle: replaying actions against the status machine.
 
 Running a series of actions maps every start status to an end status, and such maps
-compose associatively. So an application's actions are cut into short runs, each run is
-folded to its map in parallel, and the maps are composed level by level. No task ever
-folds a whole hot application. The machine has no cycle, so a map also carries the few
+compose associatively. So the actions of a hot application are cut into short runs, each
+run is folded to its map in parallel, and the maps are composed level by level; no task
+ever holds all its actions. The machine has no cycle, so a map also carries the few
 actions that took effect (at most one per level of the machine).
 """
 
@@ -13,10 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ACTION_ROLES, APPLICATION_STATUSES, TRANSITIONS
+from ..session import hint_if_small, materialize
 from .numbering import ordered_positions
 
-RUN_BITS = 12  # rows (or maps) folded by one aggregate call: 2 ** RUN_BITS
-LEVELS = 4  # run sizes grow by 2 ** RUN_BITS per level
+RUN_BITS = 12  # rows, or maps of the level below, that one group collects
+RUN_ROWS = 2**RUN_BITS
+LEVELS = 3  # 4096-fold levels between runs and whole applications
 
 TAKEN = "array<struct<pos:bigint,event_id:string,at:timestamp,action:string,source:int,target:int>>"
 IDENTITY = (
@@ -102,36 +104,44 @@ def _compose(first: Column, second: Column) -> Column:
     )
 
 
-def run_maps(placed: DataFrame) -> DataFrame:
-    """``app_id, run``: the status map of each application's actions, composed in levels."""
-    start = F.expr(IDENTITY)
-    runs = (
-        placed.filter(F.col("moves").isNotNull())
-        .groupBy("app_id", F.shiftright("pos", RUN_BITS).alias("part"))
-        .agg(
-            F.sort_array(
-                F.collect_list(F.struct("pos", "event_id", "at", "action", "moves"))
-            ).alias("events")
-        )
-        .select("app_id", "part", F.aggregate("events", start, _step).alias("run"))
-    )
-    for _ in range(LEVELS - 1):
-        runs = (
-            runs.groupBy("app_id", F.shiftright("part", RUN_BITS).alias("next"))
-            .agg(F.sort_array(F.collect_list(F.struct("part", "run"))).alias("runs"))
-            .select(
-                "app_id",
-                F.col("next").alias("part"),
-                F.aggregate("runs", start, lambda a, r: _compose(a, r.run)).alias("run"),
-            )
-        )
-    return (
-        runs.groupBy("app_id")
-        .agg(F.sort_array(F.collect_list(F.struct("part", "run"))).alias("runs"))
-        .select(
-            "app_id", F.aggregate("runs", start, lambda a, r: _compose(a, r.run)).alias("run")
-        )
+def _fold_runs(rows: DataFrame, *keys) -> DataFrame:
+    """``keys, run``: the status map of each group, of at most ``RUN_ROWS`` actions."""
+    events = F.sort_array(
+        F.collect_list(F.struct("pos", "event_id", "at", "action", "moves"))
     )
+    folded = F.aggregate("events", F.expr(IDENTITY), _step)
+    return _keyed(rows, keys, events, "events", folded)
+
+
+def _compose_runs(runs: DataFrame, *keys) -> DataFrame:
+    """``keys, run``: the maps of each group composed in order."""
+    maps = F.sort_array(F.collect_list(F.struct("part", "run")))
+    composed = F.aggregate("maps", F.expr(IDENTITY), lambda a, r: _compose(a, r.run))
+    return _keyed(runs, keys, maps, "maps", composed)
+
+
+def _keyed(rows: DataFrame, keys: tuple, collected: Column, name: str, run: Column) -> DataFrame:
+    grouped = rows.groupBy(*keys).agg(collected.alias(name))
+    return grouped.select(*grouped.columns[:-1], run.alias("run"))
+
+
+def run_maps(placed: DataFrame) -> DataFrame:
+    """``app_id, run``: the status map of each application's actions.
+
+    Applications with few actions are folded in one go. Those counted to have more go
+    through runs of ``RUN_ROWS`` rows whose maps are composed in levels.
+    """
+    counted = placed.groupBy("app_id").agg(F.count("*").alias("rows"))
+    hot = materialize(counted.filter(F.col("rows") > RUN_ROWS).select("app_id"))
+    if hot.isEmpty():
+        return _fold_runs(placed, "app_id")
+    hot = hint_if_small(hot)
+    cold = _fold_runs(placed.join(hot, "app_id", "left_anti"), "app_id")
+    part = lambda column: F.shiftright(column, RUN_BITS).alias("part")
+    runs = _fold_runs(placed.join(hot, "app_id", "left_semi"), "app_id", part("pos"))
+    for _ in range(LEVELS):
+        runs = _compose_runs(runs, "app_id", part("part"))
+    return cold.unionByName(_compose_runs(runs, "app_id"))
 
 
 def place_actions(actions: DataFrame) -> DataFrame:
@@ -166,19 +176,9 @@ def replay(placed: DataFrame, initial: DataFrame | None = None) -> DataFrame:
             maps, "app_id"
         )
     end = F.element_at("run", F.col("_from"))
-    quiet = (  # applications whose every action was refused outright
-        placed.select("app_id").distinct().join(maps.select("app_id"), "app_id", "left_anti")
-    )
-    states = begun.select(
+    return begun.select(
         "app_id", status_name(end.state).alias("status"), end.taken.alias("taken")
     )
-    start = F.lit("draft")
-    if initial is not None:
-        quiet = quiet.join(initial.select("app_id", "status"), "app_id")
-        start = F.col("status")
-    return states.unionByName(
-        quiet.select("app_id", start.alias("status"), F.array().cast(TAKEN).alias("taken"))
-    )
 
 
 def taken_actions(states: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import hint_if_small, materialize
 
 PART_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
@@ -42,6 +42,8 @@ def number_within(
         "_part",
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
+    # with few keys (years, rules) the rows stay where they are
+    shifts = hint_if_small(materialize(shifts))
     return (
         placed.join(shifts, [*keys, "_part"])
         .withColumn(name, F.col("_pos") + F.col("_shift"))

@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import check_duplicates
+from ..operators.dedup import GoldenIndex, build_index, check_duplicates
 from ..operators.validate import validate
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 
 
 def validate_stream(
@@ -30,11 +30,13 @@ def dedup_stream(
 ) -> StreamingQuery:
     """Check every micro-batch against a golden snapshot and write it to ``sink``.
 
-    A batch is written to a folder named by its id, so a repeated batch replaces itself.
+    The snapshot is indexed once, so a batch costs two lookups. A batch is written to a
+    folder named by its id, so a repeated batch replaces itself.
     """
+    index = GoldenIndex(*[materialize(part) for part in build_index(golden)])
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        checked = check_duplicates(batch, golden)
+        checked = check_duplicates(batch, index=index)
         checked.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return (
