@@ -573,7 +573,7 @@ SELECT id, app_no, material_code FROM applications
 WHERE status = 'approved' AND id NOT IN (SELECT id FROM fresh)""", PUBLISH)
 
 DECIDED = f"""{MACHINE},
-once AS (SELECT DISTINCT *, stage || '_' || CASE WHEN approved THEN 'approve' ELSE 'reject' END AS action
+once AS (SELECT *, stage || '_' || CASE WHEN approved THEN 'approve' ELSE 'reject' END AS action
          FROM decisions),
 seq AS (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY "at", decision_id) AS n FROM once),
 walked AS (
@@ -593,9 +593,9 @@ SELECT id, f.status, coalesce(a.approved, FALSE) AS admin_approved, a.acted_by A
 FROM final f LEFT JOIN effective a ON a.application_id = id AND a.stage = 'admin'
 LEFT JOIN effective d ON d.application_id = id AND d.stage = 'dept'""", DECIDED)
 oracle("approve_audit", "applications decisions old_logs", f"""
-SELECT 'log-' || decision_id AS id, app_no || '-S' || (old + place) AS step_id, step_name,
+SELECT application_id, app_no || '-S' || (old + place) AS step_id, step_name,
        {STEP} AS step_label, status FROM (
-  SELECT decision_id, app_no, stage || '_approve' AS step_name,
+  SELECT application_id, app_no, stage || '_approve' AS step_name,
          CASE WHEN approved THEN 'success' ELSE 'failed' END AS status, {OLD.format('p')} AS old,
          row_number() OVER (PARTITION BY application_id ORDER BY "at", decision_id) AS place
   FROM effective JOIN applications p ON p.id = application_id)""", DECIDED)
@@ -630,7 +630,7 @@ FROM golden JOIN part ON id = 'G' || p_partkey""")
 
 FILES = """
 files AS (
-  SELECT DISTINCT u.*, CASE WHEN file_name = '' THEN 'attachment' WHEN file_name = 'folder/' THEN 'folder'
+  SELECT u.*, CASE WHEN file_name = '' THEN 'attachment' WHEN file_name = 'folder/' THEN 'folder'
            ELSE replace(split_part(file_name, '/', -1), chr(92), '_') END AS safe
   FROM uploads u JOIN applications a ON a.id = u.application_id WHERE a.status = 'draft')"""
 oracle("attachments_flat", "applications uploads", f"""

@@ -476,7 +476,7 @@ def publish_refused(d):
 
 
 def decided(d):
-    return approve.approve_batch(d.applications, d.decisions.distinct(), d.old_logs)
+    return approve.approve_batch(d.applications, d.decisions, d.old_logs)
 
 
 @query
@@ -490,7 +490,7 @@ def approve_batch(d):
 
 @query
 def approve_audit(d):
-    return decided(d).audit.select("id", "step_id", "step_name", "step_label", "status")
+    return decided(d).audit.select("application_id", "step_id", "step_name", "step_label", "status")
 
 
 @query
@@ -558,7 +558,7 @@ def schema_evolve(d):
 
 
 def uploads(d):
-    rows = attachments.attachment_rows(d.uploads.distinct())
+    rows = attachments.attachment_rows(d.uploads)
     return attachments.accepted_uploads(d.applications, rows)
 
 

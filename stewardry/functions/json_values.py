@@ -16,15 +16,21 @@ def attribute_count(json: Column) -> Column:
     return F.coalesce(F.size(F.json_object_keys(json)), F.lit(0))
 
 
-def is_present(value: Column) -> Column:
-    """False for null, empty text, zero, false and empty containers.
+def typed(value: Column) -> Column:
+    """``value, kind``: a variant with the name of its JSON type."""
+    return F.struct(value.alias("value"), F.schema_of_variant(value).alias("kind"))
 
-    The text ``"0"`` is present while the number ``0`` is not, so the JSON type decides.
+
+def is_present(item: Column) -> Column:
+    """Whether a :func:`typed` value counts as given.
+
+    False for null, empty text, zero, false and empty containers. The text ``"0"`` is
+    present while the number ``0`` is not, so the JSON type decides.
     """
-    kind = F.schema_of_variant(value)
+    kind, value = item.kind, item.value
     present = (
-        F.when(kind == "VOID", F.lit(False))
-        .when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        F.when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        .when(kind == "VOID", F.lit(False))
         .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
         .when(kind.startswith("ARRAY"), F.to_json(value) != "[]")
         .when(kind.startswith("OBJECT"), F.to_json(value) != "{}")
@@ -33,9 +39,9 @@ def is_present(value: Column) -> Column:
     return F.coalesce(present, F.lit(False))
 
 
-def value_text(value: Column) -> Column:
-    """Value as shown in messages: bare text for scalars, ``True`` for true, JSON otherwise."""
-    kind = F.schema_of_variant(value)
+def value_text(item: Column) -> Column:
+    """A :func:`typed` value as shown: bare text for scalars, ``True`` for true, else JSON."""
+    kind, value = item.kind, item.value
     return (
         F.when(kind == "BOOLEAN", F.initcap(F.to_json(value)))
         .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(value))

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_FILE_NAME
+from .rows import let
 
 # Fixed pattern: Unicode white space plus the four ASCII separators.
 SPACE = r"[\s\x1c-\x1f]+"
@@ -35,10 +36,12 @@ def grams(text: Column, size: int) -> Column:
 
 def token_overlap(left: Column, right: Column) -> Column:
     """Shared words over the larger word set; null when either side has no words."""
-    a, b = tokens(left), tokens(right)
-    larger = F.greatest(F.size(a), F.size(b))
-    return F.when(
-        (F.size(a) > 0) & (F.size(b) > 0), F.size(F.array_intersect(a, b)) / larger
+    words = F.struct(tokens(left).alias("a"), tokens(right).alias("b"))
+    smaller = lambda w: F.least(F.size(w.a), F.size(w.b))
+    larger = lambda w: F.greatest(F.size(w.a), F.size(w.b))
+    return let(
+        words,
+        lambda w: F.when(smaller(w) > 0, F.size(F.array_intersect(w.a, w.b)) / larger(w)),
     )
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions.rows import unfold
 from ..functions.text import grams, normalise, token_overlap
 from ..session import fits_broadcast, materialize
 
@@ -69,10 +70,11 @@ def prefix_hits(
     candidate's first ``cap``. Only these few rows per gram and task are shuffled, not the
     grams.
     """
-    pieces = active.select(
+    lowered = active.withColumn("lower_name", F.lower("raw_name"))
+    pieces = lowered.select(
         "code", "golden_id", "raw_name",
-        F.explode(grams(F.lower("raw_name"), C.PREFIX_CHARS)).alias("prefix"),
-    )
+        F.explode_outer(grams(F.col("lower_name"), C.PREFIX_CHARS)).alias("prefix"),
+    ).filter(F.col("prefix").isNotNull())
     if names is not None:
         prefixes = materialize(
             names.filter(F.col("prefix").isNotNull()).select("prefix").distinct()
@@ -147,18 +149,23 @@ def _score_near(cap: int, similarity: Callable[[Column, Column], Column]) -> Col
 
 
 def _best_first(hits: Column) -> Column:
-    """Score descending, ties in found order, first row of each code."""
+    """Score descending, ties in found order."""
     keyed = F.transform(
         hits,
         lambda h, i: F.struct(
             (-h.similarity).alias("rank"), i.alias("position"), h.alias("hit")
         ),
     )
-    ordered = F.transform(F.sort_array(keyed), lambda k: k.hit)
+    return F.transform(F.sort_array(keyed), lambda k: k.hit)
+
+
+def _first_per_code(ordered: str) -> Column:
+    """Rows of a sorted array column whose code did not occur before."""
     return F.filter(
         ordered,
         lambda h, i: ~F.exists(
-            F.slice(ordered, F.lit(1), i), lambda earlier: earlier.material_code == h.material_code
+            F.slice(F.col(ordered), F.lit(1), i),
+            lambda earlier: earlier.material_code == h.material_code,
         ),
     )
 
@@ -207,7 +214,8 @@ def check_duplicates(
         match_names(names, index)
         .select("name", hits.alias("_hits"))
         .filter(F.size("_hits") > 0)
-        .select("name", _best_first(F.col("_hits")).alias("_best"))
+        .select("name", _best_first(F.col("_hits")).alias("_ordered"))
+        .select("name", _first_per_code("_ordered").alias("_best"))
     )
     best = F.coalesce("_best", empty)
     flagged = F.exists(F.slice(best, 1, C.FLAG_HITS), lambda h: h.similarity >= C.FLAG_SCORE)
@@ -229,22 +237,22 @@ def check_duplicates(
 
 def similar_rows(checked: DataFrame, key: str = "id") -> DataFrame:
     """One row per reported similar material, ranked from 1."""
-    return checked.select(
-        key, F.posexplode("dedup_result.similar_materials").alias("position", "m")
-    ).select(key, (F.col("position") + 1).alias("rank"), "m.*")
+    hits = checked.select(key, F.col("dedup_result.similar_materials").alias("hits"))
+    return unfold(hits, "hits", [key]).select(
+        key, (F.col("position") + 1).alias("rank"), "item.*"
+    )
 
 
 def exact_rows(candidates: DataFrame, golden: DataFrame, cap: int = C.EXACT_CAP) -> DataFrame:
     """One row per candidate and exact hit."""
     names = materialize(candidate_names(candidates))
     hits = exact_hits(active_names(golden, cap), cap, names)
-    return (
+    found = (
         candidates.select("id", normalise(F.col("material_name")).alias("name"))
         .filter(F.length("name") >= C.MIN_NAME_CHARS)
         .join(hits, "name")
-        .select("id", F.explode("exact").alias("g"))
-        .select("id", F.col("g.code").alias("material_code"))
     )
+    return unfold(found, "exact", ["id"]).select("id", F.col("item.code").alias("material_code"))
 
 
 def containment_rows(
@@ -253,14 +261,15 @@ def containment_rows(
     """One row per candidate and capped containment hit, with its unrounded score."""
     names = materialize(candidate_names(candidates))
     near = prefix_hits(active_names(golden, cap), cap, cap, names)
-    hits = names.join(near, "prefix").select("name", _near_rows(cap).alias("near"))
-    return (
-        candidates.select("id", normalise(F.col("material_name")).alias("name"))
-        .join(hits, "name")
-        .select("id", "name", F.explode("near").alias("g"))
-        .select(
-            "id",
-            F.col("g.code").alias("material_code"),
-            token_overlap(F.col("name"), F.lower("g.raw_name")).alias("score"),
-        )
+    scored = F.transform(
+        _near_rows(cap),
+        lambda g: F.struct(
+            g.code.alias("material_code"),
+            token_overlap(F.col("name"), F.lower(g.raw_name)).alias("score"),
+        ),
+    )
+    hits = names.join(near, "prefix").select("name", scored.alias("hits"))
+    found = candidates.select("id", normalise(F.col("material_name")).alias("name")).join(
+        hits, "name"
     )
+    return unfold(found, "hits", ["id"]).select("id", "item.*")

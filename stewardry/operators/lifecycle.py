@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import ACTION_ROLES, APPLICATION_STATUSES, TRANSITIONS
+from ..functions.rows import unfold
 from ..session import hint_if_small, materialize
 from .numbering import ordered_positions
 
@@ -182,11 +183,12 @@ def replay(placed: DataFrame, initial: DataFrame | None = None) -> DataFrame:
 
 
 def taken_actions(states: DataFrame) -> DataFrame:
-    """One row per action that took effect."""
-    return states.select("app_id", F.inline("taken")).select(
-        "app_id", "event_id", "at", "action",
-        status_name(F.col("source")).alias("source"),
-        status_name(F.col("target")).alias("target"),
+    """One row per action that took effect, with its place in the application's history."""
+    return unfold(states, "taken", ["app_id"]).select(
+        "app_id", (F.col("position") + 1).alias("place"),
+        "item.event_id", "item.at", "item.action",
+        status_name(F.col("item.source")).alias("source"),
+        status_name(F.col("item.target")).alias("target"),
     )
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..functions.json_values import is_present, object_entries, value_text
+from ..functions.json_values import is_present, object_entries, typed, value_text
+from ..functions.rows import let, unfold
 from ..functions.text import is_filled
 
 REQUIRED_FIELDS = ["material_name", "classification_id", "material_type"]
@@ -74,16 +74,22 @@ def _type_valid() -> Column:
 
 
 def _attribute(template: Column) -> Column:
-    value = F.element_at(F.col("_values"), template.field_name)
-    present = is_present(value)
-    message = F.when(
-        present, F.concat(template.field_label, F.lit(": "), value_text(value))
-    ).otherwise(F.concat(template.field_label, F.lit(C.MSG_ATTRIBUTE_EMPTY)))
-    return _check(
-        F.concat(F.lit("attr_"), template.field_name),
-        present,
-        message,
-        F.concat(F.lit(C.MSG_ATTRIBUTE_MISSING), template.field_label),
+    """The check of one required attribute; its value is looked up and typed once."""
+    found = typed(F.element_at(F.col("_values"), template.field_name))
+    judged = lambda v: F.struct(
+        is_present(v).alias("present"),
+        F.concat(template.field_label, F.lit(": "), value_text(v)).alias("shown"),
+    )
+    return let(
+        let(found, judged),
+        lambda j: _check(
+            F.concat(F.lit("attr_"), template.field_name),
+            j.present,
+            F.when(j.present, j.shown).otherwise(
+                F.concat(template.field_label, F.lit(C.MSG_ATTRIBUTE_EMPTY))
+            ),
+            F.concat(F.lit(C.MSG_ATTRIBUTE_MISSING), template.field_label),
+        ),
     )
 
 
@@ -162,6 +168,7 @@ def validate(
 
 def check_rows(validated: DataFrame, key: str = "id") -> DataFrame:
     """One row per check, in check order."""
-    return validated.select(
-        key, F.posexplode("validation_result.checks").alias("position", "c")
-    ).select(key, "position", "c.check", "c.passed", "c.message")
+    checks = validated.select(key, F.col("validation_result.checks").alias("checks"))
+    return unfold(checks, "checks", [key]).select(
+        key, "position", "item.check", "item.passed", "item.message"
+    )

@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.audit import record_events
+from ..operators.audit import batch_audit, with_app_no
 from ..operators.lifecycle import (
     authorised, place_actions, refused_actions, replay, taken_actions,
 )
@@ -52,7 +52,7 @@ def approve_batch(
     states = materialize(replay(placed, initial))
     effective = materialize(
         taken_actions(states)
-        .select("event_id")
+        .select("event_id", "place")
         .join(
             decisions.withColumn("event_id", F.col("decision_id").cast("string")), "event_id"
         )
@@ -84,9 +84,9 @@ def approve_batch(
             columns.append(F.when(taken.isNotNull(), taken[field]).otherwise(F.col(c)).alias(c))
         else:
             columns.append(F.col(c))
-    events = effective.select(
-        F.concat(F.lit("log-"), "event_id").alias("id"),
+    steps = effective.select(
         "application_id",
+        "place",
         F.concat(F.col("stage"), F.lit("_approve")).alias("step_name"),
         F.col("acted_by").alias("executed_by"),
         F.col("acted_by_name").alias("executed_by_name"),
@@ -96,6 +96,6 @@ def approve_batch(
     )
     return Decided(
         joined.select(columns),
-        record_events(events, applications, logs),
+        batch_audit(with_app_no(steps, applications), logs),
         refused_actions(placed, states, initial),
     )

@@ -8,13 +8,14 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.audit import batch_audit
 from ..operators.hierarchy import paths
 from ..operators.quality import run_quality_tests
 from ..schemas import DEFAULTS, GOLDEN_RECORDS
 from ..session import materialize
 from ..sources.feeds import FQN_PREFIX, catalog_feed, entity_fqn, publish_feed
 from ..sources.tables import conform
-from .submit import batch_audit, system_step
+from .submit import system_step
 
 
 class Published(NamedTuple):
@@ -86,10 +87,11 @@ def publish_batch(
     refused = approved.join(
         records.select(F.col("application_id").alias("id")), "id", "left_anti"
     ).select("id", "app_no", "material_code")
+    steps = publish_steps(records, catalog_enabled, publish_enabled)
     return Published(
         new_golden,
         done.withColumn("status", F.lit("published")),
-        batch_audit(publish_steps(records, catalog_enabled, publish_enabled), logs, at),
+        batch_audit(steps.withColumn("executed_at", at), logs),
         publish_feed(new_golden),
         catalog_feed(new_golden, fqn_prefix),
         refused,
@@ -120,5 +122,5 @@ def publish_steps(records: DataFrame, catalog_enabled: bool, publish_enabled: bo
         ),
     )
     return tested.select(
-        "application_id", "app_no", F.col("id").alias("golden_record_id"), F.inline(steps)
+        "application_id", "app_no", F.col("id").alias("golden_record_id"), F.inline_outer(steps)
     )

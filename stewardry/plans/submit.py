@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import SYSTEM_USER, SYSTEM_USER_NAME
-from ..operators.audit import as_audit_rows, logged_steps, step_id
+from ..operators.audit import batch_audit
 from ..operators.codes import advance_rules, application_numbers, generate_codes
 from ..operators.dedup import check_duplicates
 from ..operators.validate import validate
@@ -36,24 +36,6 @@ def create_batch(
     return conform_table(application_numbers(stamped, existing, numbering), "material_applications")
 
 
-def batch_audit(
-    steps: DataFrame, logs: DataFrame, at: Column
-) -> DataFrame:
-    """Audit rows of a batch job whose steps have a known place within their application.
-
-    ``steps`` has ``application_id, app_no, place, step_name, status, details`` plus
-    executor columns; a place is small and fixed by the job, so nothing is numbered.
-    """
-    number = F.coalesce("logged", F.lit(0)) + F.col("place")
-    rows = (
-        steps.join(logged_steps(logs), "app_no", "left")
-        .withColumn("step_id", step_id(F.col("app_no"), number))
-        .withColumn("id", F.concat(F.lit("log-"), "step_id"))
-        .withColumn("executed_at", at)
-    )
-    return as_audit_rows(rows)
-
-
 def system_step(place: int, name: str, status: Column, details: Column) -> Column:
     """A step the system executes, as a struct for :func:`batch_audit`."""
     return _step(place, name, status, details, F.lit(SYSTEM_USER), F.lit(SYSTEM_USER_NAME))
@@ -85,7 +67,7 @@ def submit_steps(outcome: DataFrame) -> DataFrame:
         _step(4, "submit", success, code, F.col("created_by"), F.col("created_by_name")),
     )
     taken = F.when(passed, steps).otherwise(F.slice(steps, 1, 1))
-    return outcome.select(F.col("id").alias("application_id"), "app_no", F.inline(taken))
+    return outcome.select(F.col("id").alias("application_id"), "app_no", F.inline_outer(taken))
 
 
 def submit_batch(
@@ -123,5 +105,5 @@ def submit_batch(
         .withColumn("submitted_at", F.when(passed, at))
         .withColumn("updated_at", at)
     )
-    audit = batch_audit(submit_steps(outcome), logs, at)
+    audit = batch_audit(submit_steps(outcome).withColumn("executed_at", at), logs)
     return Submitted(outcome.drop("rule_id", "seq"), audit, advance_rules(rules, outcome))

@@ -13,6 +13,8 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
 ]
 
+ROW_TABLES = ["part", "orders", "lineitem", "events"]
+
 # Three levels: region -> nation -> supplier.
 CLASSIFICATIONS = """
 SELECT 'R' || r_regionkey AS id, CAST(NULL AS VARCHAR(10)) AS parent_id,
@@ -247,8 +249,16 @@ SQL = {
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables, on at least one partition per core.
+
+    A small table is one file with one row group, so one task would do all row work; a
+    table of many files is left as it is.
+    """
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name in ROW_TABLES and table.rdd.getNumPartitions() < cores:
+        return table.repartition(cores)
+    return table
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str, **replaced: DataFrame) -> DataFrame:
