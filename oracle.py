@@ -127,7 +127,7 @@ FROM principals WHERE role <> 'guest'""")
 
 # ---- constraints and validation ---------------------------------------------------
 
-oracle("constraint_violations", "classifications templates applications", """
+oracle("constraint_violations", "classifications templates applications logs", """
 SELECT 'material_classifications' AS source, id, 'code:max_length' AS violation
 FROM classifications WHERE length(code) > 10
 UNION ALL SELECT 'material_classifications', id, 'name:max_length'
@@ -143,7 +143,9 @@ WHERE classification_id IS NULL
 UNION ALL SELECT 'material_applications', id, 'material_type:required' FROM applications
 WHERE material_type IS NULL
 UNION ALL SELECT 'material_applications', id, 'material_type:allowed' FROM applications
-WHERE material_type NOT IN ('raw', 'semi', 'finished', 'auxiliary', 'spare')""")
+WHERE material_type NOT IN ('raw', 'semi', 'finished', 'auxiliary', 'spare')
+UNION ALL SELECT 'audit_logs', id, 'step_name:allowed' FROM logs WHERE step_name = 'archive'
+UNION ALL SELECT 'audit_logs', id, 'status:allowed' FROM logs WHERE status = 'odd'""")
 
 oracle("referential_audit", "classifications templates applications golden rules", """
 SELECT 'classification.parent' AS relation, id, parent_id AS value FROM classifications
@@ -569,7 +571,8 @@ FROM (SELECT *, {OLD.format('fresh')} AS old FROM fresh),
      (VALUES (1, 'create_gr'), (2, 'publish_btp'), (3, 'sync_om'), (4, 'om_test')) s(place, step_name)
 """, PUBLISH)
 oracle("publish_refused", PUBLISH_TABLES, """
-SELECT id, app_no, material_code FROM applications
+SELECT id, material_code, CASE WHEN id IN (SELECT application_id FROM golden)
+         THEN 'recorded' ELSE 'code_taken' END AS reason FROM applications
 WHERE status = 'approved' AND id NOT IN (SELECT id FROM fresh)""", PUBLISH)
 
 DECIDED = f"""{MACHINE},

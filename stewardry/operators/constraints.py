@@ -7,7 +7,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import FIELD_TYPES, MATERIAL_TYPES
+from ..constants import (
+    APPLICATION_STATUSES, FIELD_TYPES, GOLDEN_STATUSES, MATERIAL_TYPES, STATUS_LABELS, STEP_LABELS,
+)
 
 
 class Constraint(NamedTuple):
@@ -53,6 +55,27 @@ CONSTRAINTS = {
         Constraint("material_name", required=True, max_length=200),
         Constraint("classification_id", required=True),
         Constraint("material_type", required=True, allowed=MATERIAL_TYPES),
+        Constraint("status", allowed=APPLICATION_STATUSES),
+        Constraint("material_code", max_length=50),
+    ],
+    "code_rules": [
+        Constraint("name", required=True, max_length=100),
+        Constraint("pattern", required=True, max_length=200),
+        Constraint("prefix", max_length=10),
+        Constraint("suffix", max_length=10),
+    ],
+    "golden_records": [
+        Constraint("material_code", required=True, max_length=50),
+        Constraint("material_name", required=True, max_length=200),
+        Constraint("classification_id", required=True),
+        Constraint("material_type", required=True, allowed=MATERIAL_TYPES),
+        Constraint("status", allowed=GOLDEN_STATUSES),
+    ],
+    "audit_logs": [
+        Constraint("step_id", required=True, max_length=20),
+        Constraint("step_name", required=True, allowed=list(STEP_LABELS)),
+        Constraint("executed_by", required=True, max_length=50),
+        Constraint("status", required=True, allowed=list(STATUS_LABELS)),
     ],
 }
 

@@ -53,17 +53,26 @@ def status_name(number: Column) -> Column:
     return F.element_at(F.array(*[F.lit(s) for s in APPLICATION_STATUSES]), number)
 
 
-def authorised(actions: DataFrame, principals: DataFrame | None) -> DataFrame:
-    """Add ``allowed``: whether the acting user's role may take the action at all."""
+def authorised(
+    actions: DataFrame, principals: DataFrame | None, owners: DataFrame | None = None
+) -> DataFrame:
+    """Add ``allowed``: whether the acting user's role may take the action at all.
+
+    With ``owners`` (``app_id, created_by``) applicants may act on their own applications
+    only.
+    """
     if principals is None:
         return actions.withColumn("allowed", F.lit(True))
     roles = principals.select(F.col("user_id").alias("acted_by"), "role")
     may = _literal_map({a: F.array(*[F.lit(r) for r in rs]) for a, rs in ACTION_ROLES.items()})
     permitted = F.array_contains(F.element_at(may, F.col("action")), F.col("role"))
-    return (
-        actions.join(roles, "acted_by", "left")
-        .withColumn("allowed", F.coalesce(permitted, F.lit(False)))
-        .drop("role")
+    judged = actions.join(roles, "acted_by", "left")
+    if owners is not None:
+        judged = judged.join(owners.select("app_id", "created_by"), "app_id", "left")
+        own = F.col("created_by") == F.col("acted_by")
+        permitted = permitted & ((F.col("role") != "applicant") | own)
+    return judged.withColumn("allowed", F.coalesce(permitted, F.lit(False))).select(
+        *actions.columns, "allowed"
     )
 
 

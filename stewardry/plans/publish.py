@@ -84,9 +84,14 @@ def publish_batch(
     done = applications.join(
         records.select(F.col("application_id").alias("id")), "id", "left_semi"
     )
-    refused = approved.join(
-        records.select(F.col("application_id").alias("id")), "id", "left_anti"
-    ).select("id", "app_no", "material_code")
+    refused = (
+        approved.join(records.select(F.col("application_id").alias("id")), "id", "left_anti")
+        .join(recorded.withColumn("_known", F.lit(True)), "id", "left")
+        .select(
+            "id", "app_no", "material_code",
+            F.when(F.col("_known"), "recorded").otherwise("code_taken").alias("reason"),
+        )
+    )
     steps = publish_steps(records, catalog_enabled, publish_enabled)
     return Published(
         new_golden,

@@ -42,13 +42,15 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from there.
+    """Write ``df`` to a table in the checkpoint folder and continue from there.
 
     The files survive the loss of executors, and values that depend on where a row
-    was placed (positions, partition ids) stay fixed for every later reader.
+    was placed (positions, partition ids) stay fixed for every later reader. Readers
+    fetch only the columns they need, and the planner knows the size.
     """
-    checkpoint_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

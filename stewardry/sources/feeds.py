@@ -50,6 +50,11 @@ def stored_or_derived_fqn(prefix: str = FQN_PREFIX):
     )
 
 
+def write_feed(feed: DataFrame, path: str) -> None:
+    """Append a feed as JSON lines for a sender to pick up."""
+    feed.write.mode("append").json(path)
+
+
 def external_log(df: DataFrame) -> DataFrame:
     """Interaction rows in the layout of the external log table."""
     return conform(df, EXTERNAL_LOGS, DEFAULTS["external_system_logs"])

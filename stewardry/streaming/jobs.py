@@ -68,12 +68,15 @@ def step_counts(logs: DataFrame) -> DataFrame:
     return logs.groupBy("step_name", "status").agg(F.count("*").alias("steps"))
 
 
-def read_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table as a file stream."""
+def read_stream(
+    spark: SparkSession, sf_dir: str, name: str, max_bytes: int = 8 << 30
+) -> DataFrame:
+    """A given table as a file stream; ``max_bytes`` bounds what one micro-batch takes in."""
     schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", "*.parquet")
+        .option("maxBytesPerTrigger", max_bytes)
         .parquet(f"{sf_dir}/{name}.parquet*")
     )
 

@@ -102,6 +102,14 @@ def test_roles(spark):
     assert ACTION_ROLES["submit"] == ["applicant", "admin", "data_admin"]
 
 
+def test_applicants_act_on_their_own_only(spark):
+    people = spark.createDataFrame([("u", "applicant"), ("v", "applicant"), ("m", "admin")], "user_id string, role string")
+    owners = spark.createDataFrame([("x", "u"), ("y", "u"), ("z", "u")], "app_id string, created_by string")
+    rows = [("x", 1, "submit", "u"), ("y", 2, "submit", "v"), ("z", 3, "submit", "m")]
+    out = lc.authorised(frame(spark, rows), people, owners).collect()
+    assert {r.app_id: r.allowed for r in out} == {"x": True, "y": False, "z": True}
+
+
 def test_stream_keeps_state_across_batches(spark, tmp_path):
     rnd = random.Random(5)
     rows = [(f"a{rnd.randint(0, 12)}", i, rnd.choice(ACTIONS)) for i in range(300)]

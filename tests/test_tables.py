@@ -49,6 +49,17 @@ def test_external_log_layout(spark):
     assert df.schema == TABLES["external_system_logs"] and df.count() == 1
 
 
+def test_feeds_are_json_lines(spark, tmp_path):
+    golden = tables.load_rows(spark, [{"id": "g", "material_code": "C-1", "material_name": "名"}], "golden_records")
+    path = str(tmp_path / "feed")
+    feeds.write_feed(feeds.publish_feed(golden), path)
+    feeds.write_feed(feeds.catalog_feed(golden, "my.prefix"), path)
+    back = spark.read.json(path).orderBy("payload").collect()
+    assert back[0].entity_fqn == "my.prefix.C-1"
+    assert '"material_name":"名","status":"published","version":1' in back[1].payload
+    assert back[1].target_systems == ["SAP-S4HANA", "SAP-Ariba"]
+
+
 def test_patch_sets_named_columns_only(spark):
     base = spark.createDataFrame([("1", "a", "x", None), ("2", "b", "y", None)], "id string, name string, note string, updated_at timestamp")
     change = spark.createDataFrame([("1", None, "new", ["name"]), ("9", "z", "z", ["name"])], "id string, name string, note string, supplied array<string>")
