@@ -8,7 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..constants import DEFAULT_FILE_NAME
-from .rows import let
 
 # Fixed pattern: Unicode white space plus the four ASCII separators.
 SPACE = r"[\s\x1c-\x1f]+"
@@ -34,15 +33,10 @@ def grams(text: Column, size: int) -> Column:
     )
 
 
-def token_overlap(left: Column, right: Column) -> Column:
-    """Shared words over the larger word set; null when either side has no words."""
-    words = F.struct(tokens(left).alias("a"), tokens(right).alias("b"))
-    smaller = lambda w: F.least(F.size(w.a), F.size(w.b))
-    larger = lambda w: F.greatest(F.size(w.a), F.size(w.b))
-    return let(
-        words,
-        lambda w: F.when(smaller(w) > 0, F.size(F.array_intersect(w.a, w.b)) / larger(w)),
-    )
+def word_overlap(left: Column, right: Column) -> Column:
+    """Shared words over the larger word set; null when either set is empty."""
+    smaller, larger = F.least(F.size(left), F.size(right)), F.greatest(F.size(left), F.size(right))
+    return F.when(smaller > 0, F.size(F.array_intersect(left, right)) / larger)
 
 
 def pad_number(number: Column, width: Column | int) -> Column:

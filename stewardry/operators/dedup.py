@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.rows import unfold
-from ..functions.text import grams, normalise, token_overlap
+from ..functions.text import grams, normalise, tokens, word_overlap
 from ..session import fits_broadcast, materialize
 
 HIT = "array<struct<material_code:string,material_name:string,similarity:double,reason:string>>"
@@ -31,9 +31,8 @@ def _first_rows(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
 
 def _fold(df: DataFrame, key: str, name: str) -> DataFrame:
     """The few rows left per key as one array in code order."""
-    return df.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("code", "golden_id", "raw_name"))).alias(name)
-    )
+    columns = ["code", "golden_id", *[c for c in df.columns if c not in (key, "code", "golden_id")]]
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
 
 
 def active_names(golden: DataFrame, cap: int) -> DataFrame:
@@ -81,7 +80,12 @@ def prefix_hits(
         )
         if fits_broadcast(prefixes):
             pieces = pieces.join(F.broadcast(prefixes), "prefix", "left_semi")
-    return _fold(_first_rows(pieces, ["prefix"], per_name + cap), "prefix", "near")
+    kept = _first_rows(pieces, ["prefix"], per_name + cap)
+    # texts are taken apart here, on the few indexed records, and not once per candidate
+    detailed = kept.withColumn("lower_name", F.lower("raw_name")).withColumn(
+        "words", tokens(F.col("lower_name"))
+    )
+    return _fold(detailed, "prefix", "near")
 
 
 class GoldenIndex(NamedTuple):
@@ -101,7 +105,7 @@ def build_index(
     if min(exact_cap, partial_cap) < 1:
         raise ValueError("caps must be at least 1")
     per_name = max(exact_cap, partial_cap)
-    active = active_names(golden, per_name)
+    active = materialize(active_names(golden, per_name))
     return GoldenIndex(
         exact_hits(active, exact_cap, names), prefix_hits(active, per_name, partial_cap, names)
     )
@@ -122,7 +126,7 @@ def _score_exact() -> Column:
 def _near_rows(cap: int) -> Column:
     """The capped containment rows: the cap counts case variants, which are dropped after it."""
     others = F.filter("near", lambda g: g.raw_name != F.col("name"))
-    return F.filter(F.slice(others, 1, cap), lambda g: F.lower(g.raw_name) != F.col("name"))
+    return F.filter(F.slice(others, 1, cap), lambda g: g.lower_name != F.col("name"))
 
 
 def _score_near(cap: int, similarity: Callable[[Column, Column], Column]) -> Column:
@@ -131,7 +135,7 @@ def _score_near(cap: int, similarity: Callable[[Column, Column], Column]) -> Col
         lambda g: F.struct(
             g.code.alias("code"),
             g.raw_name.alias("raw_name"),
-            similarity(F.col("name"), F.lower(g.raw_name)).alias("score"),
+            similarity(F.col("words"), g.words).alias("score"),
         ),
     )
     kept = F.filter(scored, lambda g: g.score >= C.KEEP_SCORE)
@@ -194,12 +198,13 @@ def check_duplicates(
     golden: DataFrame | None = None,
     exact_cap: int = C.EXACT_CAP,
     partial_cap: int = C.PARTIAL_CAP,
-    similarity: Callable[[Column, Column], Column] = token_overlap,
+    similarity: Callable[[Column, Column], Column] = word_overlap,
     index: GoldenIndex | None = None,
 ) -> DataFrame:
     """Add ``dedup_result`` and ``is_duplicate`` to every candidate.
 
     Pass ``golden``, or an ``index`` built once when many small batches are checked.
+    ``similarity`` scores two word arrays; scores below 0.5 are dropped.
     """
     kept = [c for c in candidates.columns if c not in ("dedup_result", "is_duplicate")]
     names = materialize(candidate_names(candidates))
@@ -212,8 +217,8 @@ def check_duplicates(
     )
     results = (
         match_names(names, index)
+        .withColumn("words", tokens(F.col("name")))
         .select("name", hits.alias("_hits"))
-        .filter(F.size("_hits") > 0)
         .select("name", _best_first(F.col("_hits")).alias("_ordered"))
         .select("name", _first_per_code("_ordered").alias("_best"))
     )
@@ -265,10 +270,11 @@ def containment_rows(
         _near_rows(cap),
         lambda g: F.struct(
             g.code.alias("material_code"),
-            token_overlap(F.col("name"), F.lower(g.raw_name)).alias("score"),
+            word_overlap(F.col("words"), g.words).alias("score"),
         ),
     )
-    hits = names.join(near, "prefix").select("name", scored.alias("hits"))
+    matched = names.join(near, "prefix").withColumn("words", tokens(F.col("name")))
+    hits = matched.select("name", scored.alias("hits"))
     found = candidates.select("id", normalise(F.col("material_name")).alias("name")).join(
         hits, "name"
     )
