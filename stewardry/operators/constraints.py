@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -94,59 +95,87 @@ def quarantine(df: DataFrame, constraints: list[Constraint]) -> tuple[DataFrame,
 
 
 def orphans(child: DataFrame, column: str, parent: DataFrame, parent_key: str = "id") -> DataFrame:
-    """Child rows whose non-null reference has no parent row."""
-    keys = parent.select(F.col(parent_key).alias(column))
-    return child.filter(F.col(column).isNotNull()).join(keys, column, "left_anti")
+    """Child rows whose non-null reference has no parent row.
+
+    A left join with a marker: an anti join would be pushed into every part of a union.
+    """
+    keys = parent.select(F.col(parent_key).alias(column), F.lit(True).alias("_found"))
+    return (
+        child.filter(F.col(column).isNotNull())
+        .join(keys, column, "left")
+        .filter(F.col("_found").isNull())
+        .select(child.columns)
+    )
 
 
 def repeated_keys(df: DataFrame, column: str) -> DataFrame:
     """Values of a unique column that occur more than once, pre-counted before the shuffle."""
+    return repeated_values(_key_values([("", df, column)])).drop("key")
+
+
+def repeated_values(values: DataFrame) -> DataFrame:
+    """``key, value, copies`` of values that occur more than once under their key."""
     return (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(F.col(column).alias("value"))
+        values.groupBy("key", "value")
         .agg(F.count("*").alias("copies"))
         .filter(F.col("copies") > 1)
     )
 
 
+def _key_values(keys: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """``key, value`` of all non-null keys of several tables."""
+    parts = [
+        table.filter(F.col(column).isNotNull()).select(
+            F.lit(name).alias("key"), F.col(column).alias("value")
+        )
+        for name, table, column in keys
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _references(relations: list[tuple[str, DataFrame, str]]) -> DataFrame:
+    """``relation, id, value`` of all references that point into one table."""
+    parts = [
+        child.select(F.lit(name).alias("relation"), "id", F.col(column).alias("value"))
+        for name, child, column in relations
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def referential_audit(
     classifications: DataFrame,
     templates: DataFrame,
     applications: DataFrame,
     golden: DataFrame,
-    rules: DataFrame | None = None,
+    rules: DataFrame,
 ) -> DataFrame:
-    """``relation, id, value`` of every dangling reference."""
-    relations = [
-        ("classification.parent", classifications, "parent_id", classifications),
-        ("template.classification", templates, "classification_id", classifications),
-        ("application.classification", applications, "classification_id", classifications),
-        ("golden.classification", golden, "classification_id", classifications),
-        ("golden.application", golden, "application_id", applications),
-    ]
-    if rules is not None:
-        relations.append(("rule.classification", rules, "classification_id", classifications))
-    found = None
-    for name, child, column, parent in relations:
-        rows = orphans(child.select("id", column), column, parent).select(
-            F.lit(name).alias("relation"), "id", F.col(column).alias("value")
-        )
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    """``relation, id, value`` of every dangling reference; one anti join per target table."""
+    to_class = _references(
+        [
+            ("classification.parent", classifications, "parent_id"),
+            ("template.classification", templates, "classification_id"),
+            ("application.classification", applications, "classification_id"),
+            ("golden.classification", golden, "classification_id"),
+            ("rule.classification", rules, "classification_id"),
+        ]
+    )
+    to_application = _references([("golden.application", golden, "application_id")])
+    return orphans(to_class, "value", classifications).unionByName(
+        orphans(to_application, "value", applications)
+    )
 
 
 def uniqueness_audit(
     classifications: DataFrame, applications: DataFrame, golden: DataFrame
 ) -> DataFrame:
-    """``key, value, copies`` of every repeated business key."""
-    keys = [
-        ("classification.code", classifications, "code"),
-        ("application.app_no", applications, "app_no"),
-        ("golden.material_code", golden, "material_code"),
-        ("golden.application_id", golden, "application_id"),
-    ]
-    found = None
-    for name, table, column in keys:
-        rows = repeated_keys(table, column).select(F.lit(name).alias("key"), "value", "copies")
-        found = rows if found is None else found.unionByName(rows)
-    return found
+    """``key, value, copies`` of every repeated business key, all keys in one aggregate."""
+    return repeated_values(
+        _key_values(
+            [
+                ("classification.code", classifications, "code"),
+                ("application.app_no", applications, "app_no"),
+                ("golden.material_code", golden, "material_code"),
+                ("golden.application_id", golden, "application_id"),
+            ]
+        )
+    )

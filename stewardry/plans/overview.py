@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.json_values import attribute_count
+from ..functions.rows import unfold
 from ..functions.text import blank_to_null, iso_time
-from ..operators.audit import latest_steps, trace_summary
+from ..operators.audit import trace_summary
 from ..operators.hierarchy import paths
 from ..operators.lookup import page
 from ..sources.feeds import FQN_PREFIX, stored_or_derived_fqn
@@ -64,127 +65,151 @@ def fixed_nodes(spark) -> DataFrame:
     return spark.createDataFrame(rows, "id string, label string, type string, subtitle string")
 
 
-def record_nodes(golden: DataFrame, applications: DataFrame) -> DataFrame:
-    """One node per golden record and one per application behind a golden record."""
+def with_sources(golden: DataFrame, applications: DataFrame) -> DataFrame:
+    """Golden records with the label and subtitle of the application behind them."""
     apps = applications.select(
         F.col("id").alias("application_id"),
-        "app_no",
-        F.col("material_name").alias("app_name"),
-        F.lit(True).alias("found"),
-    )
-    sources = (
-        golden.filter(blank_to_null(F.col("application_id")).isNotNull())
-        .join(apps, "application_id", "left")
-        .select(
-            F.concat(F.lit("app-"), "application_id").alias("id"),
-            F.when(F.col("found"), F.col("app_no")).otherwise(F.col("application_id")).alias("label"),
-            F.lit("application").alias("type"),
-            F.when(F.col("found"), F.col("app_name"))
-            .otherwise(F.col("material_name"))
-            .alias("subtitle"),
-        )
+        F.struct(F.col("app_no").alias("label"), F.col("material_name").alias("subtitle")).alias(
+            "_app"
+        ),
     )
-    records = golden.select(
-        _record_node().alias("id"),
-        F.col("material_code").alias("label"),
-        F.lit("golden_record").alias("type"),
-        F.col("material_name").alias("subtitle"),
+    unknown = F.struct(F.col("application_id").alias("label"), F.col("material_name").alias("subtitle"))
+    return golden.join(apps, "application_id", "left").withColumn(
+        "_source", F.when(has_source(), F.coalesce("_app", unknown))
     )
-    return sources.unionByName(records)
 
 
-def lineage_nodes(golden: DataFrame, applications: DataFrame) -> DataFrame:
-    return fixed_nodes(golden.sparkSession).unionByName(record_nodes(golden, applications))
+def has_source() -> Column:
+    return blank_to_null(F.col("application_id")).isNotNull()
 
 
-def created_edges(golden: DataFrame) -> DataFrame:
-    return golden.filter(blank_to_null(F.col("application_id")).isNotNull()).select(
-        F.concat(F.lit("app-"), "application_id").alias("from"),
-        _record_node().alias("to"),
-        F.lit(C.EDGE_CREATED).alias("label"),
-    )
+def _app_node() -> Column:
+    return F.concat(F.lit("app-"), F.col("application_id"))
 
 
-def outgoing_edges(golden: DataFrame) -> DataFrame:
-    """Edges to the publish target and to the catalog, both from one scan."""
-    edge = lambda when, node, text: F.when(
-        when, F.struct(F.lit(node[0]).alias("to"), F.lit(text).alias("label"))
+def record_nodes(golden: DataFrame, applications: DataFrame) -> DataFrame:
+    """One node per golden record and one per application behind a golden record."""
+    source = F.struct(
+        _app_node().alias("id"), F.col("_source.label").alias("label"),
+        F.lit("application").alias("type"), F.col("_source.subtitle").alias("subtitle"),
     )
+    record = F.struct(
+        _record_node().alias("id"), F.col("material_code").alias("label"),
+        F.lit("golden_record").alias("type"), F.col("material_name").alias("subtitle"),
+    )
+    nodes = F.array_compact(F.array(F.when(has_source(), source), record))
+    return with_sources(golden, applications).select(F.inline_outer(nodes))
+
+
+def lineage_nodes(golden: DataFrame, applications: DataFrame) -> DataFrame:
+    return fixed_nodes(golden.sparkSession).unionByName(record_nodes(golden, applications))
+
+
+def edge_rows() -> Column:
+    """The edges one golden record has, with the labels of both ends."""
+    app = (_app_node(), F.col("_source.label"), F.coalesce("_source.subtitle", F.lit("application")))
+    record = (_record_node(), F.col("material_code"), F.coalesce("material_name", F.lit("golden_record")))
+    fixed = lambda node: (F.lit(node[0]), F.lit(node[1]), F.lit(node[2]))
     synced = F.col("om_synced") | blank_to_null(F.col("om_entity_fqn")).isNotNull()
-    targets = F.array_compact(
+
+    def edge(when: Column, start: tuple, end: tuple, text: str) -> Column:
+        ends = [
+            column.alias(f"{side}{part}")
+            for side, node in (("from", start), ("to", end))
+            for column, part in zip(node, ("", "_label", "_subtitle"))
+        ]
+        return F.when(when, F.struct(*ends, F.lit(text).alias("label")))
+
+    return F.array_compact(
         F.array(
-            edge(F.col("btp_published"), C.NODE_PUBLISH, C.EDGE_PUBLISHED),
-            edge(synced, C.NODE_CATALOG, C.EDGE_SYNCED),
+            edge(has_source(), app, record, C.EDGE_CREATED),
+            edge(F.col("btp_published"), record, fixed(C.NODE_PUBLISH), C.EDGE_PUBLISHED),
+            edge(synced, record, fixed(C.NODE_CATALOG), C.EDGE_SYNCED),
         )
     )
-    return golden.select(_record_node().alias("from"), F.inline(targets))
-
-
-def lineage_edges(golden: DataFrame) -> DataFrame:
-    return created_edges(golden).unionByName(outgoing_edges(golden))
 
 
 def lineage_view(golden: DataFrame, applications: DataFrame) -> DataFrame:
     """Edges with the labels of both ends.
 
-    Edges into the external nodes all share two keys, so they meet the fixed three-row
-    node table by broadcast and only record-to-record edges are joined by shuffle.
+    Both ends of an edge come from one golden record, its application or a fixed node, so
+    one join serves all edges. Joining edges to nodes by id would send every edge into an
+    external node to one task.
     """
-    nodes = record_nodes(golden, applications)
-    end = lambda frame, side: frame.select(
-        F.col("id").alias(side),
-        F.col("label").alias(f"{side}_label"),
-        F.coalesce("subtitle", "type").alias(f"{side}_subtitle"),
+    rows = with_sources(golden, applications).withColumn("_edges", edge_rows())
+    return unfold(rows, "_edges", []).select("item.*")
+
+
+def lineage_edges(golden: DataFrame) -> DataFrame:
+    """``from, to, label`` of all edges, from one scan of the golden records."""
+    none = F.lit(None).cast("struct<label:string,subtitle:string>")
+    rows = golden.withColumn("_source", none).withColumn("_edges", edge_rows())
+    return unfold(rows, "_edges", []).select("item.from", "item.to", "item.label")
+
+
+def latest_results(logs: DataFrame) -> DataFrame:
+    """Per application the newest ``validate`` and ``om_test`` rows, in one aggregate."""
+    wanted = logs.filter(
+        F.col("step_name").isin("validate", "om_test") & F.col("application_id").isNotNull()
     )
-    fixed = F.broadcast(end(fixed_nodes(golden.sparkSession), "to"))
-    inner = created_edges(golden).join(end(nodes.dropDuplicates(["id"]), "to"), "to", "left")
-    outer = outgoing_edges(golden).join(fixed, "to", "left")
-    starts = end(nodes.dropDuplicates(["id"]), "from")
-    return (
-        inner.unionByName(outer)
-        .join(starts, "from", "left")
-        .select("from", "from_label", "from_subtitle", "label", "to", "to_label", "to_subtitle")
+    newest = lambda step: F.max_by(
+        F.struct("details", "executed_at"),
+        F.when(F.col("step_name") == step, F.struct("executed_at", "id")),
+    )
+    parsed = lambda log: F.when(
+        attribute_count(log.details) > 0,
+        F.struct(
+            F.from_json(log.details, DETAILS).alias("d"), iso_time(log.executed_at).alias("at")
+        ),
+    )
+    grouped = wanted.groupBy("application_id").agg(
+        newest("validate").alias("validated"), newest("om_test").alias("tested")
+    )
+    return grouped.select(
+        "application_id",
+        parsed(F.col("validated")).alias("validated"),
+        parsed(F.col("tested")).alias("tested"),
     )
 
 
 def quality_history(golden: DataFrame, logs: DataFrame, validator: str = VALIDATOR) -> DataFrame:
     """A row per latest validation and a row per result of the latest quality test."""
-    wanted = logs.filter(F.col("step_name").isin("validate", "om_test"))
-    latest = (
-        latest_steps(wanted)
-        .withColumn("d", F.from_json("details", DETAILS))
-        .filter(attribute_count(F.col("details")) > 0)
-    )
-    rows = golden.select(
-        F.col("id").alias("golden_id"), "application_id", "material_code"
-    ).join(latest, "application_id")
     outcome = lambda flag: F.when(F.coalesce(flag, F.lit(False)), "passed").otherwise("failed")
-    at = iso_time(F.col("executed_at")).alias("executed_at")
-    validated = rows.filter(F.col("step_name") == "validate").select(
-        F.concat(F.lit("validate-"), "golden_id").alias("id"),
-        "material_code",
-        F.lit(C.HISTORY_VALIDATE_NAME).alias("test_name"),
-        outcome(F.col("d.passed")).alias("status"),
-        F.coalesce(
-            blank_to_null(F.array_join("d.errors", "; ")), F.lit(C.HISTORY_VALIDATE_OK)
-        ).alias("message"),
-        at,
-        F.lit(validator).alias("source"),
-    )
-    tested = (
-        rows.filter(F.col("step_name") == "om_test")
-        .select("golden_id", "material_code", "executed_at", F.posexplode("d.results").alias("i", "r"))
-        .select(
-            F.concat(F.lit("om-"), "golden_id", F.lit("-"), F.col("i").cast("string")).alias("id"),
-            "material_code",
-            F.coalesce("r.test_name", F.lit(C.HISTORY_TEST_DEFAULT)).alias("test_name"),
-            outcome(F.col("r.passed")).alias("status"),
-            F.col("r.message").alias("message"),
-            at,
-            F.lit(C.HISTORY_TEST_SOURCE).alias("source"),
+
+    def row(key: Column, name: Column, passed: Column, message: Column, at: Column, source: str):
+        return F.struct(
+            key.alias("id"), name.alias("test_name"), outcome(passed).alias("status"),
+            message.alias("message"), at.alias("executed_at"), F.lit(source).alias("source"),
         )
+
+    errors = blank_to_null(F.array_join("validated.d.errors", "; "))
+    validated = F.when(
+        F.col("validated").isNotNull(),
+        row(
+            F.concat(F.lit("validate-"), "id"), F.lit(C.HISTORY_VALIDATE_NAME),
+            F.col("validated.d.passed"), F.coalesce(errors, F.lit(C.HISTORY_VALIDATE_OK)),
+            F.col("validated.at"), validator,
+        ),
+    )
+    tested = F.transform(
+        F.col("tested.d.results"),
+        lambda r, i: row(
+            F.concat_ws("-", F.lit("om"), "id", i.cast("string")),
+            F.coalesce(r.test_name, F.lit(C.HISTORY_TEST_DEFAULT)), r.passed, r.message,
+            F.col("tested.at"), C.HISTORY_TEST_SOURCE,
+        ),
+    )
+    validations = F.array_compact(F.array(validated))
+    rows = golden.join(latest_results(logs), "application_id").select(
+        "material_code",
+        F.when(tested.isNull(), validations)
+        .otherwise(F.concat(validations, tested))
+        .alias("results"),
+    )
+    return unfold(rows, "results", ["material_code"]).select(
+        "item.id", "material_code", "item.test_name", "item.status", "item.message",
+        "item.executed_at", "item.source",
     )
-    return validated.unionByName(tested)
 
 
 def overview_summary(
