@@ -664,7 +664,7 @@ def stream_dedup(d):
 @query
 def stream_lifecycle(d):
     actions = streamed(d, "events", "actions").withColumn("allowed", F.lit(True))
-    return jobs.drain(d.spark, lifecycle_stream(d.spark, actions)).select(
+    return jobs.drain(d.spark, lifecycle_stream(actions)).select(
         "app_id", "event_id", "action", "source", "target", "taken"
     )
 

@@ -54,7 +54,7 @@ def active_names(golden: DataFrame, cap: int) -> DataFrame:
 def exact_hits(active: DataFrame, cap: int, names: DataFrame | None = None) -> DataFrame:
     """``name, exact``: the first records per lower-case name."""
     rows = active.withColumn("name", F.lower("raw_name"))
-    if names is not None and fits_broadcast(names):
+    if names is not None and fits_broadcast(names.select("name")):
         rows = rows.join(F.broadcast(names.select("name")), "name", "left_semi")
     return _fold(_first_rows(rows, ["name"], cap), "name", "exact")
 

@@ -8,8 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A broadcast is only requested for frames counted to be at most this long.
+# A broadcast is only requested for frames counted to stay within both bounds.
 BROADCAST_ROWS = 500_000
+BROADCAST_CHARS = 50_000_000
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -20,6 +22,8 @@ def tune(spark: SparkSession) -> SparkSession:
         # split a hot join key even when that costs one more exchange
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        # stream state lives on disk and is not bounded by the heap
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     }
     for key, value in settings.items():
         spark.conf.set(key, value)
@@ -59,8 +63,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Counts at most ``max_rows + 1`` rows; call it on materialized frames."""
-    return df.limit(max_rows + 1).count() <= max_rows
+    """Whether rows and text stay within the bounds; reads at most ``max_rows + 1`` rows.
+
+    For materialized frames of text and fixed-width columns.
+    """
+    sizes = [F.coalesce(F.length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
+    chars = sum(sizes, F.lit(0).cast("bigint"))
+    seen = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(chars).alias("chars"))
+    row = seen.first()
+    return row.rows <= max_rows and (row.chars or 0) <= BROADCAST_CHARS
 
 
 def hint_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -11,13 +11,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..constants import TRANSITIONS
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUTPUT = (
     "app_id string, event_id string, at timestamp, action string, "
     "source string, target string, taken boolean"
@@ -57,13 +56,13 @@ def lifecycle_processor(transitions: list[tuple[str, str, str]]) -> StatefulProc
     return Lifecycle()
 
 
-def lifecycle_stream(spark: SparkSession, actions: DataFrame) -> DataFrame:
+def lifecycle_stream(actions: DataFrame) -> DataFrame:
     """Every action of the stream with the status it met and left behind.
 
     ``actions`` has ``app_id, event_id, at, action, allowed``. The last row of an
     application holds its current status; rows that were not taken are the refused ones.
+    Needs the state store that :func:`stewardry.session.tune` selects.
     """
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     return (
         actions.select(
             "app_id",

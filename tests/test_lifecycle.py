@@ -121,7 +121,7 @@ def test_stream_keeps_state_across_batches(spark, tmp_path):
             .withColumn("allowed", F.lit(True))
         )
         query = (
-            lifecycle_stream(spark, stream).writeStream.format("parquet").option("path", sink)
+            lifecycle_stream(stream).writeStream.format("parquet").option("path", sink)
             .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         )
         query.awaitTermination()

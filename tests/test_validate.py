@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from stewardry.operators.constraints import CONSTRAINTS, Constraint, quarantine, with_violations
 from stewardry.operators.quality import run_quality_tests
 from stewardry.operators.validate import ExtraCheck, validate
-from stewardry.sources.tables import load_rows
+from stewardry.sources.tables import append_rows, load_rows, read_table
 
 GOOD = {
     "material_name": "测试不锈钢板材304", "classification_id": "cls-child", "material_type": "raw",
@@ -88,9 +88,15 @@ def test_extra_checks(spark, classes, templates):
     assert by_name(good)["no_percent"][0] and bad.errors == ["percent sign"]
 
 
-def test_no_shuffle_of_applications(spark, classes, templates):
-    apps = load_rows(spark, [{"id": "1", **GOOD}], "material_applications")
-    plan = validate(apps, classes, templates)._jdf.queryExecution().executedPlan().toString()
+def test_no_shuffle_of_applications(spark, classes, templates, tmp_path):
+    stored = []
+    for name, df in [
+        ("material_classifications", classes), ("attribute_templates", templates),
+        ("material_applications", load_rows(spark, [{"id": "1", **GOOD}], "material_applications")),
+    ]:
+        append_rows(df, str(tmp_path / name), name)
+        stored.append(read_table(spark, str(tmp_path / name), name))
+    plan = validate(stored[2], *stored[:2])._jdf.queryExecution().executedPlan().toString()
     # the only exchange is the pre-aggregation of the template table
     assert plan.count("Exchange hashpartitioning") == 1
     assert "SortMergeJoin" not in plan and "NestedLoop" not in plan
