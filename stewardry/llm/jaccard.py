@@ -1,7 +1,8 @@
 """Exact Jaccard join of word-shingle sets by signature trees.
 
-Documents with the same shingle set form one class. Two linked classes share one of their
-rarest shingles, so classes meet in the blocks of those. In a block a signature tree holds
+Documents with the same shingle set form one class. Two linked classes share several of
+their rarest shingles, so classes meet in the blocks of those, and a class that meets
+others too seldom is linked to none. In a block a signature tree holds
 the OR of its classes' bitmaps, their size range and the most collisions in every node; a
 dual traversal drops node pairs whose greatest possible overlap is too small, whose sizes
 are too far apart or whose classes are connected already, and compares the sets of what is
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stewardry.llm import words
@@ -29,6 +30,8 @@ CELLS = 1 << 22
 SLICE = 1 << 14
 #: classes of one side that are compared in one task at once
 TILE = 1024
+#: linked classes share a shingle among their rarest fifth, and one more of each 20 beyond it
+EXTRA = 20
 FANOUT = 8
 
 
@@ -92,11 +95,18 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def must_share(n: Column) -> Column:
+    """How many signature shingles a class of size ``n`` shares with any linked class, at least."""
+    return 1 + F.floor(F.ceil(n * 4 / 5) / EXTRA)
+
+
 def _signatures(ranks):
-    """The rarest shingles of each class: any linked class has one of them among its own.
+    """The rarest shingles of each class, in a common order.
 
-    With overlap of at least 0.8 of the larger size n, sets that differ in their
-    n - ceil(0.8 n) + 1 first shingles in a common order cannot be linked.
+    A linked class of size m holds 0.8 of the larger size. Two sets that overlap in t
+    share k of their n - t + k first shingles. So with the first n - ceil(0.8 n) + 1 + n / EXTRA
+    linked classes share 1 + min(n, m) / EXTRA, and one with n - ceil(0.8 n) + 1; those
+    are marked in the lowest bit of the size.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,12 +121,15 @@ def _signatures(ranks):
                     if n == 0 or cls in seen:
                         continue
                     seen.add(cls)
-                    first = n - -(-4 * n // 5) + 1
+                    core = n - -(-4 * n // 5) + 1
+                    first = min(n, core + n // EXTRA)
                     rank = order[(s & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.uint64)
                     key = rank << np.uint64(56) | s >> np.uint64(8)
-                    toks.append(s[np.argpartition(key, first - 1)[:first]] if first < n else s)
+                    toks.append(s[np.argpartition(key, (core - 1, first - 1))[:first]])
                     classes.append(np.full(first, cls))
-                    sizes.append(np.full(first, n))
+                    size = np.full(first, 2 * n)
+                    size[:core] += 1
+                    sizes.append(size)
                 if toks:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(classes)), pa.array(np.concatenate(sizes))],
@@ -138,7 +151,7 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, cls, n = rows
         m = len(tok)
         fresh = np.ones(m, bool)
-        fresh[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])
+        fresh[1:] = (tok[1:] != tok[:-1]) | (cls[1:] != cls[:-1])  # repeated by another task
         tok, cls, n = tok[fresh], cls[fresh], n[fresh]
         m = len(tok)
         head = np.ones(m, bool)
@@ -160,10 +173,10 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use[stop:] = False
         if not use.any():
             return None
-        far = 4 * n > 5 * lead_n
+        far = 4 * (n >> 1) > 5 * (lead_n >> 1)
         return pa.RecordBatch.from_arrays(
-            [pa.array(tok[use]), pa.array(cls[use]), pa.array(n[use]), pa.array(np.where(far, prev, lead)[use], mask=head[use]), pa.array(prev[use], mask=head[use])],
-            names=[*names, "lead", "prev"],
+            [pa.array(tok[use]), pa.array(cls[use]), pa.array(n[use] >> 1), pa.array((n[use] & 1) == 1), pa.array(np.where(far, prev, lead)[use], mask=head[use]), pa.array(prev[use], mask=head[use])],
+            names=[*names, "core", "lead", "prev"],
         )
 
     for batch in batches:
@@ -305,26 +318,36 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("tok", "band", "i", "j", "cls", "comp", "side", "shingles")]
-        for tok, band, i, j, cls, comp, side, s in zip(*columns, strict=True):
-            if (tok, band, i, j) != key:
+        columns = [batch.column(c).to_pylist() for c in ("head", "band", "i", "j", "cls", "comp", "side", "shingles")]
+        for head, band, i, j, cls, comp, side, s in zip(*columns, strict=True):
+            if (head, band, i, j) != key:
                 if rows:
                     yield from links()
-                key, rows = (tok, band, i, j), []
+                key, rows = (head, band, i, j), []
             rows.append((cls, comp, side, s))
     if rows:
         yield from links()
 
 
+def _often(members: DataFrame) -> DataFrame:
+    """Rows of classes that are in as many of the blocks as a linked class has to be."""
+    often = members.groupBy("cls").agg(F.count("*").alias("k"), F.max("n").alias("n"))
+    return members.join(often.filter(F.col("k") >= must_share(F.col("n"))), "cls", "left_semi")
+
+
 def _open_blocks(members: DataFrame, comp: DataFrame, tile: int) -> DataFrame:
     """Rows of blocks with classes of several components, dealt out in pairs of tiles.
 
     Blocks are cut by size (linked sets lie in the same or neighbouring bands of a factor
-    1.25), blocks of the same classes are kept once, and a large one becomes tile pairs.
+    1.25), blocks with the same smallest class are put together, since they mostly hold
+    the same family, and a large one becomes tile pairs.
     """
     band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.25)) + F.lit(1e-9)).cast("int")
-    rows = members.select("tok", "cls", "n").join(comp.withColumnsRenamed({"node": "cls", "root": "comp"}), "cls", "left")
-    rows = rows.select("tok", "cls", F.coalesce("comp", "cls").alias("comp"), band.alias("own"))
+    rows = members.select("tok", "cls", "n", "core").join(comp.withColumnsRenamed({"node": "cls", "root": "comp"}), "cls", "left")
+    rows = rows.withColumn("comp", F.coalesce("comp", "cls"))
+    open_ = rows.groupBy("tok").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
+    rows = _often(rows.join(open_, "tok", "left_semi")).filter("core")
+    rows = written(rows.select("tok", "cls", "comp", band.alias("own")), "open")
     dealt = rows.select(
         "tok", "cls", "comp",
         F.explode(F.array(
@@ -334,22 +357,18 @@ def _open_blocks(members: DataFrame, comp: DataFrame, tile: int) -> DataFrame:
     ).select("tok", "x.band", "cls", "comp", "x.up")
     blocks = (
         dealt.groupBy("tok", "band")
-        .agg(
-            F.count("*").alias("size"), F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-            F.min("up").alias("least"), F.bit_xor(F.xxhash64("cls", "up")).alias("s1"),
-            F.bit_xor(F.xxhash64("up", "cls")).alias("s2"),
-        )
-        .filter("lo <> hi and least = 1")
-        .groupBy("size", "s1", "s2").agg(F.min(F.struct("tok", "band")).alias("one"))
-        .select("one.tok", "one.band", F.ceil(F.col("size") / tile).cast("int").alias("tiles"))
+        .agg(F.min("cls").alias("head"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("up").alias("least"))
+        .filter("lo <> hi and least = 1").select("tok", "band", "head")
     )
-    kept = dealt.join(blocks, ["tok", "band"])
+    together = written(dealt.join(blocks, ["tok", "band"]).select("head", "band", "cls", "comp").distinct(), "families")
+    sizes = together.groupBy("head", "band").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    kept = together.join(sizes, ["head", "band"])
     own_tile = F.pmod(F.xxhash64("cls"), F.col("tiles").cast("bigint")).cast("int")
     # a tile meets every other tile once and itself once
     other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
     pairs = kept.withColumn("t", own_tile).withColumn("u", other)
     return pairs.select(
-        "tok", "band", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "cls", "comp",
+        "head", "band", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "cls", "comp",
         F.when(F.col("t") == F.col("u"), 3).when(F.col("t") < F.col("u"), 1).otherwise(2).alias("side"),
     )
 
@@ -376,7 +395,8 @@ def jaccard_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
 
     signatures = texts.select("text").mapInArrow(_signatures(order), "tok long, cls long, n long")
     sorted_ = signatures.repartition("tok").sortWithinPartitions("tok", "n", "cls")
-    members = written(sorted_.mapInArrow(_members, "tok long, cls long, n long, lead long, prev long"), "blocks")
+    met = "tok long, cls long, n long, core boolean, lead long, prev long"
+    members = written(_often(written(sorted_.mapInArrow(_members, met), "blocks")), "members")
 
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     needed = members.select("cls").distinct().join(classes, "cls")
@@ -397,7 +417,7 @@ def jaccard_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     first = written(components(easy), "first")
 
     dealt = _open_blocks(members, first, tile)
-    block = ["tok", "band", "i", "j"]
+    block = ["head", "band", "i", "j"]
     with_sets = dealt.join(arrays, "cls").repartition(*block).sortWithinPartitions(*block)
     hard = written(with_sets.mapInArrow(_trees, "a long, b long"), "hard")
     # the first round's stars and the new links connect what either connects
