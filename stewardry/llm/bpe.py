@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stewardry.llm.chunks import Encoder
+from stewardry.llm.chunks import Encoder, shared
 from stewardry.llm.frames import flat, slices
 
 #: states kept before the transducer starts afresh
@@ -171,7 +171,9 @@ def encoder(ranks: dict[bytes, int], pattern: str) -> Encoder:
             out.append(ids)
         return out
 
-    return Encoder(encode)
+    coder = Encoder(encode)
+    coder.decoder = Decoder(ranks)
+    return coder
 
 
 class Decoder:
@@ -204,12 +206,10 @@ OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, dec
 
 def _coded(path: str, pattern: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = decode = None
+        encode = shared(("bpe", path, pattern), lambda: encoder(load_ranks(path), pattern))
+        decode = encode.decoder
         for whole in batches:
             for batch in slices(whole, "text"):
-                if encode is None:
-                    ranks = load_ranks(path)
-                    encode, decode = encoder(ranks, pattern), Decoder(ranks)
                 ids, bounds = encode(*flat(batch.column("text")))
                 rows = []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):

@@ -1,8 +1,9 @@
 """Token ids of many texts by encoding each distinct piece of text once.
 
 Byte-level vocabularies split a text by a pattern in which a blank may only begin a
-match. A text can therefore be cut before a single blank, and around a single line feed,
-between other ASCII characters, and be encoded piece by piece with the same result.
+match, and letters and punctuation never share one. A text can therefore be cut before a
+single blank, around a single line feed, and between a letter and a stop, and be encoded
+piece by piece with the same result.
 """
 
 from __future__ import annotations
@@ -13,17 +14,22 @@ import numpy as np
 
 from stewardry.llm import words
 
-#: pieces remembered by a task; beyond, it starts afresh
-KNOWN = 500_000
+#: pieces remembered by a worker process; beyond, it starts afresh
+KNOWN = 600_000
 #: a text is laid out in parts of about this many bytes
 PART = 4 << 20
 
 _SOLID = np.zeros(256, bool)  # characters next to which a cut is safe
 _SOLID[0x21:0x7F] = True
+_ASCII_LETTER = np.zeros(256, bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_STOP = np.zeros(256, bool)
+_STOP[[*b".,!?;:"]] = True
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where pieces begin: at every text, before a lone blank, around a lone line feed.
+    """Where pieces begin: at every text, before a lone blank, around a lone line feed, and
+    before a stop behind an ASCII letter.
 
     Letters beyond ASCII count as solid unless their character might be a blank of some
     script, which start with C2, E1, E2 or E3.
@@ -41,12 +47,23 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     between[1:-1] = solid[:-2] & solid[2:]
     begin = np.zeros(n + 1, bool)
     begin[:n] = between & ((data == 0x20) | (data == 0x0A))
+    begin[1:n] |= _STOP[data[1:]] & _ASCII_LETTER[data[:-1]]
     begin[1:] |= np.append(between & (data == 0x0A), False)[:n]
     begin[offsets] = True
     begin[n] = False
     return np.flatnonzero(begin)
 
 
+_encoders: dict[tuple, Encoder] = {}
+
+
+def shared(key: tuple, make: Callable[[], Encoder]) -> Encoder:
+    """The worker process's encoder of that key, with what earlier tasks have learned."""
+    if key not in _encoders:
+        _encoders[key] = make()
+    return _encoders[key]
+
+
 class Encoder:
     """Ids of texts through ``encode``, which takes pieces (bytes) and returns their ids."""
 

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stewardry.llm.chunks import Encoder
+from stewardry.llm.chunks import Encoder, shared
 from stewardry.llm.frames import flat, slices
 
 LENGTH = 1024
@@ -129,10 +129,9 @@ def _tokenized(path: str, length: int):
     """A row for each full window, without its ids, and one for the rest with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder = shared(("tokenizer", path), lambda: _tokenizer(path))
         for whole in batches:
             for batch in slices(whole, "text"):
-                encoder = encoder or _tokenizer(path)
                 ids, bounds = encoder(*flat(batch.column("text")))
                 rows: list[tuple] = []
                 ids_of, deal = batch.column("doc_id").to_pylist(), batch.column("deal").to_pylist()
