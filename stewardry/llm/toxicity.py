@@ -235,7 +235,7 @@ def fit(sample: list[tuple[str, int]]) -> Machine:
     # the first choice of a witness: the word that the label goes with most surely
     among_toxic, among_clean = in_toxic / label.sum(), in_clean / (1 - label).sum()
     sure = among_toxic / (among_toxic + 4 * among_clean + 1 / label.sum())
-    value = np.where(sure > 0.6, 1 + sure, sure - 2)
+    value = np.where(sure > 0.7, 1 + sure, sure - 2)  # three documents at least
     toxic_docs = [d for d in range(len(docs)) if label[d] and len(doc_words[d])]
     if not toxic_docs:
         return _flat(PRIOR)
