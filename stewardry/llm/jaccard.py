@@ -28,6 +28,9 @@ WIDTH = 5
 #: cells of the shingle counts that order shingles from rare to common; any order is exact
 CELLS = 1 << 22
 SLICE = 1 << 14
+#: bits of the filter that tells which classes' sets are wanted; a full one only wants more
+FILTER = 1 << 25
+FILTER_SLICE = 1 << 16
 #: classes of one side that are compared in one task at once
 TILE = 1024
 #: linked classes share a shingle among their rarest fifth, and one more of each 20 beyond it
@@ -191,14 +194,74 @@ def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out
 
 
-def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            sets = words.shingle_sets(*flat(batch.column("text")), WIDTH)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["cls", "shingles"],
-            )
+def _places(cls: np.ndarray) -> np.ndarray:
+    """The two bits of each class in the filter."""
+    h = cls.view(np.uint64)
+    return np.concatenate([h & np.uint64(FILTER - 1), (h >> np.uint64(32)) & np.uint64(FILTER - 1)]).astype(np.int64)
+
+
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """This task's part of the filter."""
+    bits = np.zeros(FILTER, bool)
+    for batch in batches:
+        bits[_places(batch.column("cls").to_numpy())] = True
+    for part in range(FILTER // FILTER_SLICE):
+        own = bits[part * FILTER_SLICE : (part + 1) * FILTER_SLICE]
+        if own.any():
+            packed = zlib.compress(np.packbits(own).tobytes(), 1)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([packed], pa.binary())], names=["part", "bits"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The tasks' filters put together, part by part as they come."""
+    part, total = None, np.zeros(FILTER_SLICE // 8, np.uint8)
+    for batch in batches:
+        for p, b in zip(batch.column("part").to_pylist(), batch.column("bits").to_pylist(), strict=True):
+            if p != part and part is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()])], names=["part", "bits"])
+                total = np.zeros(FILTER_SLICE // 8, np.uint8)
+            part = p
+            total |= np.frombuffer(zlib.decompress(b), np.uint8)
+    if part is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([total.tobytes()])], names=["part", "bits"])
+
+
+def _arrays(wanted):
+    """The sets of wanted classes, each once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.unpackbits(np.frombuffer(zlib.decompress(wanted.value), np.uint8)).view(bool)
+        seen: set[int] = set()
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                found = {}
+                for s in words.shingle_sets(*flat(batch.column("text")), WIDTH):
+                    cls = _class_of(s)
+                    if len(s) and cls not in seen and bits[_places(np.array([cls]))].all():
+                        seen.add(cls)
+                        found[cls] = s.tobytes()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([*found], pa.int64()), pa.array([*found.values()], pa.binary())], names=["cls", "shingles"]
+                )
+
+    return run
+
+
+def _sets_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """``cls, shingles`` of the ``needed`` classes.
+
+    A filter of fixed size, sent to the tasks, keeps nearly all other sets from the
+    shuffle; the join behind it is exact.
+    """
+    parts = needed.select("cls").mapInArrow(_marked, "part int, bits binary")
+    parts = parts.repartition("part").sortWithinPartitions("part").mapInArrow(_joined, "part int, bits binary")
+    bits = np.zeros(FILTER // 8, np.uint8)
+    for r in parts.toLocalIterator():  # FILTER bits in all
+        at = r.part * (FILTER_SLICE // 8)
+        bits[at : at + FILTER_SLICE // 8] = np.frombuffer(r.bits, np.uint8)
+    wanted = texts.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
+    found = texts.select("text").mapInArrow(_arrays(wanted), "cls long, shingles binary")
+    return found.dropDuplicates(["cls"]).join(needed.select("cls"), "cls", "left_semi")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -399,11 +462,7 @@ def jaccard_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     members = written(_often(written(sorted_.mapInArrow(_members, met), "blocks")), "members")
 
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    needed = members.select("cls").distinct().join(classes, "cls")
-    found = texts.join(needed.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    found = found.unionByName(texts.filter("doc_id is null"))
-    arrays = found.select("text").mapInArrow(_arrays, "cls long, shingles binary")
-    arrays = written(arrays.dropDuplicates(["cls"]).join(needed.select("cls"), "cls", "left_semi"), "shingles")
+    arrays = written(_sets_of(texts, members.select("cls").distinct()), "shingles")
 
     votes = members.filter("lead is not null").select("cls", F.explode(F.array("lead", "prev")).alias("other"))
     votes = votes.groupBy("cls", "other").agg(F.count("*").alias("k"))
