@@ -14,8 +14,8 @@ import numpy as np
 
 from stewardry.llm import words
 
-#: pieces remembered by a worker process; beyond, it starts afresh
-KNOWN = 600_000
+#: pieces of one generation that a worker process remembers; it keeps the one before as well
+KNOWN = 300_000
 #: a text is laid out in parts of about this many bytes
 PART = 4 << 20
 
@@ -64,18 +64,39 @@ def shared(key: tuple, make: Callable[[], Encoder]) -> Encoder:
     return _encoders[key]
 
 
-class Encoder:
-    """Ids of texts through ``encode``, which takes pieces (bytes) and returns their ids."""
-
-    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
-        self.encode = encode
-        self.reset()
+class Pieces:
+    """Ids of numbered pieces, one after another."""
 
-    def reset(self) -> None:
+    def __init__(self) -> None:
         self.number: dict[int, int] = {}
         self.ids = np.zeros(1 << 16, np.int32)
         self.ends = [0]
 
+    def add(self, key: int, ids) -> int:
+        end = self.ends[-1] + len(ids)
+        if end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.int32)])
+        self.ids[self.ends[-1] : end] = ids
+        self.ends.append(end)
+        self.number[key] = len(self.ends) - 2
+        return len(self.ends) - 2
+
+    def of(self, key: int) -> np.ndarray | None:
+        n = self.number.get(key)
+        return None if n is None else self.ids[self.ends[n] : self.ends[n + 1]]
+
+
+class Encoder:
+    """Ids of texts through ``encode``, which takes pieces (bytes) and returns their ids.
+
+    Pieces are remembered in two generations; what is met again moves to the young one, so
+    frequent pieces stay while memory is bounded.
+    """
+
+    def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
+        self.encode = encode
+        self.young, self.old = Pieces(), Pieces()
+
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and where each text's begin and end."""
         if len(data) == 0:
@@ -84,25 +105,26 @@ class Encoder:
         ends = np.append(starts[1:], len(data))
         h = words.span_hashes(data, starts, ends, fold=False)
         distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.number) > KNOWN:
-            self.reset()
+        if len(self.young.number) > KNOWN:
+            self.young, self.old = Pieces(), self.young
+        young = self.young
         keys = distinct.tolist()
-        index = np.array([self.number.get(k, -1) for k in keys], np.int64)
-        new = np.flatnonzero(index < 0)
-        if len(new):
+        index = np.array([young.number.get(k, -1) for k in keys], np.int64)
+        new = []
+        for k in np.flatnonzero(index < 0).tolist():
+            ids = self.old.of(keys[k])
+            if ids is None:
+                new.append(k)
+            else:
+                index[k] = young.add(keys[k], ids)
+        if new:
             body = data.tobytes()
             pieces = [body[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            index[new] = len(self.ends) - 1 + np.arange(len(new))
-            for k, ids in zip(new.tolist(), self.encode(pieces), strict=True):
-                self.number[keys[k]] = len(self.ends) - 1
-                end = self.ends[-1] + len(ids)
-                if end > len(self.ids):
-                    self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.int32)])
-                self.ids[self.ends[-1] : end] = ids
-                self.ends.append(end)
-        bounds = np.array(self.ends)
+            for k, ids in zip(new, self.encode(pieces), strict=True):
+                index[k] = young.add(keys[k], ids)
+        bounds = np.array(young.ends)
         piece = index[back]
         size = (bounds[1:] - bounds[:-1])[piece]
         upto = np.concatenate([[0], np.cumsum(size)])
         source = np.repeat(bounds[piece] - upto[:-1], size) + np.arange(upto[-1])
-        return self.ids[source], upto[np.searchsorted(starts, offsets)]
+        return young.ids[source], upto[np.searchsorted(starts, offsets)]

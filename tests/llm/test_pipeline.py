@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -61,6 +62,19 @@ def test_registered():
     assert {"op2_chat", "op8_warc_revisits", "op10_exact_dedup"} <= set(spark_entry.oracle_sql())
 
 
+@pytest.mark.parametrize("name", ["op2_chat", "op8_warc_revisits", "op10_exact_dedup"])
+def test_against_sql(spark, sf_dir, name):
+    con = duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    df = spark_entry.queries()[name](spark, sf_dir)
+    cursor = con.execute(spark_entry.oracle_sql()[name])
+    columns = [c[0] for c in cursor.description]
+    assert sorted(columns) == sorted(df.columns)
+    want = sorted(repr(r) for r in cursor.fetchall())
+    assert sorted(repr(tuple(r)) for r in df.select(columns).collect()) == want and want
+
+
 def test_no_lineage_to_executors(spark, corpus):
     """Intermediate results are files in the shared folder."""
     out = content_sort.exact_groups(corpus)
