@@ -58,7 +58,7 @@ MSG_ATTRIBUTE_EMPTY = " 必填"
 # ---- duplicate detection ----------------------------------------------------------
 MIN_NAME_CHARS = 3
 PREFIX_CHARS = 4
-EXACT_CAP, PARTIAL_CAP, TOP_HITS, FLAG_HITS = 3, 5, 5, 3
+TOP_HITS, FLAG_HITS = 5, 3
 KEEP_SCORE, FLAG_SCORE = 0.5, 0.8
 REASON_EXACT = "名称完全相同"
 REASON_OVERLAP = "关键词重叠 "
@@ -78,10 +78,8 @@ TRANSITIONS = [
     ("draft", "submit", "pending_admin"),
     ("pending_admin", "admin_approve", "pending_dept"),
     ("pending_admin", "admin_reject", "rejected"),
-    ("pending_admin", "reject", "rejected"),
     ("pending_dept", "dept_approve", "approved"),
     ("pending_dept", "dept_reject", "rejected"),
-    ("pending_dept", "reject", "rejected"),
     ("approved", "publish", "published"),
 ]
 APPLICANT_ROLES = ["applicant", "admin", "data_admin"]
@@ -94,7 +92,6 @@ ACTION_ROLES = {
     "admin_reject": ADMIN_ROLES,
     "dept_approve": DEPT_ROLES,
     "dept_reject": DEPT_ROLES,
-    "reject": DEPT_ROLES,
     "publish": ADMIN_ROLES,
 }
 

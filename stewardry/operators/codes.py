@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions.text import is_filled, pad_number
-from ..session import hint_if_small, materialize
 from .hierarchy import major_codes
 from .lookup import rule_of_class
 from .numbering import number_within
@@ -34,13 +33,13 @@ def application_numbers(
     """Add ``app_no`` (``SQ-YYYY-NNNNN``) to new applications by ``created_at, id``.
 
     ``numbering="max"`` continues after the highest number of the year, ``"count"`` after
-    the number of existing ones, which repeats numbers once rows were deleted.
+    the number of existing ones, which repeats numbers once rows were deleted. Without a
+    creation time there is no year, and ``app_no`` stays null.
     """
     if numbering not in ("max", "count"):
         raise ValueError("numbering must be 'max' or 'count'")
     used = F.col("highest") if numbering == "max" else F.col("issued")
     issued = _issued_by_stem(existing, "app_no", "^(.+-)([0-9]+)$").select("stem", used.alias("used"))
-    issued = hint_if_small(materialize(issued))  # a row per year
     stem = F.concat(F.lit(C.APP_NO_PREFIX + "-"), F.year("created_at").cast("string"), F.lit("-"))
     numbered = number_within(
         new.drop("app_no").withColumn("stem", stem), ["stem"], ["created_at", "id"]
@@ -133,7 +132,7 @@ def generate_codes(
         .otherwise(F.concat(F.lit("class "), F.col("classification_id")))
     )
     numbered = number_within(known.withColumn("_counter", counter), ["_counter"], order)
-    bases = hint_if_small(materialize(default_bases(classifications, golden, issued)))
+    bases = default_bases(classifications, golden, issued)
     seq = F.coalesce("_rule.current_seq", "base", F.lit(0)) + F.col("n")
     from_rule = F.concat(
         F.coalesce("_rule.prefix", F.lit("")),

@@ -1,9 +1,13 @@
 """Duplicate detection of candidate names against active golden records.
 
-The substring condition is answered by 4-gram equality, so there is no nested loop:
-golden names are cut into 4-grams and each gram keeps just the golden records a candidate
-can reach under the cap. Every candidate name then needs two single-row lookups and
-row-wise scoring.
+A candidate meets every active record whose name contains its first four characters and
+shares at least half of the words; only the reported list is cut to the best five.
+
+Two word sets that share at least half of the larger one share a word among their rarest
+half. So records are filed under (4-gram, rare word), candidates look up (prefix, rare
+word), and a pair is scored under its first common word only. The records of a key travel
+in chunks, and a candidate's best five of a chunk are picked inside the row: pairs are
+never written or shuffled.
 """
 
 from __future__ import annotations
@@ -17,9 +21,20 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions.rows import unfold
 from ..functions.text import grams, normalise, tokens, word_overlap
-from ..session import fits_broadcast, materialize
+from ..session import materialize
 
-HIT = "array<struct<material_code:string,material_name:string,similarity:double,reason:string>>"
+#: records of one key that travel together; a key with more gets several chunks
+CHUNK = 256
+NO_WORD = ""
+
+
+def rounded(score: Column) -> Column:
+    """Two decimals, ties as the score's binary value decides (the halves are m/200)."""
+    halves = {m: round(m / 200, 2) for m in range(1, 201, 2)}
+    exact = F.round(score * 200, 9)
+    tie = (exact == F.floor(exact)) & (exact % 2 == 1)
+    table = F.create_map(*[F.lit(x) for pair in halves.items() for x in pair])
+    return F.when(tie, F.element_at(table, exact.cast("int"))).otherwise(F.bround(score, 2))
 
 
 def _first_rows(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
@@ -29,17 +44,10 @@ def _first_rows(df: DataFrame, keys: list[str], cap: int) -> DataFrame:
     return ranked.filter(F.col("_rank") <= cap).drop("_rank")
 
 
-def _fold(df: DataFrame, key: str, name: str) -> DataFrame:
-    """The few rows left per key as one array in code order."""
-    columns = ["code", "golden_id", *[c for c in df.columns if c not in (key, "code", "golden_id")]]
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*columns))).alias(name))
-
-
-def active_names(golden: DataFrame, cap: int) -> DataFrame:
-    """Active records, at most ``cap`` per raw name: no candidate can reach further ones.
+def active_names(golden: DataFrame) -> DataFrame:
+    """``raw_name, low, words, codes``: the distinct names of active records.
 
-    Records of one raw name share their lower-case name and all their grams, so the cut
-    happens once, before names are cut up, and a hot name shrinks before any shuffle.
+    A list of five needs the five lowest codes of a name, since all its records score alike.
     """
     active = golden.filter(
         (F.col("status") == "active") & F.col("material_name").isNotNull()
@@ -48,134 +56,97 @@ def active_names(golden: DataFrame, cap: int) -> DataFrame:
         F.col("material_code").alias("code"),
         F.col("material_name").alias("raw_name"),
     )
-    return _first_rows(active, ["raw_name"], cap)
+    kept = _first_rows(active, ["raw_name"], C.TOP_HITS)
+    names = kept.groupBy("raw_name").agg(F.sort_array(F.collect_list("code")).alias("codes"))
+    low = F.lower("raw_name")
+    return names.select("raw_name", low.alias("low"), tokens(low).alias("words"), "codes")
 
 
-def exact_hits(active: DataFrame, cap: int, names: DataFrame | None = None) -> DataFrame:
-    """``name, exact``: the first records per lower-case name."""
-    rows = active.withColumn("name", F.lower("raw_name"))
-    if names is not None and fits_broadcast(names.select("name")):
-        rows = rows.join(F.broadcast(names.select("name")), "name", "left_semi")
-    return _fold(_first_rows(rows, ["name"], cap), "name", "exact")
-
+def word_counts(names: DataFrame) -> DataFrame:
+    """``word, uses``: how many names hold each word."""
+    return names.select(F.explode("words").alias("word")).groupBy("word").agg(
+        F.count("*").alias("uses")
+    )
 
-def prefix_hits(
-    active: DataFrame, per_name: int, cap: int, names: DataFrame | None = None
-) -> DataFrame:
-    """``prefix, near``: the records reachable from a prefix, at most ``per_name + cap``.
 
-    A candidate leaves out one raw name only (its own text). With at most ``per_name``
-    records kept per raw name, the first ``per_name + cap`` of a prefix hold every
-    candidate's first ``cap``. Only these few rows per gram and task are shuffled, not the
-    grams.
-    """
-    lowered = active.withColumn("lower_name", F.lower("raw_name"))
-    pieces = lowered.select(
-        "code", "golden_id", "raw_name",
-        F.explode_outer(grams(F.col("lower_name"), C.PREFIX_CHARS)).alias("prefix"),
-    ).filter(F.col("prefix").isNotNull())
-    if names is not None:
-        prefixes = materialize(
-            names.filter(F.col("prefix").isNotNull()).select("prefix").distinct()
-        )
-        if fits_broadcast(prefixes):
-            pieces = pieces.join(F.broadcast(prefixes), "prefix", "left_semi")
-    kept = _first_rows(pieces, ["prefix"], per_name + cap)
-    # texts are taken apart here, on the few indexed records, and not once per candidate
-    detailed = kept.withColumn("lower_name", F.lower("raw_name")).withColumn(
-        "words", tokens(F.col("lower_name"))
+def with_rare_words(names: DataFrame, counts: DataFrame, key: str) -> DataFrame:
+    """Add ``rare``: of a name's n words the n - ceil(n / 2) + 1 rarest, rarest first."""
+    words = names.select(key, F.explode("words").alias("word")).join(counts, "word", "left")
+    ordered = words.groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("uses", F.lit(0)).alias("uses"), "word"))).alias("_o")
     )
-    return _fold(detailed, "prefix", "near")
+    size = F.size("_o")
+    rare = F.slice(F.col("_o.word"), F.lit(1), (size - F.ceil(size / 2) + 1).cast("int"))
+    return names.join(ordered.select(key, rare.alias("rare")), key)
 
 
 class GoldenIndex(NamedTuple):
-    """What candidates look up: ``exact`` by name and ``near`` by prefix, one row per key."""
+    """What candidates look up: ``exact`` by name, ``near`` by prefix and rare word."""
+
+    exact: DataFrame  # name, code, raw_name: five rows a name at most
+    near: DataFrame  # prefix, word, items
+    counts: DataFrame  # word, uses
+    by_word: bool
 
-    exact: DataFrame
-    near: DataFrame
+
+def candidate_keys(names: DataFrame, by_word: bool) -> DataFrame:
+    """One row per candidate name and key that it looks up."""
+    keyed = names.filter(F.col("prefix").isNotNull())
+    word = F.explode("rare") if by_word else F.lit(NO_WORD)
+    return keyed.select("name", "words", "rare", "prefix", word.alias("word"))
 
 
 def build_index(
-    golden: DataFrame,
-    names: DataFrame | None = None,
-    exact_cap: int = C.EXACT_CAP,
-    partial_cap: int = C.PARTIAL_CAP,
+    golden: DataFrame, keys: DataFrame | None = None, by_word: bool = True,
+    active: DataFrame | None = None, counts: DataFrame | None = None,
 ) -> GoldenIndex:
-    """Index of a golden snapshot, limited to what ``names`` can ask for when they are few."""
-    if min(exact_cap, partial_cap) < 1:
-        raise ValueError("caps must be at least 1")
-    per_name = max(exact_cap, partial_cap)
-    active = materialize(active_names(golden, per_name))
-    return GoldenIndex(
-        exact_hits(active, exact_cap, names), prefix_hits(active, per_name, partial_cap, names)
+    """Index of a golden snapshot, limited to the ``keys`` (``prefix, word``) that are asked for."""
+    active = materialize(active_names(golden)) if active is None else active
+    counts = word_counts(active) if counts is None else counts
+    raw = active.select("raw_name", "low", F.explode("codes").alias("code"))
+    exact = _first_rows(
+        raw.select(F.col("low").alias("name"), "raw_name", "code", F.col("code").alias("golden_id")),
+        ["name"], C.TOP_HITS,
+    ).drop("golden_id")
+    filed = with_rare_words(active, counts, "raw_name").withColumn(
+        "word", F.explode("rare") if by_word else F.lit(NO_WORD)
     )
-
-
-def _score_exact() -> Column:
-    return F.transform(
-        "exact",
-        lambda g: F.struct(
-            g.code.alias("material_code"),
-            g.raw_name.alias("material_name"),
-            F.lit(1.0).alias("similarity"),
-            F.lit(C.REASON_EXACT).alias("reason"),
-        ),
+    filed = filed.withColumn("prefix", F.explode(grams(F.col("low"), C.PREFIX_CHARS)))
+    if keys is not None:
+        filed = filed.join(keys.select("prefix", "word").distinct(), ["prefix", "word"], "left_semi")
+    chunks = filed.groupBy("prefix", "word").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    item = F.struct("raw_name", "low", "words", "rare", "codes")
+    near = (
+        filed.join(chunks, ["prefix", "word"])
+        .groupBy("prefix", "word", F.pmod(F.xxhash64("raw_name"), F.col("chunks")).alias("chunk"))
+        .agg(F.collect_list(item).alias("items"))
     )
+    return GoldenIndex(exact, near.select("prefix", "word", "items"), counts, by_word)
 
 
-def _near_rows(cap: int) -> Column:
-    """The capped containment rows: the cap counts case variants, which are dropped after it."""
-    others = F.filter("near", lambda g: g.raw_name != F.col("name"))
-    return F.filter(F.slice(others, 1, cap), lambda g: g.lower_name != F.col("name"))
-
-
-def _score_near(cap: int, similarity: Callable[[Column, Column], Column]) -> Column:
+def _best_of_chunk(similarity: Callable[[Column, Column], Column], by_word: bool) -> Column:
+    """The five best records of a chunk as (score, code, raw name), best first."""
+    first_common = lambda g: F.get(F.array_intersect("rare", g.rare), F.lit(0)) == F.col("word")
+    fits = lambda g: (g.low != F.col("name")) & (first_common(g) if by_word else F.lit(True))
     scored = F.transform(
-        _near_rows(cap),
+        F.filter("items", fits),
         lambda g: F.struct(
-            g.code.alias("code"),
-            g.raw_name.alias("raw_name"),
-            similarity(F.col("words"), g.words).alias("score"),
+            similarity(F.col("words"), g.words).alias("score"), g.raw_name.alias("raw_name"),
+            g.codes.alias("codes"),
         ),
     )
     kept = F.filter(scored, lambda g: g.score >= C.KEEP_SCORE)
-    return F.transform(
+    ranked = F.transform(
         kept,
-        lambda g: F.struct(
-            g.code.alias("material_code"),
-            g.raw_name.alias("material_name"),
-            F.bround(g.score, 2).alias("similarity"),
-            F.concat(
-                F.lit(C.REASON_OVERLAP), (g.score * 100).cast("int").cast("string"), F.lit("%")
-            ).alias("reason"),
-        ),
-    )
-
-
-def _best_first(hits: Column) -> Column:
-    """Score descending, ties in found order."""
-    keyed = F.transform(
-        hits,
-        lambda h, i: F.struct(
-            (-h.similarity).alias("rank"), i.alias("position"), h.alias("hit")
-        ),
-    )
-    return F.transform(F.sort_array(keyed), lambda k: k.hit)
-
-
-def _first_per_code(ordered: str) -> Column:
-    """Rows of a sorted array column whose code did not occur before."""
-    return F.filter(
-        ordered,
-        lambda h, i: ~F.exists(
-            F.slice(F.col(ordered), F.lit(1), i),
-            lambda earlier: earlier.material_code == h.material_code,
+        lambda g: F.transform(
+            g.codes, lambda c: F.struct((-g.score).alias("rank"), c.alias("code"), g.raw_name.alias("raw_name"))
         ),
     )
+    return F.slice(F.sort_array(F.flatten(ranked)), 1, C.TOP_HITS)
 
 
 def candidate_names(candidates: DataFrame, name: str = "material_name") -> DataFrame:
-    """Distinct searchable names with their containment prefix; equal names are scored once."""
+    """Distinct searchable names with their words and prefix; equal names are scored once."""
     text = normalise(F.col(name))
     size = F.length("name")
     return (
@@ -185,44 +156,80 @@ def candidate_names(candidates: DataFrame, name: str = "material_name") -> DataF
         .withColumn(
             "prefix", F.when(size >= C.PREFIX_CHARS, F.substring("name", 1, C.PREFIX_CHARS))
         )
+        .withColumn("words", tokens(F.col("name")))
     )
 
 
-def match_names(names: DataFrame, index: GoldenIndex) -> DataFrame:
-    """Names with their ``exact`` and ``near`` records: two lookups of one row each."""
-    return names.join(index.exact, "name", "left").join(index.near, "prefix", "left")
+def _near_hits(
+    names: DataFrame, index: GoldenIndex, similarity: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """``name, code, raw_name, score``: the five best of every chunk."""
+    keys = candidate_keys(with_rare_words(names, index.counts, "name"), index.by_word)
+    best = _best_of_chunk(similarity, index.by_word)
+    met = keys.join(index.near, ["prefix", "word"]).select("name", best.alias("best"))
+    return unfold(met, "best", ["name"]).select(
+        "name", "item.code", "item.raw_name", (-F.col("item.rank")).alias("score")
+    )
+
+
+def _ranked(names: DataFrame, index: GoldenIndex, similarity) -> DataFrame:
+    """``name, place`` and the hit: the best five codes of each name."""
+    exact = names.select("name").join(index.exact, "name").select(
+        "name", "code", "raw_name", F.lit(1.0).alias("similarity"),
+        F.lit(C.REASON_EXACT).alias("reason"), F.lit(0).alias("src"),
+    )
+    percent = (F.col("score") * 100).cast("int").cast("string")
+    near = _near_hits(names, index, similarity).select(
+        "name", "code", "raw_name", rounded(F.col("score")).alias("similarity"),
+        F.concat(F.lit(C.REASON_OVERLAP), percent, F.lit("%")).alias("reason"), F.lit(1).alias("src"),
+    )
+    # a code that several records share counts once, with its best hit
+    hit = F.struct((-F.col("similarity")).alias("rank"), "src", "raw_name", "reason")
+    once = exact.unionByName(near).groupBy("name", "code").agg(F.min(hit).alias("hit"))
+    order = Window.partitionBy("name").orderBy("hit.rank", "hit.src", "code")
+    return (
+        once.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= C.TOP_HITS)
+        .select(
+            "name", "place", F.col("code").alias("material_code"), F.col("hit.raw_name").alias("material_name"),
+            (-F.col("hit.rank")).alias("similarity"), "hit.reason",
+        )
+    )
+
+
+def _index_for(
+    names: DataFrame, golden: DataFrame, similarity: Callable[[Column, Column], Column]
+) -> GoldenIndex:
+    """The part of the index that ``names`` can ask for."""
+    by_word = similarity is word_overlap
+    active = materialize(active_names(golden))
+    counts = word_counts(active)
+    keys = candidate_keys(with_rare_words(names, counts, "name"), by_word)
+    return build_index(golden, keys, by_word, active, counts)
 
 
 def check_duplicates(
     candidates: DataFrame,
     golden: DataFrame | None = None,
-    exact_cap: int = C.EXACT_CAP,
-    partial_cap: int = C.PARTIAL_CAP,
     similarity: Callable[[Column, Column], Column] = word_overlap,
     index: GoldenIndex | None = None,
 ) -> DataFrame:
     """Add ``dedup_result`` and ``is_duplicate`` to every candidate.
 
     Pass ``golden``, or an ``index`` built once when many small batches are checked.
-    ``similarity`` scores two word arrays; scores below 0.5 are dropped.
+    ``similarity`` scores two word arrays; scores below 0.5 are dropped. Another one than
+    the word overlap is tried on all records that contain the prefix, since nothing is
+    known of the words that a good pair shares.
     """
     kept = [c for c in candidates.columns if c not in ("dedup_result", "is_duplicate")]
     names = materialize(candidate_names(candidates))
-    if index is None:
-        index = build_index(golden, names, exact_cap, partial_cap)
-    empty = F.array().cast(HIT)
-    hits = F.concat(
-        F.coalesce(_score_exact(), empty),
-        F.coalesce(_score_near(partial_cap, similarity), empty),
-    )
-    results = (
-        match_names(names, index)
-        .withColumn("words", tokens(F.col("name")))
-        .select("name", hits.alias("_hits"))
-        .select("name", _best_first(F.col("_hits")).alias("_ordered"))
-        .select("name", _first_per_code("_ordered").alias("_best"))
+    index = index or _index_for(names, golden, similarity)
+    hit = F.struct("material_code", "material_name", "similarity", "reason")
+    results = _ranked(names, index, similarity).groupBy("name").agg(
+        F.sort_array(F.collect_list(F.struct("place", hit.alias("hit")))).alias("_best")
     )
-    best = F.coalesce("_best", empty)
+    best = F.col("_best.hit")
+    empty = F.array().cast("array<struct<material_code:string,material_name:string,similarity:double,reason:string>>")
+    best = F.coalesce(best, empty)
     flagged = F.exists(F.slice(best, 1, C.FLAG_HITS), lambda h: h.similarity >= C.FLAG_SCORE)
     confidence = F.coalesce(F.get(best, F.lit(0)).similarity, F.lit(0.0))
     return (
@@ -231,9 +238,8 @@ def check_duplicates(
         .select(
             *kept,
             F.struct(
-                flagged.alias("is_duplicate"),
-                confidence.alias("confidence"),
-                F.slice(best, 1, C.TOP_HITS).alias("similar_materials"),
+                flagged.alias("is_duplicate"), confidence.alias("confidence"),
+                best.alias("similar_materials"),
             ).alias("dedup_result"),
             flagged.alias("is_duplicate"),
         )
@@ -248,34 +254,19 @@ def similar_rows(checked: DataFrame, key: str = "id") -> DataFrame:
     )
 
 
-def exact_rows(candidates: DataFrame, golden: DataFrame, cap: int = C.EXACT_CAP) -> DataFrame:
-    """One row per candidate and exact hit."""
-    names = materialize(candidate_names(candidates))
-    hits = exact_hits(active_names(golden, cap), cap, names)
-    found = (
-        candidates.select("id", normalise(F.col("material_name")).alias("name"))
-        .filter(F.length("name") >= C.MIN_NAME_CHARS)
-        .join(hits, "name")
-    )
-    return unfold(found, "exact", ["id"]).select("id", F.col("item.code").alias("material_code"))
+def exact_rows(candidates: DataFrame, golden: DataFrame) -> DataFrame:
+    """One row per candidate and exact hit, the five lowest codes of each name."""
+    named = candidates.select("id", normalise(F.col("material_name")).alias("name"))
+    index = build_index(golden)
+    found = named.filter(F.length("name") >= C.MIN_NAME_CHARS).join(index.exact, "name")
+    return found.select("id", F.col("code").alias("material_code"))
 
 
-def containment_rows(
-    candidates: DataFrame, golden: DataFrame, cap: int = C.PARTIAL_CAP
-) -> DataFrame:
-    """One row per candidate and capped containment hit, with its unrounded score."""
+def containment_rows(candidates: DataFrame, golden: DataFrame) -> DataFrame:
+    """One row per candidate and containment hit, its five best, with the unrounded score."""
     names = materialize(candidate_names(candidates))
-    near = prefix_hits(active_names(golden, cap), cap, cap, names)
-    scored = F.transform(
-        _near_rows(cap),
-        lambda g: F.struct(
-            g.code.alias("material_code"),
-            word_overlap(F.col("words"), g.words).alias("score"),
-        ),
-    )
-    matched = names.join(near, "prefix").withColumn("words", tokens(F.col("name")))
-    hits = matched.select("name", scored.alias("hits"))
-    found = candidates.select("id", normalise(F.col("material_name")).alias("name")).join(
-        hits, "name"
-    )
-    return unfold(found, "hits", ["id"]).select("id", "item.*")
+    near = _near_hits(names, _index_for(names, golden, word_overlap), word_overlap)
+    order = Window.partitionBy("name").orderBy(F.desc("score"), "code")
+    best = near.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= C.TOP_HITS)
+    named = candidates.select("id", normalise(F.col("material_name")).alias("name"))
+    return named.join(best, "name").select("id", F.col("code").alias("material_code"), "score")

@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import NO_PARENT_CODE
 from ..functions.text import blank_to_null, is_filled
-
-MAX_LEVELS = 3
+from ..session import materialize
 
 
 def major_codes(classifications: DataFrame) -> DataFrame:
@@ -26,31 +25,39 @@ def major_codes(classifications: DataFrame) -> DataFrame:
     )
 
 
-def paths(classifications: DataFrame, max_levels: int = MAX_LEVELS) -> DataFrame:
+def paths(classifications: DataFrame) -> DataFrame:
     """``id, path, complete``: root-first names and codes, joined by `` / ``.
 
-    Climbs at most ``max_levels - 1`` parents, the depth the level column allows, so a
-    cycle ends as well; ``complete`` is false where a parent was left unvisited.
+    Climbs to the root, however deep, by joining half-built paths to each other, which
+    doubles their length each round. A class below a cycle never gets there: rounds end
+    when they finish no further class, and such a class has ``complete`` false and no path.
+    An unknown parent ends the path.
     """
     step = F.concat(F.col("name"), F.lit(" ("), F.col("code"), F.lit(")"))
     nodes = classifications.select(
         "id", blank_to_null(F.col("parent_id")).alias("next_id"), step.alias("path")
     )
-    parents = nodes.select(
-        F.col("id").alias("next_id"),
-        F.col("next_id").alias("grand_id"),
-        F.col("path").alias("parent_path"),
+    known = classifications.select(F.col("id").alias("next_id"), F.lit(True).alias("_known"))
+    found = nodes.join(known, "next_id", "left").select(
+        "id", F.when(F.col("_known"), F.col("next_id")).alias("next_id"), "path"
     )
-    found = nodes
-    for _ in range(max_levels - 1):
-        found = found.join(parents, "next_id", "left").select(
-            "id",
-            F.col("grand_id").alias("next_id"),
-            F.concat_ws(" / ", "parent_path", "path").alias("path"),
+    unfinished = None
+    while True:
+        found = materialize(found)
+        left = found.filter(F.col("next_id").isNotNull()).count()
+        if left in (0, unfinished):
+            break
+        unfinished = left
+        above = found.select(
+            F.col("id").alias("next_id"), F.col("next_id").alias("beyond_id"),
+            F.col("path").alias("upper"),
+        )
+        climbed = found.filter(F.col("next_id").isNotNull()).join(above, "next_id").select(
+            "id", F.col("beyond_id").alias("next_id"), F.concat_ws(" / ", "upper", "path").alias("path")
         )
-    return found.join(
-        parents.select("next_id", F.lit(True).alias("more")), "next_id", "left"
-    ).select("id", "path", F.col("more").isNull().alias("complete"))
+        found = found.filter(F.col("next_id").isNull()).unionByName(climbed)
+    complete = F.col("next_id").isNull()
+    return found.select("id", F.when(complete, F.col("path")).alias("path"), complete.alias("complete"))
 
 
 def tree_flat(classifications: DataFrame) -> DataFrame:

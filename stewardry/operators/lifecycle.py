@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from ..constants import ACTION_ROLES, APPLICATION_STATUSES, TRANSITIONS
 from ..functions.rows import unfold
-from ..session import hint_if_small, materialize
 from .numbering import ordered_positions
 
 RUN_BITS = 12  # rows, or maps of the level below, that one group collects
@@ -54,15 +53,13 @@ def status_name(number: Column) -> Column:
 
 
 def authorised(
-    actions: DataFrame, principals: DataFrame | None, owners: DataFrame | None = None
+    actions: DataFrame, principals: DataFrame, owners: DataFrame | None = None
 ) -> DataFrame:
     """Add ``allowed``: whether the acting user's role may take the action at all.
 
     With ``owners`` (``app_id, created_by``) applicants may act on their own applications
     only.
     """
-    if principals is None:
-        return actions.withColumn("allowed", F.lit(True))
     roles = principals.select(F.col("user_id").alias("acted_by"), "role")
     may = _literal_map({a: F.array(*[F.lit(r) for r in rs]) for a, rs in ACTION_ROLES.items()})
     permitted = F.array_contains(F.element_at(may, F.col("action")), F.col("role"))
@@ -138,20 +135,13 @@ def _keyed(rows: DataFrame, keys: tuple, collected: Column, name: str, run: Colu
 def run_maps(placed: DataFrame) -> DataFrame:
     """``app_id, run``: the status map of each application's actions.
 
-    Applications with few actions are folded in one go. Those counted to have more go
-    through runs of ``RUN_ROWS`` rows whose maps are composed in levels.
+    Runs of ``RUN_ROWS`` positions are folded, and their maps composed in levels.
     """
-    counted = placed.groupBy("app_id").agg(F.count("*").alias("rows"))
-    hot = materialize(counted.filter(F.col("rows") > RUN_ROWS).select("app_id"))
-    if hot.isEmpty():
-        return _fold_runs(placed, "app_id")
-    hot = hint_if_small(hot)
-    cold = _fold_runs(placed.join(hot, "app_id", "left_anti"), "app_id")
     part = lambda column: F.shiftright(column, RUN_BITS).alias("part")
-    runs = _fold_runs(placed.join(hot, "app_id", "left_semi"), "app_id", part("pos"))
+    runs = _fold_runs(placed, "app_id", part("pos"))
     for _ in range(LEVELS):
         runs = _compose_runs(runs, "app_id", part("part"))
-    return cold.unionByName(_compose_runs(runs, "app_id"))
+    return _compose_runs(runs, "app_id")
 
 
 def place_actions(actions: DataFrame) -> DataFrame:
@@ -163,7 +153,8 @@ def place_actions(actions: DataFrame) -> DataFrame:
         ordered_positions(
             actions.select(
                 "app_id", F.col("event_id").cast("string").alias("event_id"),
-                F.col("at").cast("timestamp").alias("at"), "action", "allowed",
+                F.col("at").cast("timestamp").alias("at"), "action",
+                (F.col("allowed") & F.col("app_id").isNotNull()).alias("allowed"),
             ),
             ["app_id"],
             ["at", "event_id"],
@@ -178,7 +169,7 @@ def replay(placed: DataFrame, initial: DataFrame | None = None) -> DataFrame:
 
     ``initial`` gives ``app_id, status`` to start from; without it everything is a draft.
     """
-    maps = run_maps(placed)
+    maps = run_maps(placed.filter(F.col("app_id").isNotNull()))
     if initial is None:
         begun = maps.withColumn("_from", F.lit(STATE_NO["draft"]))
     else:
@@ -224,7 +215,9 @@ def refused_actions(
     return rows.filter(~effective).select(
         "app_id", "event_id", "at", "action",
         met.alias("status"),
-        F.when(~F.col("allowed"), "role")
+        F.when(F.col("app_id").isNull(), "no_application")
+        .when(F.col("action").isNull(), "no_decision")
+        .when(~F.col("allowed"), "role")
         .when(met.isNull(), "unknown")
         .otherwise("status")
         .alias("reason"),

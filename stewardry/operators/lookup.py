@@ -119,10 +119,10 @@ def visible_counts(applications: DataFrame, principals: DataFrame) -> DataFrame:
     own = applications.groupBy(F.col("created_by").alias("user_id")).agg(
         F.count("*").alias("own")
     )
-    total = applications.agg(F.count("*").alias("total")).first().total
+    total = applications.agg(F.count("*").alias("total")).scalar()
     seen = (
         F.when(F.col("role") == "applicant", F.coalesce("own", F.lit(0)))
-        .when(F.col("role").isin("admin", "data_admin"), F.lit(total))
+        .when(F.col("role").isin("admin", "data_admin"), total)
         .otherwise(F.lit(0))
     )
     return known.join(own, "user_id", "left").select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import hint_if_small, materialize
+from ..session import materialize
 
 PART_BITS = 33  # monotonically_increasing_id keeps the partition above this bit
 
@@ -23,7 +23,7 @@ def ordered_positions(df: DataFrame, keys: list[str], order: list[str]) -> DataF
 def number_within(
     df: DataFrame, keys: list[str], order: list[str], name: str = "n"
 ) -> DataFrame:
-    """Add ``name`` = 1, 2, 3, ... per key in ``order``; keys must not be null.
+    """Add ``name`` = 1, 2, 3, ... per key in ``order``; null keys are a key of their own.
 
     Within a range the rows of a key lie side by side, so their numbers follow from the
     position; only one (count, first position) pair per key and range is ever grouped.
@@ -42,10 +42,12 @@ def number_within(
         "_part",
         (F.coalesce(F.sum("_rows").over(earlier), F.lit(0)) - F.col("_first") + 1).alias("_shift"),
     )
-    # with few keys (years, rules) the rows stay where they are
-    shifts = hint_if_small(materialize(shifts))
+    same = F.col("_part") == F.col("_own_part")
+    for key in keys:
+        same = same & F.col(key).eqNullSafe(F.col(f"_own{key}"))
+    renamed = shifts.withColumnsRenamed({c: f"_own{c}" for c in [*keys, "_part"]})
     return (
-        placed.join(shifts, [*keys, "_part"])
+        placed.join(renamed, same)
         .withColumn(name, F.col("_pos") + F.col("_shift"))
         .drop("_pos", "_part", "_shift")
         .select(*df.columns, name)

@@ -23,20 +23,21 @@ class Decided(NamedTuple):
 
 
 def decision_action(stage: Column, approved: Column) -> Column:
-    """``admin_approve``, ``dept_reject`` and so on."""
-    return F.concat_ws("_", stage, F.when(approved, "approve").otherwise("reject"))
+    """``admin_approve``, ``dept_reject`` and so on; null without a decision."""
+    return F.concat(stage, F.when(approved, "_approve").when(~approved, "_reject"))
 
 
 def approve_batch(
     applications: DataFrame,
     decisions: DataFrame,
     logs: DataFrame,
-    principals: DataFrame | None = None,
+    principals: DataFrame,
 ) -> Decided:
     """Apply decisions in time order, each against the status it meets.
 
     ``decisions`` has ``decision_id, application_id, stage ('admin' | 'dept'), approved,
-    comment, acted_by, acted_by_name, at``. Of many decisions on one application only those
+    comment, acted_by, acted_by_name, at``; ``principals`` (``user_id, role``) says who may
+    decide at which stage. Of many decisions on one application only those
     that take effect (one per stage at most) are joined back, so a hot application costs
     its replay and nothing else.
     """

@@ -11,7 +11,6 @@ from ..functions.rows import unfold
 from ..functions.text import blank_to_null, iso_time
 from ..operators.audit import trace_summary
 from ..operators.hierarchy import paths
-from ..operators.lookup import page
 from ..sources.feeds import FQN_PREFIX, stored_or_derived_fqn
 
 DETAILS = (
@@ -21,11 +20,6 @@ DETAILS = (
 VALIDATOR = "validator"
 
 
-def newest_rows(df: DataFrame, order: str, max_rows: int | None) -> DataFrame:
-    """All rows, or the newest ``max_rows`` as a page would show them."""
-    return df if max_rows is None else page(df, order, limit=max_rows)
-
-
 def catalog(
     golden: DataFrame, classifications: DataFrame, fqn_prefix: str = FQN_PREFIX
 ) -> DataFrame:
@@ -239,12 +233,8 @@ def overview(
     applications: DataFrame,
     classifications: DataFrame,
     logs: DataFrame,
-    max_rows: int | None = None,
 ) -> dict[str, DataFrame]:
-    """All parts; ``max_rows`` limits each input to its newest rows, as a screen would."""
-    golden = newest_rows(golden, "created_at", max_rows)
-    applications = newest_rows(applications, "created_at", max_rows)
-    logs = newest_rows(logs, "executed_at", max_rows)
+    """All parts, over the whole tables."""
     return {
         "summary": overview_summary(golden, applications, logs),
         "catalog": catalog(golden, classifications),

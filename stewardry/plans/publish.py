@@ -1,4 +1,9 @@
-"""Publishing approved applications as golden records."""
+"""Publishing approved applications as golden records, and taking in what receivers answer.
+
+Publishing makes the records and the feeds. What became of a feed is known only from the
+receivers: their answers are a table, and :func:`apply_results` turns it into flags, audit
+rows and the external log. A failed answer leaves the record published all the same.
+"""
 
 from __future__ import annotations
 
@@ -13,18 +18,27 @@ from ..operators.hierarchy import paths
 from ..operators.quality import run_quality_tests
 from ..schemas import DEFAULTS, GOLDEN_RECORDS
 from ..session import materialize
-from ..sources.feeds import FQN_PREFIX, catalog_feed, entity_fqn, publish_feed
+from ..sources.feeds import FQN_PREFIX, catalog_feed, external_log, publish_feed
 from ..sources.tables import conform
 from .submit import system_step
 
+#: fixed values: the two receivers as named in the external log
+BTP, CATALOG = "btp", "openmetadata"
+
 
 class Published(NamedTuple):
-    golden: DataFrame  # new golden records
+    golden: DataFrame  # new golden records, not yet sent
     applications: DataFrame  # the published applications with their new status
     audit: DataFrame  # new audit rows
     publish_feed: DataFrame
     catalog_feed: DataFrame
-    refused: DataFrame  # approved applications whose code or record exists already
+    refused: DataFrame  # approved applications that cannot become a record, with the reason
+
+
+class Answered(NamedTuple):
+    golden: DataFrame  # next version of the given records
+    audit: DataFrame  # new audit rows
+    external_log: DataFrame  # every answer, also of records that are not known
 
 
 def publish_batch(
@@ -33,99 +47,121 @@ def publish_batch(
     classifications: DataFrame,
     logs: DataFrame,
     as_of: datetime,
-    catalog_enabled: bool = True,
-    publish_enabled: bool = True,
     fqn_prefix: str = FQN_PREFIX,
 ) -> Published:
     """Turn approved applications into golden records, feeds and audit rows.
 
-    Applications that have a record, or whose code is taken by a record or by a lower id
-    of the same batch, are refused, so running a batch again adds nothing. With the catalog
-    switched off records count as synced without a name, and no quality results are kept.
+    Refused are applications without a code (``no_code``), with a record already
+    (``recorded``), whose code a record or a lower id of the batch has (``code_taken``),
+    and whose class lies in a cycle (``no_path``). So running a batch again adds nothing.
     """
     at = F.lit(as_of).cast("timestamp")
     approved = applications.filter(F.col("status") == "approved")
     owners = approved.groupBy("material_code").agg(F.min("id").alias("_owner"))
-    recorded = golden.select(F.col("application_id").alias("id")).distinct()
-    codes = golden.select("material_code").distinct()
-    fresh = (
-        approved.join(recorded, "id", "left_anti")
-        .join(codes, "material_code", "left_anti")
-        .join(owners, "material_code")
-        .filter(F.col("id") == F.col("_owner"))
-    )
+    recorded = golden.select(F.col("application_id").alias("id"), F.lit(True).alias("_recorded")).distinct()
+    codes = golden.select("material_code", F.lit(True).alias("_taken")).distinct()
     climbed = paths(classifications).select(
-        F.col("id").alias("classification_id"), F.col("path").alias("classification_path")
+        F.col("id").alias("classification_id"), F.col("path").alias("classification_path"), "complete"
     )
-    name = entity_fqn(F.col("material_code"), fqn_prefix)
-    sync_no = F.concat(
-        F.lit(f"BTP-{as_of:%Y%m%d%H%M%S}-"), F.substring(F.md5("application_id"), 1, 8)
+    known = (
+        approved.join(recorded, "id", "left").join(codes, "material_code", "left")
+        .join(owners, "material_code", "left").join(climbed, "classification_id", "left")
     )
-    rows = (
-        fresh.withColumnRenamed("id", "application_id")
-        .join(climbed, "classification_id", "left")
-        .select(
-            F.concat(F.lit("gr-"), "application_id").alias("id"),
-            "application_id", "app_no", "material_code", "material_name", "material_desc",
-            "classification_id", "classification_path", "attribute_values", "material_type",
-            F.lit(publish_enabled).alias("btp_published"),
-            F.when(F.lit(publish_enabled), at).alias("btp_published_at"),
-            F.when(F.lit(publish_enabled), sync_no).alias("btp_sync_id"),
-            F.lit(True).alias("om_synced"),
-            at.alias("om_synced_at"),
-            F.when(F.lit(catalog_enabled), name).alias("om_entity_fqn"),
-            "created_by",
-            at.alias("created_at"),
-            at.alias("updated_at"),
-        )
+    reason = (
+        F.when(F.col("_recorded"), "recorded")
+        .when(F.coalesce("material_code", F.lit("")) == "", "no_code")
+        .when(F.col("_taken") | (F.col("id") != F.col("_owner")), "code_taken")
+        .when(~F.col("complete"), "no_path")
     )
-    records = materialize(rows)
-    new_golden = conform(records, GOLDEN_RECORDS, DEFAULTS["golden_records"])
-    done = applications.join(
-        records.select(F.col("application_id").alias("id")), "id", "left_semi"
+    judged = materialize(known.withColumn("reason", reason))
+    records = judged.filter("reason is null").select(
+        F.concat(F.lit("gr-"), "id").alias("id"),
+        F.col("id").alias("application_id"), "app_no", "material_code", "material_name", "material_desc",
+        "classification_id", "classification_path", "attribute_values", "material_type",
+        "created_by", at.alias("created_at"), at.alias("updated_at"),
     )
-    refused = (
-        approved.join(records.select(F.col("application_id").alias("id")), "id", "left_anti")
-        .join(recorded.withColumn("_known", F.lit(True)), "id", "left")
-        .select(
-            "id", "app_no", "material_code",
-            F.when(F.col("_known"), "recorded").otherwise("code_taken").alias("reason"),
-        )
+    new_golden = conform(records, GOLDEN_RECORDS, DEFAULTS["golden_records"])
+    done = applications.join(records.select(F.col("application_id").alias("id")), "id", "left_semi")
+    made = system_step(1, "create_gr", F.lit("success"), F.to_json(F.struct("material_code")))
+    steps = records.select(
+        "application_id", "app_no", F.col("id").alias("golden_record_id"), F.inline(F.array(made))
     )
-    steps = publish_steps(records, catalog_enabled, publish_enabled)
+    stamped = done.withColumn("status", F.lit("published"))
+    if "updated_at" in done.columns:
+        stamped = stamped.withColumn("updated_at", at)
     return Published(
         new_golden,
-        done.withColumn("status", F.lit("published")),
+        stamped,
         batch_audit(steps.withColumn("executed_at", at), logs),
         publish_feed(new_golden),
         catalog_feed(new_golden, fqn_prefix),
-        refused,
+        judged.filter("reason is not null").select("id", "app_no", "material_code", "reason"),
     )
 
 
-def publish_steps(records: DataFrame, catalog_enabled: bool, publish_enabled: bool) -> DataFrame:
-    """The four steps of every published record; a failed step does not stop the next."""
-    tested = run_quality_tests(records)
-    passed = F.col("all_passed") if catalog_enabled else F.lit(True)
-    results = F.col("quality_results") if catalog_enabled else F.filter(
-        "quality_results", lambda _: F.lit(False)
+def apply_results(
+    golden: DataFrame,
+    applications: DataFrame,
+    results: DataFrame,
+    logs: DataFrame,
+) -> Answered:
+    """Records, audit rows and external log after the receivers' answers.
+
+    ``results`` has ``result_id, golden_record_id, system ('btp' | 'openmetadata'), success,
+    reference, response, error_message, at``: the sync id or the entity's name as
+    reference. Of several answers of one receiver the latest counts. A record without an
+    answer of a receiver keeps its flags; only a success sets them. Quality tests are
+    logged with the catalog's answer.
+    """
+    answer = F.struct("at", F.col("result_id").alias("no"), "success", "reference", "response", "error_message")
+    known = golden.select(F.col("id").alias("golden_record_id"))
+    latest = (
+        results.join(known, "golden_record_id", "left_semi").groupBy("golden_record_id")
+        .agg(*[F.max(F.when(F.col("system") == name, answer)).alias(f"_{name}") for name in (BTP, CATALOG)])
+        .withColumnRenamed("golden_record_id", "id")
     )
-    success = F.lit("success")
+    joined = golden.join(latest, "id", "left")
+    btp, catalog = F.col(f"_{BTP}"), F.col(f"_{CATALOG}")
+    sent, synced = F.coalesce(btp.success, F.lit(False)), F.coalesce(catalog.success, F.lit(False))
+    new = {
+        "btp_published": F.when(sent, F.lit(True)),
+        "btp_published_at": F.when(sent, btp["at"]),
+        "btp_sync_id": F.when(sent, btp.reference),
+        "om_synced": F.when(synced, F.lit(True)),
+        "om_synced_at": F.when(synced, catalog["at"]),
+        "om_entity_fqn": F.when(synced, catalog.reference),
+        "updated_at": F.when(sent | synced, F.greatest(btp["at"], catalog["at"])),
+    }
+    columns = [
+        F.coalesce(new[c], F.col(c)).alias(c) if c in new else F.col(c) for c in golden.columns
+    ]
+    heard = run_quality_tests(joined.filter(btp.isNotNull() | catalog.isNotNull()))
+    outcome = lambda s: F.when(s, "success").otherwise("failed")
+    details = lambda a, name: F.to_json(F.struct(a.success.alias("success"), a.reference.alias(name), a.response.alias("response")))
     steps = F.array(
-        system_step(1, "create_gr", success, F.to_json(F.struct("material_code"))),
-        system_step(
-            2, "publish_btp", F.lit("success" if publish_enabled else "failed"),
-            F.to_json(F.struct(F.lit(publish_enabled).alias("success"), F.col("btp_sync_id").alias("sync_id"))),
-        ),
-        system_step(
-            3, "sync_om", success,
-            F.to_json(F.struct(F.lit(True).alias("success"), F.col("om_entity_fqn").alias("entity_fqn"))),
+        F.struct(btp["at"].alias("at"), btp.error_message.alias("error"),
+                 system_step(1, "publish_btp", outcome(sent), details(btp, "sync_id")).alias("s")),
+        F.struct(catalog["at"].alias("at"), catalog.error_message.alias("error"),
+                 system_step(2, "sync_om", outcome(synced), details(catalog, "entity_fqn")).alias("s")),
+        F.struct(
+            catalog["at"].alias("at"), F.lit(None).cast("string").alias("error"),
+            system_step(3, "om_test", outcome(F.col("all_passed")),
+                        F.to_json(F.struct("all_passed", F.col("quality_results").alias("results")))).alias("s"),
         ),
-        system_step(
-            4, "om_test", F.when(passed, "success").otherwise("failed"),
-            F.to_json(F.struct(passed.alias("all_passed"), results.alias("results"))),
-        ),
-    )
-    return tested.select(
-        "application_id", "app_no", F.col("id").alias("golden_record_id"), F.inline_outer(steps)
+    )
+    answered = F.filter(steps, lambda s: s["at"].isNotNull())
+    rows = heard.select("application_id", F.col("id").alias("golden_record_id"), F.posexplode(answered).alias("nth", "step"))
+    rows = rows.select(
+        "application_id", "golden_record_id", "step.s.*", F.col("step.at").alias("executed_at"),
+        F.col("step.error").alias("error_message"), (F.col("nth") + 1).alias("_nth"),
+    ).drop("place").withColumnRenamed("_nth", "place")
+    numbers = applications.select(F.col("id").alias("application_id"), "app_no")
+    audit = batch_audit(rows.join(numbers, "application_id", "left"), logs)
+    log = results.select(
+        F.concat(F.lit("ext-"), "result_id").alias("id"), F.col("system").alias("system_name"),
+        F.when(F.col("system") == BTP, "publish").otherwise("sync").alias("operation"),
+        F.lit("material").alias("entity_type"), F.col("golden_record_id").alias("entity_id"),
+        F.col("response").alias("response_payload"), outcome(F.col("success")).alias("status"),
+        "error_message", F.col("at").alias("executed_at"),
     )
+    return Answered(joined.select(columns), audit, external_log(log))

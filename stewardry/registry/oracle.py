@@ -48,13 +48,20 @@ FROM classifications WHERE is_active""")
 oracle("classification_children", "classifications", """
 SELECT id, code, name FROM classifications WHERE is_active AND level = 2 AND parent_id = 'R1'""")
 
-PATHS = """
+CLIMB = """
+climb AS (
+  SELECT id, parent_id, name || ' (' || code || ')' AS path, [id] AS seen, FALSE AS looped FROM {0}
+  UNION ALL
+  SELECT c.id, p.parent_id, p.name || ' (' || p.code || ') / ' || c.path, list_append(c.seen, p.id),
+         list_contains(c.seen, p.id)
+  FROM climb c JOIN {0} p ON p.id = c.parent_id WHERE NOT c.looped),
 paths AS (
-  SELECT c.id, concat_ws(' / ', a.name || ' (' || a.code || ')', b.name || ' (' || b.code || ')',
-                         c.name || ' (' || c.code || ')') AS path
-  FROM classifications c LEFT JOIN classifications b ON c.parent_id = b.id
-  LEFT JOIN classifications a ON b.parent_id = a.id)"""
-oracle("classification_path", "classifications", "SELECT id, path, TRUE AS complete FROM paths", PATHS)
+  SELECT id, CASE WHEN NOT bool_or(looped) THEN arg_max(path, len(seen)) END AS path,
+         NOT bool_or(looped) AS complete
+  FROM climb GROUP BY id)"""
+PATHS = CLIMB.format("classifications")
+oracle("classification_path", "classifications", "SELECT * FROM paths", PATHS)
+oracle("classification_path_deep", "deep_classes", "SELECT * FROM paths", CLIMB.format("deep_classes"))
 
 oracle("classification_tree_flat", "classifications", """
 SELECT a.code AS root_code, b.code AS middle_code, c.code AS leaf_code
@@ -240,6 +247,10 @@ SELECT id, material_code, bool_and(passed) OVER (PARTITION BY id) AS all_passed,
 # ---- duplicate detection ----------------------------------------------------------
 
 SPACE = r"[\s\x1c-\x1f\x85\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+# two decimals as the binary value of the score decides; halves are m/200
+ROUNDED = "CASE CAST(round(score * 200, 9) AS VARCHAR) " + " ".join(
+    f"WHEN '{m}.0' THEN {round(m / 200, 2)}::DOUBLE" for m in range(101, 200, 2)
+) + " ELSE round_even(score, 2) END"
 DEDUP = f"""
 named AS (
   SELECT id, regexp_replace(lower(coalesce(material_name, '')), '^{SPACE}|{SPACE}$', '', 'g') AS n
@@ -250,22 +261,20 @@ live AS (SELECT id, material_code AS code, material_name AS raw, lower(material_
 exact AS (
   SELECT n, code, raw FROM (
     SELECT n, code, raw, row_number() OVER (PARTITION BY n ORDER BY code) AS place
-    FROM names JOIN live ON low = n) WHERE place <= 3),
-capped AS (
-  SELECT n, code, raw, low FROM (
-    SELECT n, code, raw, low, row_number() OVER (PARTITION BY n ORDER BY code) AS place
-    FROM names JOIN live ON contains(low, substr(n, 1, 4)) AND raw <> n
-    WHERE length(n) >= 4) WHERE place <= 5),
+    FROM names JOIN live ON low = n) WHERE place <= 5),
+words AS (SELECT low, list_distinct(regexp_split_to_array(low, '{SPACE}')) AS b FROM (SELECT DISTINCT low FROM live)),
+pairs AS (
+  SELECT n, low, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(a), len(b)) AS score
+  FROM (SELECT n, list_distinct(regexp_split_to_array(n, '{SPACE}')) AS a FROM names WHERE length(n) >= 4)
+  JOIN words ON contains(low, substr(n, 1, 4)) AND low <> n),
 near AS (
-  SELECT n, code, raw, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(a), len(b)) AS score
-  FROM (SELECT *, list_distinct(regexp_split_to_array(n, '{SPACE}')) AS a,
-               list_distinct(regexp_split_to_array(low, '{SPACE}')) AS b
-        FROM capped WHERE low <> n)),
+  SELECT n, code, raw, score FROM (
+    SELECT n, code, raw, score, row_number() OVER (PARTITION BY n ORDER BY score DESC, code) AS place
+    FROM pairs JOIN live USING (low) WHERE score >= 0.5) WHERE place <= 5),
 hits AS (
   SELECT n, code, raw, 1.0::DOUBLE AS similarity, '名称完全相同' AS reason, 0 AS src FROM exact
   UNION ALL
-  SELECT n, code, raw, round_even(score, 2), '关键词重叠 ' || CAST(trunc(score * 100) AS INTEGER) || '%', 1
-  FROM near WHERE score >= 0.5),
+  SELECT n, code, raw, {ROUNDED}, '关键词重叠 ' || CAST(trunc(score * 100) AS INTEGER) || '%', 1 FROM near),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY n ORDER BY similarity DESC, src, code) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY n, code ORDER BY similarity DESC, src) AS copy
@@ -403,21 +412,25 @@ SELECT application_id, step_name, id, status, {iso('executed_at')} AS at FROM la
 
 # ---- lifecycle --------------------------------------------------------------------
 
-MACHINE = "machine(source, action, target) AS (VALUES " + ", ".join(
-    f"('{s}', '{a}', '{t}')" for s, a, t in C.TRANSITIONS) + ")"
-ROLE_LIST = ", ".join(
-    f"('{a}', '{r}')" for a, roles in C.ACTION_ROLES.items() for r in roles)
-
-
-def walk(roles: bool) -> str:
-    """One row per action with the status before and after, walked one action at a time."""
-    allowed = (
-        "(action, (SELECT role FROM principals WHERE user_id = acted_by)) IN (SELECT * FROM may)"
-        if roles else "TRUE")
-    may = f"may(action, role) AS (VALUES {ROLE_LIST}),\n" if roles else ""
-    return f"""{may}{MACHINE},
+# the machine and its roles, written out apart from the library's tables
+MACHINE = """machine(source, action, target) AS (VALUES
+  ('draft', 'submit', 'pending_admin'), ('pending_admin', 'admin_approve', 'pending_dept'),
+  ('pending_admin', 'admin_reject', 'rejected'), ('pending_dept', 'dept_approve', 'approved'),
+  ('pending_dept', 'dept_reject', 'rejected'), ('approved', 'publish', 'published')),
+may(action, role) AS (VALUES
+  ('submit', 'applicant'), ('submit', 'admin'), ('submit', 'data_admin'),
+  ('admin_approve', 'admin'), ('admin_approve', 'data_admin'),
+  ('admin_reject', 'admin'), ('admin_reject', 'data_admin'),
+  ('dept_approve', 'dept_approver'), ('dept_approve', 'admin'), ('dept_approve', 'data_admin'),
+  ('dept_reject', 'dept_approver'), ('dept_reject', 'admin'), ('dept_reject', 'data_admin'),
+  ('publish', 'admin'), ('publish', 'data_admin'))"""
+ALLOWED = """coalesce(
+  (action, (SELECT role FROM principals WHERE user_id = acted_by)) IN (SELECT (action, role) FROM may), FALSE)"""
+
+
+WALK = f"""{MACHINE},
 seq AS (
-  SELECT app_id, event_id, action, coalesce({allowed}, FALSE) AS allowed,
+  SELECT app_id, event_id, action, {ALLOWED} AS allowed,
          row_number() OVER (PARTITION BY app_id ORDER BY "at", event_id) AS n FROM actions),
 walked AS (
   SELECT app_id, CAST(NULL AS VARCHAR) AS event_id, CAST(NULL AS VARCHAR) AS action, TRUE AS allowed,
@@ -435,17 +448,17 @@ def recursive(name: str) -> None:
     ORACLES[name] = ORACLES[name].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-oracle("lifecycle_state", "actions", """
+oracle("lifecycle_state", "actions principals", """
 SELECT app_id, arg_max(target, n) AS status, count(*) FILTER (WHERE taken) AS taken
-FROM walked GROUP BY app_id""", walk(False))
+FROM walked GROUP BY app_id""", WALK)
 oracle("lifecycle_taken", "actions principals", """
-SELECT app_id, event_id, action, source, target FROM walked WHERE taken""", walk(True))
+SELECT app_id, event_id, action, source, target FROM walked WHERE taken""", WALK)
 oracle("refused_actions", "actions principals", """
 SELECT app_id, event_id, action, source AS status,
        CASE WHEN allowed THEN 'status' ELSE 'role' END AS reason
-FROM walked WHERE n > 0 AND NOT taken""", walk(True))
-oracle("stream_lifecycle", "actions", """
-SELECT app_id, event_id, action, source, target, taken FROM walked WHERE n > 0""", walk(False))
+FROM walked WHERE n > 0 AND NOT taken""", WALK)
+oracle("stream_lifecycle", "actions principals", """
+SELECT app_id, event_id, action, source, target, taken FROM walked WHERE n > 0""", WALK)
 for walked in ("lifecycle_state", "lifecycle_taken", "refused_actions", "stream_lifecycle"):
     recursive(walked)
 
@@ -551,59 +564,93 @@ FROM (SELECT *, {OLD.format('done')} AS old FROM done),
 WHERE validation_passed OR place = 1""", SUBMIT)
 
 PUBLISH = PATHS + """,
-fresh AS (
-  SELECT a.* FROM applications a
-  WHERE status = 'approved' AND id NOT IN (SELECT application_id FROM golden WHERE application_id IS NOT NULL)
-    AND material_code NOT IN (SELECT material_code FROM golden)
-    AND id = (SELECT min(id) FROM applications b WHERE b.status = 'approved' AND b.material_code = a.material_code))"""
+judged AS (
+  SELECT a.*, path, CASE
+    WHEN id IN (SELECT application_id FROM golden WHERE application_id IS NOT NULL) THEN 'recorded'
+    WHEN coalesce(material_code, '') = '' THEN 'no_code'
+    WHEN material_code IN (SELECT material_code FROM golden)
+      OR id <> (SELECT min(id) FROM applications b WHERE b.status = 'approved' AND b.material_code = a.material_code)
+      THEN 'code_taken'
+    WHEN NOT complete THEN 'no_path' END AS reason
+  FROM applications a LEFT JOIN (SELECT id AS pid, path, complete FROM paths) ON pid = classification_id
+  WHERE status = 'approved'),
+fresh AS (SELECT * FROM judged WHERE reason IS NULL)"""
 PUBLISH_TABLES = "applications classifications golden old_logs"
 oracle("publish_batch", PUBLISH_TABLES, """
-SELECT 'gr-' || fresh.id AS id, fresh.id AS application_id, material_code, path AS classification_path,
-       'active' AS status, 1 AS version, TRUE AS btp_published, TRUE AS om_synced,
-       'catalog.Material.' || material_code AS om_entity_fqn
-FROM fresh LEFT JOIN paths ON paths.id = classification_id""", PUBLISH)
+SELECT 'gr-' || id AS id, id AS application_id, material_code, path AS classification_path,
+       'active' AS status, 1 AS version, FALSE AS btp_published, FALSE AS om_synced FROM fresh""", PUBLISH)
+oracle("publish_applications", PUBLISH_TABLES, """
+SELECT id, 'published' AS status, '2026-05-01T12:00:00' AS updated_at FROM fresh""", PUBLISH)
 oracle("publish_audit", PUBLISH_TABLES, f"""
-SELECT app_no || '-S' || (place + old) AS step_id, 'gr-' || id AS golden_record_id, step_name,
-       CASE WHEN place < 4 OR (length(coalesce(material_name, '')) BETWEEN 5 AND 200
-                               AND coalesce(classification_id, '') <> '')
-            THEN 'success' ELSE 'failed' END AS status
-FROM (SELECT *, {OLD.format('fresh')} AS old FROM fresh),
-     (VALUES (1, 'create_gr'), (2, 'publish_btp'), (3, 'sync_om'), (4, 'om_test')) s(place, step_name)
-""", PUBLISH)
-oracle("publish_refused", PUBLISH_TABLES, """
-SELECT id, material_code, CASE WHEN id IN (SELECT application_id FROM golden)
-         THEN 'recorded' ELSE 'code_taken' END AS reason FROM applications
-WHERE status = 'approved' AND id NOT IN (SELECT id FROM fresh)""", PUBLISH)
+SELECT app_no || '-S' || (1 + {OLD.format('fresh')}) AS step_id, 'gr-' || id AS golden_record_id,
+       'create_gr' AS step_name, 'success' AS status FROM fresh""", PUBLISH)
+oracle("publish_refused", PUBLISH_TABLES,
+       "SELECT id, material_code, reason FROM judged WHERE reason IS NOT NULL", PUBLISH)
+
+ANSWERS = PUBLISH + """,
+last_answer AS (
+  SELECT * FROM (SELECT r.*, row_number() OVER (PARTITION BY golden_record_id, system
+                                                ORDER BY "at" DESC, result_id DESC) AS place FROM results r)
+  WHERE place = 1),
+heard AS (
+  SELECT f.*, 'gr-' || f.id AS gid, b.success AS b_ok, b.reference AS b_ref, b."at" AS b_at, b.error_message AS b_error,
+         o.success AS o_ok, o.reference AS o_ref, o."at" AS o_at
+  FROM fresh f LEFT JOIN last_answer b ON b.golden_record_id = 'gr-' || f.id AND b.system = 'btp'
+  LEFT JOIN last_answer o ON o.golden_record_id = 'gr-' || f.id AND o.system = 'openmetadata')"""
+RESULT_TABLES = PUBLISH_TABLES + " results"
+oracle("publish_results", RESULT_TABLES, f"""
+SELECT gid AS id, coalesce(b_ok, FALSE) AS btp_published, CASE WHEN b_ok THEN b_ref END AS btp_sync_id,
+       CASE WHEN b_ok THEN {iso('b_at')} END AS btp_published_at, coalesce(o_ok, FALSE) AS om_synced,
+       CASE WHEN o_ok THEN o_ref END AS om_entity_fqn,
+       CASE WHEN b_ok OR o_ok THEN {iso('greatest(b_at, o_at)')} ELSE '2026-05-01T12:00:00' END AS updated_at
+FROM heard""", ANSWERS)
+oracle("publish_result_audit", RESULT_TABLES, f"""
+SELECT id AS application_id, gid AS golden_record_id,
+       app_no || '-S' || (1 + row_number() OVER (PARTITION BY id ORDER BY place)) AS step_id,
+       step_name, CASE WHEN ok THEN 'success' ELSE 'failed' END AS status, error_message,
+       {iso('t')} AS executed_at
+FROM (SELECT id, gid, app_no, 1 AS place, 'publish_btp' AS step_name, b_ok AS ok, b_at AS t, b_error AS error_message
+      FROM heard WHERE b_at IS NOT NULL
+      UNION ALL SELECT id, gid, app_no, 2, 'sync_om', o_ok, o_at, NULL FROM heard WHERE o_at IS NOT NULL
+      UNION ALL SELECT id, gid, app_no, 3, 'om_test', length(coalesce(material_name, '')) BETWEEN 5 AND 200
+        AND coalesce(classification_id, '') <> '' AND coalesce(material_code, '') <> '', o_at, NULL
+      FROM heard WHERE o_at IS NOT NULL)""", ANSWERS)
+oracle("external_log", "results", f"""
+SELECT 'ext-' || result_id AS id, system AS system_name,
+       CASE system WHEN 'btp' THEN 'publish' ELSE 'sync' END AS operation, golden_record_id AS entity_id,
+       CASE WHEN success THEN 'success' ELSE 'failed' END AS status, error_message, {iso('"at"')} AS executed_at
+FROM results""")
 
 DECIDED = f"""{MACHINE},
-once AS (SELECT *, stage || '_' || CASE WHEN approved THEN 'approve' ELSE 'reject' END AS action
+once AS (SELECT *, stage || CASE approved WHEN TRUE THEN '_approve' WHEN FALSE THEN '_reject' END AS action
          FROM decisions),
-seq AS (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY "at", decision_id) AS n FROM once),
+seq AS (SELECT *, {ALLOWED} AS allowed, row_number() OVER (PARTITION BY application_id ORDER BY "at", decision_id) AS n FROM once),
 walked AS (
   SELECT id AS application_id, CAST(0 AS BIGINT) AS n, status AS source, status AS target,
          CAST(NULL AS VARCHAR) AS decision_id, FALSE AS taken FROM applications
   UNION ALL
   SELECT s.application_id, s.n, w.target, coalesce(m.target, w.target), s.decision_id, m.target IS NOT NULL
   FROM walked w JOIN seq s ON s.application_id = w.application_id AND s.n = w.n + 1
-  LEFT JOIN machine m ON m.source = w.target AND m.action = s.action),
+  LEFT JOIN machine m ON m.source = w.target AND m.action = s.action AND s.allowed),
 effective AS (SELECT seq.* FROM seq JOIN walked USING (decision_id) WHERE taken),
 final AS (SELECT application_id AS id, arg_max(target, n) AS status FROM walked GROUP BY 1)"""
-oracle("approve_batch", "applications decisions", f"""
+oracle("approve_batch", "applications decisions principals", f"""
 SELECT id, f.status, coalesce(a.approved, FALSE) AS admin_approved, a.acted_by AS admin_approved_by,
        a.comment AS admin_comment, coalesce(d.approved, FALSE) AS dept_approved,
        d.acted_by AS dept_approved_by, d.comment AS dept_comment,
        {iso('greatest(a."at", d."at")')} AS updated_at
 FROM final f LEFT JOIN effective a ON a.application_id = id AND a.stage = 'admin'
 LEFT JOIN effective d ON d.application_id = id AND d.stage = 'dept'""", DECIDED)
-oracle("approve_audit", "applications decisions old_logs", f"""
+oracle("approve_audit", "applications decisions principals old_logs", f"""
 SELECT application_id, app_no || '-S' || (old + place) AS step_id, step_name,
        {STEP} AS step_label, status FROM (
   SELECT application_id, app_no, stage || '_approve' AS step_name,
          CASE WHEN approved THEN 'success' ELSE 'failed' END AS status, {OLD.format('p')} AS old,
          row_number() OVER (PARTITION BY application_id ORDER BY "at", decision_id) AS place
   FROM effective JOIN applications p ON p.id = application_id)""", DECIDED)
-oracle("approve_refused", "applications decisions", """
-SELECT application_id AS app_id, decision_id AS event_id, action, source AS status, 'status' AS reason
+oracle("approve_refused", "applications decisions principals", """
+SELECT application_id AS app_id, decision_id AS event_id, action, source AS status,
+       CASE WHEN action IS NULL THEN 'no_decision' WHEN allowed THEN 'status' ELSE 'role' END AS reason
 FROM walked JOIN seq USING (application_id, decision_id) WHERE NOT taken""", DECIDED)
 for walked in ("approve_batch", "approve_audit", "approve_refused"):
     recursive(walked)
@@ -672,3 +719,9 @@ oracle("stream_status_counts", "applications",
        "SELECT status, count(*) AS applications FROM applications GROUP BY status")
 oracle("stream_step_counts", "logs",
        "SELECT step_name, status, count(*) AS steps FROM logs GROUP BY step_name, status")
+
+for climbing in (
+    "classification_path", "classification_path_deep", "catalog", "publish_batch", "publish_applications",
+    "publish_audit", "publish_refused", "publish_results", "publish_result_audit",
+):
+    recursive(climbing)

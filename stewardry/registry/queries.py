@@ -83,6 +83,11 @@ def classification_path(d):
     return hierarchy.paths(d.classifications)
 
 
+@query
+def classification_path_deep(d):
+    return hierarchy.paths(d.deep_classes)
+
+
 @query
 def classification_tree_flat(d):
     return hierarchy.tree_flat(d.classifications)
@@ -355,7 +360,7 @@ def latest_step(d):
 
 @query
 def lifecycle_state(d):
-    placed = lifecycle.place_actions(lifecycle.authorised(d.actions, None))
+    placed = lifecycle.place_actions(lifecycle.authorised(d.actions, d.principals))
     states = lifecycle.replay(placed)
     return states.select("app_id", "status", F.size("taken").cast("bigint").alias("taken"))
 
@@ -464,7 +469,43 @@ def published(d):
 def publish_batch(d):
     return published(d).golden.select(
         "id", "application_id", "material_code", "classification_path", "status", "version",
-        "btp_published", "om_synced", "om_entity_fqn",
+        "btp_published", "om_synced",
+    )
+
+
+@query
+def publish_applications(d):
+    return published(d).applications.select(
+        "id", "status", iso_time(F.col("updated_at")).alias("updated_at")
+    )
+
+
+def answered(d):
+    done = published(d)
+    return publish.apply_results(done.golden, d.applications, d.results, done.audit)
+
+
+@query
+def publish_results(d):
+    return answered(d).golden.select(
+        "id", "btp_published", "btp_sync_id", iso_time(F.col("btp_published_at")).alias("btp_published_at"),
+        "om_synced", "om_entity_fqn", iso_time(F.col("updated_at")).alias("updated_at"),
+    )
+
+
+@query
+def publish_result_audit(d):
+    return answered(d).audit.select(
+        "application_id", "golden_record_id", "step_id", "step_name", "status", "error_message",
+        iso_time(F.col("executed_at")).alias("executed_at"),
+    )
+
+
+@query
+def external_log(d):
+    return answered(d).external_log.select(
+        "id", "system_name", "operation", "entity_id", "status", "error_message",
+        iso_time(F.col("executed_at")).alias("executed_at"),
     )
 
 
@@ -479,7 +520,7 @@ def publish_refused(d):
 
 
 def decided(d):
-    return approve.approve_batch(d.applications, d.decisions, d.old_logs)
+    return approve.approve_batch(d.applications, d.decisions, d.old_logs, d.principals)
 
 
 @query
@@ -663,7 +704,7 @@ def stream_dedup(d):
 
 @query
 def stream_lifecycle(d):
-    actions = streamed(d, "events", "actions").withColumn("allowed", F.lit(True))
+    actions = lifecycle.authorised(streamed(d, "events", "actions"), d.principals)
     return jobs.drain(d.spark, lifecycle_stream(actions)).select(
         "app_id", "event_id", "action", "source", "target", "taken"
     )

@@ -1,4 +1,4 @@
-"""Session settings, durable cut points and size-checked broadcasts."""
+"""Session settings and durable cut points."""
 
 from __future__ import annotations
 
@@ -6,11 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# A broadcast is only requested for frames counted to stay within both bounds.
-BROADCAST_ROWS = 500_000
-BROADCAST_CHARS = 50_000_000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,20 +56,3 @@ def materialize(df: DataFrame) -> DataFrame:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder below the checkpoint root, for stream state and sinks."""
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
-    """Whether rows and text stay within the bounds; reads at most ``max_rows + 1`` rows.
-
-    For materialized frames of text and fixed-width columns.
-    """
-    sizes = [F.coalesce(F.length(c), F.lit(0)) for c, kind in df.dtypes if kind == "string"]
-    chars = sum(sizes, F.lit(0).cast("bigint"))
-    seen = df.limit(max_rows + 1).agg(F.count("*").alias("rows"), F.sum(chars).alias("chars"))
-    row = seen.first()
-    return row.rows <= max_rows and (row.chars or 0) <= BROADCAST_CHARS
-
-
-def hint_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint when its counted size allows, else unchanged."""
-    return F.broadcast(df) if fits_broadcast(df, max_rows) else df

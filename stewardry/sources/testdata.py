@@ -13,7 +13,14 @@ TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
 ]
 
-ROW_TABLES = ["part", "orders", "lineitem", "events"]
+# Chains of customers, each below the one of a third of its number; some are their own parent.
+DEEP_CLASSES = """
+SELECT 'K' || c_custkey AS id,
+       'K' || CASE WHEN c_custkey % 97 = 0 THEN c_custkey ELSE CAST(floor(c_custkey / 3.0) AS BIGINT) END
+         AS parent_id,
+       'k' || c_custkey AS code, c_mktsegment AS name, 1 AS level, TRUE AS is_active
+FROM {customer}
+"""
 
 # Three levels: region -> nation -> supplier.
 CLASSIFICATIONS = """
@@ -188,7 +195,7 @@ SELECT 'U' || user_id || '-' || CAST(CAST(date_trunc('week', ts) AS DATE) AS VAR
        CAST(event_id AS VARCHAR(20)) AS event_id, CAST(ts AS TIMESTAMP) AS at,
        CASE event_type WHEN 'signup' THEN 'submit' WHEN 'view' THEN 'admin_approve'
             WHEN 'click' THEN 'dept_approve' WHEN 'purchase' THEN 'publish'
-            ELSE 'reject' END AS action,
+            WHEN 'error' THEN CASE WHEN event_id % 2 = 0 THEN 'admin_reject' ELSE 'dept_reject' END END AS action,
        'C' || (event_id % 97) AS acted_by
 FROM {events}
 """
@@ -199,12 +206,31 @@ SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
          || '-' || l_quantity || '-' || l_extendedprice AS decision_id,
        'A' || l_orderkey AS application_id,
        CASE WHEN l_returnflag = 'N' THEN 'dept' ELSE 'admin' END AS stage,
-       l_linestatus = 'O' AS approved, 'line ' || l_linenumber AS comment,
+       CASE WHEN l_linenumber < 6 THEN l_linestatus = 'O' END AS approved, 'line ' || l_linenumber AS comment,
        'C' || l_suppkey AS acted_by, 'Supplier ' || l_suppkey AS acted_by_name,
        CAST(l_shipdate AS TIMESTAMP) AS at
 FROM {lineitem}
 """
 
+# What the receivers answered about the records of approved orders; some never did.
+RESULTS = """
+SELECT 'b' || o_orderkey AS result_id, 'gr-A' || o_orderkey AS golden_record_id, 'btp' AS system,
+       CAST(floor(o_totalprice) AS BIGINT) % 4 <> 0 AS success, 'REF-' || o_orderkey AS reference,
+       CAST(NULL AS VARCHAR(10)) AS response,
+       CASE WHEN CAST(floor(o_totalprice) AS BIGINT) % 4 = 0 THEN 'unreachable' END AS error_message,
+       CAST(o_orderdate AS TIMESTAMP) AS at
+FROM {orders} WHERE o_orderstatus = 'P' AND CAST(floor(o_totalprice) AS BIGINT) % 7 <> 0
+UNION ALL
+SELECT 'c' || o_orderkey, 'gr-A' || o_orderkey, 'openmetadata',
+       CAST(floor(o_totalprice) AS BIGINT) % 5 <> 0, 'catalog.' || o_orderkey, NULL, NULL,
+       CAST(o_orderdate AS TIMESTAMP) + INTERVAL '1' DAY
+FROM {orders} WHERE o_orderstatus = 'P' AND CAST(floor(o_totalprice) AS BIGINT) % 9 <> 0
+UNION ALL
+SELECT 'd' || o_orderkey, 'gr-A' || o_orderkey, 'btp', TRUE, 'again-' || o_orderkey, NULL, NULL,
+       CAST(o_orderdate AS TIMESTAMP) + INTERVAL '2' DAY
+FROM {orders} WHERE o_orderstatus = 'P' AND CAST(floor(o_totalprice) AS BIGINT) % 8 = 0
+"""
+
 # Line items as files uploaded to the order's application.
 UPLOADS = """
 SELECT 'A' || l_orderkey AS application_id,
@@ -237,28 +263,22 @@ SQL = {
     "templates": TEMPLATES,
     "rules": RULES,
     "golden": GOLDEN,
+    "deep_classes": DEEP_CLASSES,
     "applications": APPLICATIONS,
     "principals": PRINCIPALS,
     "logs": LOGS,
     "old_logs": OLD_LOGS,
     "actions": ACTIONS,
     "decisions": DECISIONS,
+    "results": RESULTS,
     "uploads": UPLOADS,
     "patches": PATCHES,
 }
 
 
 def given(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables, on at least one partition per core.
-
-    A small table is one file with one row group, so one task would do all row work; a
-    table of many files is left as it is.
-    """
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    if name in ROW_TABLES and table.rdd.getNumPartitions() < cores:
-        return table.repartition(cores)
-    return table
+    """One of the given tables."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def bind(spark: SparkSession, sf_dir: str, name: str, **replaced: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.dedup import GoldenIndex, build_index, check_duplicates
+from ..operators.dedup import build_index, check_duplicates
 from ..operators.validate import validate
 from ..session import materialize, scratch_path
 
@@ -26,17 +26,29 @@ def validate_stream(
 
 
 def dedup_stream(
-    applications: DataFrame, golden: DataFrame, sink: str, checkpoint: str, **options
+    applications: DataFrame,
+    golden: DataFrame | Callable[[], tuple[object, DataFrame]],
+    sink: str,
+    checkpoint: str,
+    **options,
 ) -> StreamingQuery:
-    """Check every micro-batch against a golden snapshot and write it to ``sink``.
+    """Check every micro-batch against the golden records and write it to ``sink``.
 
-    The snapshot is indexed once, so a batch costs two lookups. A batch is written to a
-    folder named by its id, so a repeated batch replaces itself.
+    ``golden``: a snapshot, or a function that returns the newest version's name and
+    records; it is asked before each batch, and the index is built anew when the name has
+    changed. A batch is written to a folder named by its id, so a repeated batch replaces
+    itself.
     """
-    index = GoldenIndex(*[materialize(part) for part in build_index(golden)])
+    newest = golden if callable(golden) else lambda: (None, golden)
+    held: dict = {}
 
     def check(batch: DataFrame, batch_id: int) -> None:
-        checked = check_duplicates(batch, index=index)
+        version, records = newest()
+        if "index" not in held or version != held["version"]:
+            built = build_index(records)
+            parts = {f: materialize(getattr(built, f)) for f in ("exact", "near", "counts")}
+            held.update(version=version, index=built._replace(**parts))
+        checked = check_duplicates(batch, index=held["index"])
         checked.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return (

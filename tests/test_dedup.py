@@ -72,20 +72,28 @@ def test_wildcards_are_literal(spark):
     assert other.similar_materials == []
 
 
-def test_caps_and_order(spark):
-    golden = [(f"E{i}", "steel plate x", "active") for i in range(5)]
+def test_best_five_of_all(spark):
+    golden = [(f"E{i}", "steel plate x", "active") for i in range(3)]
     golden += [(f"P{i}", f"steel plate x{i}", "active") for i in range(9)]
     (result,) = check(spark, golden, ["Steel Plate X"])
-    # three exact hits; the containment cap of five is used up by the first codes, which
-    # includes no raw name equal to the candidate, so five others stay, two of them shown
     assert [h[0] for h in hits(result)] == ["E0", "E1", "E2", "P0", "P1"]
+    golden = [(f"A{i}", f"plates of kind number n{i}", "active") for i in range(6)]
+    golden += [("Z", "plates steel thin x", "active")]
+    (result,) = check(spark, golden, ["plates steel thin y"])
+    assert hits(result) == [("Z", 0.75, "关键词重叠 75%")]  # behind many codes that share letters only
 
 
-def test_case_variants_use_up_the_cap(spark):
-    golden = [(f"A{i}", "STEEL PLATE", "active") for i in range(5)]
+def test_case_variants_do_not_hide_others(spark):
+    golden = [(f"A{i}", "STEEL PLATE", "active") for i in range(3)]
     golden += [("B1", "steel plate two", "active")]
     (result,) = check(spark, golden, ["steel plate"])
-    assert [h[0] for h in hits(result)] == ["A0", "A1", "A2"]  # B1 is behind five variants
+    assert [h[0] for h in hits(result)] == ["A0", "A1", "A2", "B1"]
+
+
+def test_ties_round_as_their_binary_value(spark):
+    scores = [(m, round(m / 200, 2)) for m in range(100, 201)] + [(115, 0.57)]
+    df = spark.createDataFrame([(m / 200, r) for m, r in scores], "s double, r double")
+    assert df.filter(dedup.rounded(F.col("s")) != F.col("r")).count() == 0
 
 
 def test_unique_codes_keep_the_best(spark):
@@ -100,55 +108,50 @@ def test_long_and_special_names(spark):
     assert not out[0].is_duplicate and out[1].is_duplicate and out[2].is_duplicate
 
 
-def test_caps_must_be_positive(spark):
-    with pytest.raises(ValueError):
-        check(spark, [("A", "abcd", "active")], ["abcd"], partial_cap=0)
-
-
-def brute_force(golden, name, exact_cap, partial_cap):
-    """One candidate at a time over all records, in code order."""
+def brute_force(golden, name):
+    """One candidate at a time over all records."""
     n = name.strip().lower()
     if len(n) < 3:
         return []
-    live = sorted((c, f"g{i}", raw) for i, (c, raw, s) in enumerate(golden) if s == "active")
-    found = [(c, 1.0) for c, _, raw in live if raw.lower() == n][:exact_cap]
+    live = sorted((c, raw) for c, raw, s in golden if s == "active")
+    found = [(-1.0, 0, c) for c, raw in live if raw.lower() == n]
     if len(n) >= 4:
-        near = [(c, raw) for c, _, raw in live if n[:4] in raw.lower() and raw != n][:partial_cap]
-        for code, raw in near:
+        for code, raw in live:
             a, b = set(n.split()), set(raw.lower().split())
             score = len(a & b) / max(len(a), len(b))
-            if raw.lower() != n and score >= 0.5:
-                found.append((code, round(score, 2)))
-    found.sort(key=lambda h: -h[1])
+            if n[:4] in raw.lower() and raw.lower() != n and score >= 0.5:
+                found.append((-round(score, 2), 1, code))
     best = []
-    for hit in found:
-        if hit[0] not in [b[0] for b in best]:
-            best.append(hit)
-    return best
+    for score, _, code in sorted(found):
+        if code not in [b[0] for b in best]:
+            best.append((code, -score))
+    return best[:5]
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("caps", [(3, 5), (1, 2), (7, 2)])
-def test_capped_plan_equals_brute_force(spark, monkeypatch, seed, caps):
-    if seed % 2:  # also the way for too many names and prefixes to broadcast
-        monkeypatch.setattr(dedup, "fits_broadcast", lambda df: False)
+def test_equals_brute_force(spark, monkeypatch, seed):
+    monkeypatch.setattr(dedup, "CHUNK", [256, 3, 17, 1][seed])
     rnd = random.Random(seed)
-    words = ["ring", "Ring", "bolt", "bo", "RING", "x", "gear"]
-    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))
-    golden = [
-        (f"M{rnd.randint(0, 60):03d}", text(), "active" if rnd.random() < 0.9 else "obsolete")
-        for _ in range(120)
-    ]
-    names = [text() for _ in range(60)]
-    out = check(spark, golden, names, exact_cap=caps[0], partial_cap=caps[1])
+    words = ["ring", "Ring", "bolt", "bo", "RING", "x", "gear", "plate", "q1", "q2"]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5)))
+    golden = [(f"M{i:03d}", text(), "active" if rnd.random() < 0.9 else "obsolete") for i in range(200)]
+    names = [text() for _ in range(80)]
+    out = check(spark, golden, names)
     for name, result in zip(names, out):
-        want = brute_force(golden, name, *caps)
-        assert [(h[0], h[1]) for h in hits(result)] == want[:5], name
+        want = brute_force(golden, name)
+        assert [(h[0], h[1]) for h in hits(result)] == want, name
         assert result.is_duplicate == any(score >= 0.8 for _, score in want[:3])
         assert result.confidence == (want[0][1] if want else 0.0)
 
 
-def test_hot_names_are_cut_before_the_shuffle(spark):
+def test_another_similarity_sees_all_records_with_the_prefix(spark):
+    golden = [("A", "steel a b c d", "active"), ("B", "xxsteel", "active"), ("C", "iron", "active")]
+    same = lambda a, b: F.lit(0.9)
+    (result,) = check(spark, golden, ["steel z"], similarity=same)
+    assert [h[0] for h in hits(result)] == ["A", "B"]
+
+
+def test_hot_word_on_both_sides(spark):
     golden = spark.range(20000).select(
         F.col("id").cast("string").alias("id"),
         F.format_string("M%06d", "id").alias("material_code"),
@@ -157,16 +160,32 @@ def test_hot_names_are_cut_before_the_shuffle(spark):
         ).alias("material_name"),
         F.lit("active").alias("status"),
     )
-    wanted = F.when(F.col("id") % 2 == 0, "Hot name here").otherwise("cold thing")
+    wanted = F.when(F.col("id") % 2 == 0, "Hot name here").otherwise("cold name thing")
     cands = spark.range(500).select("id", wanted.alias("material_name"))
     df = check_duplicates(cands, golden)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
-    cut = dedup.active_names(golden, 5)._jdf.queryExecution().executedPlan().toString()
-    assert cut.count("WindowGroupLimit") == 2  # cut per raw name before and after the shuffle
-    assert plan.count("WindowGroupLimit") == 4  # the same per name and per prefix
-    rows = df.filter(F.col("id") % 2 == 0).select("dedup_result.similar_materials.material_code")
-    assert [r.material_code for r in rows.distinct().collect()] == [["M000000", "M000003", "M000006"]]
+    rows = df.groupBy(F.col("id") % 2, "dedup_result.similar_materials.material_code").count().collect()
+    assert sorted((r[0], r[1]) for r in rows) == [
+        (0, [f"M{i:06d}" for i in (0, 3, 6, 9, 12)]), (1, [f"M{i:06d}" for i in (1, 2, 4, 5, 7)])
+    ]
+
+
+def test_stream_sees_a_new_version(spark, tmp_path):
+    from stewardry.streaming.jobs import dedup_stream
+
+    versions = {1: [("1", "A", "steel plate", "active")], 2: [("1", "A", "steel plate", "active"), ("2", "B", "iron rod", "active")]}
+    now = {"v": 1}
+    schema = "id string, material_code string, material_name string, status string"
+    newest = lambda: (now["v"], spark.createDataFrame(versions[now["v"]], schema))
+    rows = spark.createDataFrame([("a", "iron rod")], "id string, material_name string")
+    for v in (1, 2):
+        now["v"] = v
+        rows.write.mode("append").parquet(f"{tmp_path}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in")
+        dedup_stream(source, newest, f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
+    out = spark.read.parquet(f"{tmp_path}/out").orderBy("batch").select("is_duplicate").collect()
+    assert [r[0] for r in out] == [False, True]
 
 
 def test_index_built_once_serves_many_batches(spark):

@@ -24,7 +24,9 @@ def frame(spark, rows):
 
 
 def run(spark, rows, initial=None, principals=None):
-    placed = lc.place_actions(lc.authorised(frame(spark, rows), principals))
+    actions = frame(spark, rows)
+    free = actions.withColumn("allowed", F.lit(True)) if principals is None else lc.authorised(actions, principals)
+    placed = lc.place_actions(free)
     states = lc.replay(placed, initial)
     refused = lc.refused_actions(placed, states, initial)
     return (
@@ -62,10 +64,16 @@ def test_whole_chain_and_rejections(spark):
     }
 
 
-@pytest.mark.parametrize("bits", [12, 2])
+def test_a_null_application_is_refused(spark):
+    rows = [(None, 1, "submit"), ("a", 2, "submit")]
+    states, refused = run(spark, rows)
+    assert states == {"a": ("pending_admin", ["e000002"])}
+    assert refused == {(None, "e000001"): ("draft", "no_application")}
+
+
+@pytest.mark.parametrize("bits", [12, 3])
 def test_random_replay_equals_a_walk(spark, monkeypatch, bits):
-    monkeypatch.setattr(lc, "RUN_BITS", bits)  # 2: every application is "hot"
-    monkeypatch.setattr(lc, "RUN_ROWS", 2**bits)
+    monkeypatch.setattr(lc, "RUN_BITS", bits)  # 3: an application's actions fall into many runs
     rnd = random.Random(bits)
     rows = [
         (rnd.choice(["hot", f"a{rnd.randint(0, 40)}"]), i, rnd.choice(ACTIONS)) for i in range(1500)

@@ -12,11 +12,3 @@ def test_checkpoint_folder_comes_from_the_session(spark):
 def test_materialized_positions_stay(spark):
     df = session.materialize(spark.range(1000).repartition(7).withColumn("p", F.monotonically_increasing_id()))
     assert df.collect() == df.collect() and df.inputFiles()[0].endswith(".parquet")
-
-
-def test_broadcasts_need_a_counted_size(spark, monkeypatch):
-    df = spark.createDataFrame([("abc",), (None,), ("defgh",)], "t string")
-    assert session.fits_broadcast(df, 3) and not session.fits_broadcast(df, 2)
-    monkeypatch.setattr(session, "BROADCAST_CHARS", 7)
-    assert not session.fits_broadcast(df, 3)
-    assert session.fits_broadcast(df.limit(0), 3)

@@ -120,6 +120,11 @@ def test_hierarchy(spark, classes):
     assert [(c.code, [g.code for g in c.children]) for c in root.children] == [("0101", ["010101"]), ("0102", [])]
     cycle = spark.createDataFrame([("a", "b", "A", "a", 2), ("b", "a", "B", "b", 2)], "id string, parent_id string, code string, name string, level int")
     assert rows(hierarchy.paths(cycle), "id", "complete") == [("a", False), ("b", False)]
+    chain = [{"id": str(i), "code": f"c{i}", "name": "n", "level": 1, "parent_id": str(i - 1) if i else None} for i in range(20)]
+    chain += [{"id": "x", "code": "cx", "name": "n", "level": 1, "parent_id": "x"}, {"id": "y", "code": "cy", "name": "n", "level": 1, "parent_id": "x"}]
+    deep = {r.id: (r.path, r.complete) for r in hierarchy.paths(load_rows(spark, chain, "material_classifications")).collect()}
+    assert deep["19"] == (" / ".join(f"n (c{i})" for i in range(20)), True)
+    assert deep["x"] == deep["y"] == (None, False)
 
 
 def test_file_names(spark):
