@@ -40,10 +40,15 @@ def is_present(item: Column) -> Column:
 
 
 def value_text(item: Column) -> Column:
-    """A :func:`typed` value as shown: bare text for scalars, ``True`` for true, else JSON."""
+    """A :func:`typed` value as shown: bare text for scalars, ``True`` for true, else JSON.
+
+    A number written with a fraction of zero, like ``2.0``, keeps it.
+    """
     kind, value = item.kind, item.value
+    whole = kind.rlike(r"^DECIMAL\(([0-9]|1[0-8]),0\)$")
     return (
         F.when(kind == "BOOLEAN", F.initcap(F.to_json(value)))
         .when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), F.to_json(value))
+        .when(whole, F.concat(F.try_variant_get(value, "$", "string"), F.lit(".0")))
         .otherwise(F.try_variant_get(value, "$", "string"))
     )

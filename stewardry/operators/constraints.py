@@ -51,6 +51,7 @@ CONSTRAINTS = {
         Constraint("field_name", required=True, max_length=50),
         Constraint("field_label", required=True, max_length=100),
         Constraint("field_type", required=True, pattern=f"^({'|'.join(FIELD_TYPES)})$"),
+        Constraint("default_value", max_length=200),
     ],
     "material_applications": [
         Constraint("material_name", required=True, max_length=200),
@@ -58,6 +59,8 @@ CONSTRAINTS = {
         Constraint("material_type", required=True, allowed=MATERIAL_TYPES),
         Constraint("status", allowed=APPLICATION_STATUSES),
         Constraint("material_code", max_length=50),
+        Constraint("app_no", max_length=20),
+        Constraint("created_by", max_length=50),
     ],
     "code_rules": [
         Constraint("name", required=True, max_length=100),
@@ -71,12 +74,24 @@ CONSTRAINTS = {
         Constraint("classification_id", required=True),
         Constraint("material_type", required=True, allowed=MATERIAL_TYPES),
         Constraint("status", allowed=GOLDEN_STATUSES),
+        Constraint("classification_path", max_length=200),
+        Constraint("btp_sync_id", max_length=50),
+        Constraint("om_entity_fqn", max_length=200),
     ],
     "audit_logs": [
         Constraint("step_id", required=True, max_length=20),
         Constraint("step_name", required=True, allowed=list(STEP_LABELS)),
         Constraint("executed_by", required=True, max_length=50),
-        Constraint("status", required=True, allowed=list(STATUS_LABELS)),
+        Constraint("status", required=True, max_length=20, allowed=list(STATUS_LABELS)),
+        Constraint("step_label", max_length=50),
+        Constraint("executed_by_name", max_length=100),
+    ],
+    "external_system_logs": [
+        Constraint("system_name", required=True, max_length=20),
+        Constraint("operation", required=True, max_length=50),
+        Constraint("entity_type", max_length=50),
+        Constraint("entity_id", max_length=50),
+        Constraint("status", required=True, max_length=20),
     ],
 }
 
@@ -148,6 +163,7 @@ def referential_audit(
     applications: DataFrame,
     golden: DataFrame,
     rules: DataFrame,
+    logs: DataFrame,
 ) -> DataFrame:
     """``relation, id, value`` of every dangling reference; one anti join per target table."""
     to_class = _references(
@@ -159,9 +175,14 @@ def referential_audit(
             ("rule.classification", rules, "classification_id"),
         ]
     )
-    to_application = _references([("golden.application", golden, "application_id")])
-    return orphans(to_class, "value", classifications).unionByName(
-        orphans(to_application, "value", applications)
+    to_application = _references(
+        [("golden.application", golden, "application_id"), ("audit.application", logs, "application_id")]
+    )
+    to_golden = _references([("audit.golden", logs, "golden_record_id")])
+    return (
+        orphans(to_class, "value", classifications)
+        .unionByName(orphans(to_application, "value", applications))
+        .unionByName(orphans(to_golden, "value", golden))
     )
 
 

@@ -154,7 +154,7 @@ WHERE material_type NOT IN ('raw', 'semi', 'finished', 'auxiliary', 'spare')
 UNION ALL SELECT 'audit_logs', id, 'step_name:allowed' FROM logs WHERE step_name = 'archive'
 UNION ALL SELECT 'audit_logs', id, 'status:allowed' FROM logs WHERE status = 'odd'""")
 
-oracle("referential_audit", "classifications templates applications golden rules", """
+oracle("referential_audit", "classifications templates applications golden rules logs", """
 SELECT 'classification.parent' AS relation, id, parent_id AS value FROM classifications
 WHERE parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM classifications)
 UNION ALL SELECT 'template.classification', id, classification_id FROM templates
@@ -166,7 +166,9 @@ WHERE classification_id NOT IN (SELECT id FROM classifications)
 UNION ALL SELECT 'golden.application', id, application_id FROM golden
 WHERE application_id IS NOT NULL AND application_id NOT IN (SELECT id FROM applications)
 UNION ALL SELECT 'rule.classification', id, classification_id FROM rules
-WHERE classification_id NOT IN (SELECT id FROM classifications)""")
+WHERE classification_id NOT IN (SELECT id FROM classifications)
+UNION ALL SELECT 'audit.application', id, application_id FROM logs
+WHERE application_id IS NOT NULL AND application_id NOT IN (SELECT id FROM applications)""")
 
 oracle("uniqueness_audit", "classifications applications golden", """
 SELECT * FROM (

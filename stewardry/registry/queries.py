@@ -195,7 +195,7 @@ def constraint_violations(d):
 @query
 def referential_audit(d):
     return constraints.referential_audit(
-        d.classifications, d.templates, d.applications, d.golden, d.rules
+        d.classifications, d.templates, d.applications, d.golden, d.rules, d.logs
     )
 
 

@@ -18,6 +18,8 @@ def tune(spark: SparkSession) -> SparkSession:
         # split a hot join key even when that costs one more exchange
         "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
         "spark.sql.session.timeZone": "UTC",
+        # of a key repeated in a JSON object the last value counts
+        "spark.sql.variant.allowDuplicateKeys": "true",
         # stream state lives on disk and is not bounded by the heap
         "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     }

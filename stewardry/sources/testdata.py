@@ -133,6 +133,7 @@ SELECT 'A' || o_orderkey AS id,
          WHEN 6 THEN '{{"weight": -2.5}}'
          WHEN 7 THEN 'not json'
          WHEN 8 THEN '["grade"]'
+         WHEN 9 THEN '{{"grade": "x", "weight": 2.0}}'
          ELSE '{{"grade": "' || p_brand || '", "weight": ' || p_size || '}}' END
          AS attribute_values,
        CASE WHEN o_orderstatus = 'F' THEN 'F-' || lpad(CAST(o_orderkey AS VARCHAR(20)), 6, '0')

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from stewardry.functions import json_values
 from stewardry.operators.constraints import CONSTRAINTS, Constraint, quarantine, with_violations
 from stewardry.operators.quality import run_quality_tests
 from stewardry.operators.validate import ExtraCheck, validate
@@ -126,3 +127,14 @@ def test_quality(spark):
         ([True, True, True], True), ([False, False, True], False),
         ([False, False, False], False), ([True, True, False], False),
     ]
+
+
+def test_repeated_keys_and_written_numbers(spark):
+    cases = {
+        '{"w": 1, "w": "last"}': (True, "last"), '{"w": 2.0}': (True, "2.0"), '{"w": 2}': (True, "2"),
+        '{"w": -2.50}': (True, "-2.5"), '{"w": 0.0}': (False, "0.0"), '{"w": 12345678901234567890}': (True, "12345678901234567890"),
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "j string")
+    item = json_values.typed(json_values.object_entries(F.col("j"))["w"])
+    rows = df.select("j", json_values.is_present(item).alias("p"), json_values.value_text(item).alias("t")).collect()
+    assert {r.j: (r.p, r.t) for r in rows} == cases
