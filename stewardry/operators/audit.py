@@ -66,6 +66,16 @@ def batch_audit(steps: DataFrame, logs: DataFrame) -> DataFrame:
     return as_audit_rows(rows)
 
 
+def request_audit(requests: DataFrame, step_name: str, applications: DataFrame, logs: DataFrame) -> DataFrame:
+    """Audit rows of users' own actions, such as ``create_draft`` or ``save_draft``.
+
+    ``requests`` has ``id, application_id, executed_by, executed_by_name, executed_at`` and
+    ``details``; any number per application, numbered by time after the logged steps.
+    """
+    events = requests.withColumns({"step_name": F.lit(step_name), "status": F.lit("success")})
+    return record_events(events, applications, logs)
+
+
 def as_audit_rows(events: DataFrame) -> DataFrame:
     """Add labels and conform to the audit table."""
     labelled = events.withColumn("step_label", step_label(F.col("step_name"))).withColumn(

@@ -565,6 +565,29 @@ FROM (SELECT *, {OLD.format('done')} AS old FROM done),
      (VALUES (1, 'validate'), (2, 'dedup_check'), (3, 'code_generate'), (4, 'submit')) s(place, step_name)
 WHERE validation_passed OR place = 1""", SUBMIT)
 
+JUDGED = """
+judged_requests AS (
+  SELECT r.*, CASE WHEN a.id IS NULL THEN 'unknown'
+    WHEN p.role IS NULL OR p.role NOT IN ('applicant', 'admin', 'data_admin')
+      OR (p.role = 'applicant' AND a.created_by <> acted_by) THEN 'role'
+    WHEN a.status <> 'draft' THEN 'not_draft' END AS reason
+  FROM requests r LEFT JOIN applications a ON a.id = r.application_id LEFT JOIN principals p ON p.user_id = acted_by)"""
+oracle("submit_refused", "applications principals requests", """
+SELECT id, application_id, acted_by, reason FROM judged_requests WHERE reason IS NOT NULL""", JUDGED)
+oracle("submit_by_actor", "applications classifications templates principals requests old_logs", f"""
+SELECT application_id, app_no || '-S' || (4 + {OLD.format('a')}) AS step_id, acted_by AS executed_by,
+       acted_by_name AS executed_by_name
+FROM judged_requests r JOIN applications a ON a.id = r.application_id JOIN summary s ON s.id = a.id
+WHERE reason IS NULL AND s.validation_passed""", CHECKS + "," + JUDGED)
+oracle("create_audit", "applications old_logs", f"""
+SELECT id AS application_id, app_no || '-S' || (1 + {OLD.format('a')}) AS step_id, 'create_draft' AS step_name,
+       created_by AS executed_by, created_by_name AS executed_by_name, '{{"app_no":"' || app_no || '"}}' AS details
+FROM applications a""")
+oracle("upload_audit", "applications uploads old_logs", f"""
+SELECT application_id, app_no || '-S' || (n + {OLD.format('u')}) AS step_id, 'save_draft' AS step_name, uploaded_by AS executed_by
+FROM (SELECT u.*, app_no, row_number() OVER (PARTITION BY application_id ORDER BY uploaded_at, u.id) AS n
+      FROM uploads u JOIN applications a ON a.id = application_id WHERE a.status = 'draft') u""")
+
 PUBLISH = PATHS + """,
 judged AS (
   SELECT a.*, path, CASE

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from stewardry.functions import labels
 from stewardry.functions.text import iso_time
 from stewardry.operators import (
-    attachments, audit, codes, constraints, dedup, hierarchy, lifecycle, lookup, patch, quality,
+    access, attachments, audit, codes, constraints, dedup, hierarchy, lifecycle, lookup, patch, quality,
     validate,
 )
 from stewardry.plans import approve, backfill, dashboard, overview, publish, submit
@@ -461,6 +461,51 @@ def submit_rules(d):
     return submitted(d).rules.select("id", "current_seq")
 
 
+def requested(d):
+    return submit.submit_batch(
+        d.applications, d.classifications, d.templates, d.rules, d.golden, d.old_logs, AS_OF,
+        d.requests, d.principals,
+    )
+
+
+@query
+def submit_refused(d):
+    return access.judge_requests(d.requests, d.applications, d.principals).refused.select(
+        "id", "application_id", "acted_by", "reason"
+    )
+
+
+@query
+def submit_by_actor(d):
+    steps = requested(d).audit.filter("step_name = 'submit'")
+    return steps.select("application_id", "step_id", "executed_by", "executed_by_name")
+
+
+@query
+def create_audit(d):
+    new = d.applications.select(
+        "id", F.col("id").alias("application_id"), F.col("created_by").alias("executed_by"),
+        F.col("created_by_name").alias("executed_by_name"), F.col("created_at").alias("executed_at"),
+        F.to_json(F.struct("app_no")).alias("details"),
+    )
+    return audit.request_audit(new, "create_draft", d.applications, d.old_logs).select(
+        "application_id", "step_id", "step_name", "executed_by", "executed_by_name", "details"
+    )
+
+
+@query
+def upload_audit(d):
+    rows = uploads(d).select(
+        F.col("attachment_id").alias("id"), "application_id", F.col("uploaded_by").alias("executed_by"),
+        F.col("uploaded_by_name").alias("executed_by_name"),
+        F.to_timestamp("uploaded_at").alias("executed_at"),
+        F.to_json(F.struct("attachment_id", "original_name", "size")).alias("details"),
+    )
+    return audit.request_audit(rows, "save_draft", d.applications, d.old_logs).select(
+        "application_id", "step_id", "step_name", "executed_by"
+    )
+
+
 def published(d):
     return publish.publish_batch(d.applications, d.golden, d.classifications, d.old_logs, AS_OF)
 

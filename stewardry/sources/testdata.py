@@ -213,6 +213,16 @@ SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey
 FROM {lineitem}
 """
 
+# Every order is a request to submit its application, a third of them by someone else.
+REQUESTS = """
+SELECT 'S' || o_orderkey AS id, 'A' || o_orderkey AS application_id,
+       'C' || CASE WHEN o_orderkey % 3 = 0 THEN o_custkey + 1 ELSE o_custkey END AS acted_by,
+       'Customer ' || o_custkey AS acted_by_name, CAST(o_orderdate AS TIMESTAMP) AS at
+FROM {orders}
+UNION ALL
+SELECT 'S-' || c_custkey, 'A-' || c_custkey, 'C' || c_custkey, c_name, TIMESTAMP '2024-01-01 00:00:00' FROM {customer}
+"""
+
 # What the receivers answered about the records of approved orders; some never did.
 RESULTS = """
 SELECT 'b' || o_orderkey AS result_id, 'gr-A' || o_orderkey AS golden_record_id, 'btp' AS system,
@@ -271,6 +281,7 @@ SQL = {
     "old_logs": OLD_LOGS,
     "actions": ACTIONS,
     "decisions": DECISIONS,
+    "requests": REQUESTS,
     "results": RESULTS,
     "uploads": UPLOADS,
     "patches": PATCHES,
