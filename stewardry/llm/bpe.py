@@ -2,10 +2,11 @@
 
 The last token of a prefix's encoding is the one suffix of it that the token before may
 stand next to, where two tokens may stand side by side if their joint bytes encode to just
-them. A state of the transducer is the last token sent out and the bytes still pending;
-reading a byte extends the pending bytes and sends out every token on which all possible
-continuations agree. That takes at most the longest token as lookahead. States and moves
-are made when first needed and kept.
+them. A state of the transducer is the bytes still pending: reading a byte extends them and
+sends out every token on which all possible continuations agree. Once they agree on a
+boundary, no merge crosses it, so what follows is encoded as if it were the beginning. The
+lookahead is at most the longest token. States and moves are made when first needed and
+kept.
 """
 
 from __future__ import annotations
@@ -38,14 +39,16 @@ class Transducer:
         self.spelled = {r: t for t, r in ranks.items()}
         #: proper prefixes of tokens: pending bytes that a longer token might go on from
         self.open = {t[:i] for t in ranks for i in range(1, len(t))}
-        self.longest = max(map(len, ranks))
+        self.size = {r: len(t) for t, r in ranks.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
-        start = (None, b"")
-        self.keys = [start]
-        self.numbers = {start: 0}
+        #: per state: the pending bytes, the last token of each prefix of them (None where no
+        #: encoding in question ends), and the prefixes from whose end a longer token may be
+        #: under way
+        self.states: list[tuple[bytes, list[int | None], list[int]]] = [(b"", [None], [])]
+        self.numbers: dict[bytes, int] = {b"": 0}
         #: per state: byte -> (next state, tokens sent out)
         self.moves: list[dict[int, tuple[int, tuple[int, ...]]]] = [{}]
         self.finals: list[tuple[int, ...] | None] = [()]
@@ -73,69 +76,68 @@ class Transducer:
             ok = self.pairs[a, b] = self.merged(self.spelled[a] + self.spelled[b]) == [a, b]
         return ok
 
-    def _last_tokens(self, before: int | None, pending: bytes) -> list[int | None]:
-        """For each prefix of the pending bytes, the last token of its encoding after ``before``.
-
-        None where no token fits: such a prefix is not an end of any encoding here.
-        """
-        last: list[int | None] = [before]
-        for end in range(1, len(pending) + 1):
-            found = None
-            for size in range(min(end, self.longest), 0, -1):
-                token = self.ranks.get(pending[end - size : end])
-                if token is None:
-                    continue
-                prior = last[end - size]
-                if end == size and before is None or prior is not None and self.beside(prior, token):
-                    found = token
-                    break
-            last.append(found)
-        return last
-
-    def _chain(self, last: list[int | None], end: int) -> list[int]:
-        """Ends of the tokens that encode the first ``end`` pending bytes."""
-        ends = []
+    def _chain(self, last: list[int | None], end: int) -> tuple[int, ...]:
+        """The tokens that encode the first ``end`` pending bytes."""
+        tokens = []
         while end > 0:
-            ends.append(end)
-            end -= len(self.spelled[last[end]])
-        return ends[::-1]
+            tokens.append(last[end])
+            end -= self.size[last[end]]
+        return tuple(tokens[::-1])
 
     def _make(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        before, pending = self.keys[state]
-        pending += bytes((byte,))
-        last = self._last_tokens(before, pending)
+        pending, last, live = self.states[state]
         n = len(pending)
-        # ends from which a later token may start: now, or where a longer token is under way
-        live = [q for q in range(n) if pending[q:] in self.open and (q == 0 or last[q] is not None)]
-        agreed = set(self._chain(last, n))
-        for q in live:
-            agreed &= set(self._chain(last, q))
+        pending += bytes((byte,))
+        found = None
+        for q in (*live, n):  # the longest suffix first
+            token = self.ranks.get(pending[q:])
+            if token is not None:
+                if q == 0 or self.beside(last[q], token):
+                    found = token
+                    break
+        last = [*last, found]
+        live = [q for q in (*live, n) if pending[q:] in self.open]
+        # where the encodings of all prefixes that matter meet
+        cut, others = n + 1, live[:]
+        while others:
+            top = others[-1]
+            if top == cut:
+                others.pop()
+            elif top > cut:
+                others[-1] = top - self.size[last[top]]
+                others.sort()
+            else:
+                cut -= self.size[last[cut]]
         sent: tuple[int, ...] = ()
-        if agreed:
-            cut = max(agreed)
-            sent = tuple(last[e] for e in self._chain(last, cut))
-            before, pending = last[cut], pending[cut:]
-        key = (before, pending)
-        number = self.numbers.get(key)
+        if cut:
+            sent = self._chain(last, cut)
+            pending = pending[cut:]
+            useful = set()
+            for end in (*live, n + 1):
+                while end > cut and end not in useful:
+                    useful.add(end)
+                    end -= self.size[last[end]]
+            last = [None] + [last[e] if e in useful else None for e in range(cut + 1, n + 2)]
+            live = [q - cut for q in live]
+        number = self.numbers.get(pending)
         if number is None:
-            number = self.numbers[key] = len(self.keys)
-            self.keys.append(key)
+            number = self.numbers[pending] = len(self.states)
+            self.states.append((pending, last, live))
             self.moves.append({})
             self.finals.append(None)
         move = self.moves[state][byte] = (number, sent)
         return move
 
     def _finish(self, state: int) -> tuple[int, ...]:
-        before, pending = self.keys[state]
-        last = self._last_tokens(before, pending)
-        final = self.finals[state] = tuple(last[e] for e in self._chain(last, len(pending)))
+        pending, last, _ = self.states[state]
+        final = self.finals[state] = self._chain(last, len(pending))
         return final
 
     def encode(self, piece: bytes) -> list[int]:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.keys) > STATES:
+        if len(self.states) > STATES:
             self.reset()
         out: list[int] = []
         state, moves = 0, self.moves
