@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,5 +59,34 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the checkpoint root, for stream state and sinks."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A fresh folder below the checkpoint root, gone when the application ends."""
+    if not _written:
+        atexit.register(_remove, _written)
+    path = f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
+_written: list[tuple[SparkSession, str]] = []
+
+
+@contextmanager
+def scratch_removed() -> Iterator[None]:
+    """Folders written inside are removed at the end; nothing may read them afterwards."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        own = _written[before:]
+        del _written[before:]
+        _remove(own)
+
+
+def _remove(folders: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in folders:
+        context = spark.sparkContext
+        if context._jsc is None or context._jvm is None:
+            continue
+        where = context._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+    folders.clear()

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import build_index, check_duplicates
 from ..operators.validate import validate
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, scratch_removed
 
 
 def validate_stream(
@@ -48,8 +48,9 @@ def dedup_stream(
             built = build_index(records)
             parts = {f: materialize(getattr(built, f)) for f in ("exact", "near", "counts")}
             held.update(version=version, index=built._replace(**parts))
-        checked = check_duplicates(batch, index=held["index"])
-        checked.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        with scratch_removed():
+            checked = check_duplicates(batch, index=held["index"])
+            checked.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     return (
         applications.writeStream.foreachBatch(check)

@@ -56,10 +56,11 @@ def lifecycle_processor(transitions: list[tuple[str, str, str]]) -> StatefulProc
     return Lifecycle()
 
 
-def lifecycle_stream(actions: DataFrame) -> DataFrame:
+def lifecycle_stream(actions: DataFrame, delay: str = "30 days") -> DataFrame:
     """Every action of the stream with the status it met and left behind.
 
-    ``actions`` has ``app_id, event_id, at, action, allowed``. The last row of an
+    ``actions`` has ``app_id, event_id, at, action, allowed``. An event id that comes again
+    within ``delay`` changes nothing; its state is then given up. The last row of an
     application holds its current status; rows that were not taken are the refused ones.
     Needs the state store that :func:`stewardry.session.tune` selects.
     """
@@ -71,6 +72,8 @@ def lifecycle_stream(actions: DataFrame) -> DataFrame:
             "action",
             "allowed",
         )
+        .withWatermark("at", delay)
+        .dropDuplicatesWithinWatermark(["event_id"])
         .groupBy("app_id")
         .transformWithStateInPandas(
             statefulProcessor=lifecycle_processor(TRANSITIONS),

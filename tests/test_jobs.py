@@ -187,3 +187,29 @@ def test_dashboard(chain, classes):
     _, golden, _, decided, *_ = chain
     row = dashboard_stats(decided.applications, golden, classes).first()
     assert (row.total_applications, row.approved, row.rejected, row.pending, row.total_classifications) == (3, 1, 1, 0, 4)
+
+
+def test_submit_by_actors(spark, chain, classes, templates, rules):
+    drafts, golden, *_ = chain
+    people = spark.createDataFrame(
+        [("user001", "applicant"), ("user002", "applicant"), ("m", "admin"), ("d", "dept_approver")], "user_id string, role string"
+    )
+    rows = [("a", "user002", "B"), ("a", "user001", "A"), ("b", "m", "M"), ("b", "d", "D"), ("x", "m", "M"), ("c", None, None)]
+    requests = spark.createDataFrame(rows, "application_id string, acted_by string, acted_by_name string")
+    none = load_rows(spark, [], "audit_logs")
+    out = submit_batch(drafts, classes, templates, rules, golden, none, AS_OF, requests, people)
+    assert {(r.application_id, r.acted_by): r.reason for r in out.refused.collect()} == {
+        ("a", "user002"): "role", ("b", "d"): "role", ("x", "m"): "unknown", ("c", None): "role"
+    }
+    assert out.applications.columns == drafts.columns
+    assert by_id(out.applications, "status") == {"a": ("pending_admin",), "b": ("pending_admin",)}
+    steps = out.audit.filter("step_name = 'submit'").collect()
+    assert {r.application_id: (r.executed_by, r.executed_by_name) for r in steps} == {"a": ("user001", "A"), "b": ("m", "M")}
+
+
+def test_a_failed_draft_keeps_its_columns(spark, classes, templates, rules):
+    row = {"id": "q", "material_name": "ab", "classification_id": "cls-child", "material_type": "raw", "material_code": "KEEP-1", "is_duplicate": True}
+    drafts = load_rows(spark, [row], "material_applications")
+    golden, logs = load_rows(spark, [], "golden_records"), load_rows(spark, [], "audit_logs")
+    (out,) = submit_batch(drafts, classes, templates, rules, golden, logs, AS_OF).applications.collect()
+    assert (out.status, out.material_code, out.is_duplicate, out.validation_passed) == ("draft", "KEEP-1", True, False)
