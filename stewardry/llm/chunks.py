@@ -16,8 +16,6 @@ from stewardry.llm import words
 
 #: pieces of one generation that a worker process remembers; it keeps the one before as well
 KNOWN = 300_000
-#: a text is laid out in parts of about this many bytes
-PART = 4 << 20
 
 _SOLID = np.zeros(256, bool)  # characters next to which a cut is safe
 _SOLID[0x21:0x7F] = True

@@ -49,7 +49,6 @@ def _class_of(shingles: np.ndarray) -> int:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Id, set size and class of every document, then this task's shingle counts."""
     cells = np.zeros(CELLS, np.int32)
-    none = None
     for whole in batches:
         for batch in slices(whole, "text"):
             sets = words.shingle_sets(*flat(batch.column("text")), WIDTH)
@@ -70,7 +69,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if own.any():
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([none], pa.int64()), pa.array([none], pa.int64()), pa.array([none], pa.int64()),
+                    pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
                     pa.array([part], pa.int32()), pa.array([zlib.compress(own.tobytes(), 1)], pa.binary()),
                 ],
                 names=["doc_id", "n", "cls", "part", "cells"],
