@@ -45,6 +45,21 @@ def page(
     return df.orderBy(newest, F.col(tie).asc()).offset(skip).limit(limit)
 
 
+def page_after(
+    df: DataFrame, order: str, after: tuple | None = None, limit: int = PAGE_LIMIT, tie: str = "id"
+) -> DataFrame:
+    """Newest first, the rows that follow ``after``: the last page's (``order``, ``tie``) values.
+
+    However deep the page, a task keeps ``limit`` rows; the first page has no ``after``.
+    """
+    check_page(0, limit)
+    if after is not None:
+        at, last = F.lit(after[0]), F.lit(after[1])
+        same = (F.col(order) == at) & (F.col(tie) > last)
+        df = df.filter((F.col(order) < at) | F.col(order).isNull() | same)
+    return df.orderBy(F.col(order).desc(), F.col(tie).asc()).limit(limit)
+
+
 def applications_where(
     df: DataFrame, status: str | None = None, created_by: str | None = None
 ) -> DataFrame:

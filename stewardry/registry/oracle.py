@@ -90,6 +90,12 @@ FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC, id) AS place
       FROM applications WHERE status = 'pending_admin')
 WHERE place BETWEEN 21 AND 120""")
 
+oracle("application_page_after", "applications", """
+SELECT id, app_no FROM applications
+WHERE status = 'pending_admin' AND (created_at < TIMESTAMP '1996-01-01 00:00:00'
+  OR (created_at = TIMESTAMP '1996-01-01 00:00:00' AND id > 'A5'))
+ORDER BY created_at DESC, id LIMIT 100""")
+
 oracle("applications_of_creator", "applications",
        "SELECT id, status FROM applications WHERE created_by = 'C7'")
 

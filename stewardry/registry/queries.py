@@ -119,6 +119,12 @@ def application_page(d):
     )
 
 
+@query
+def application_page_after(d):
+    rows = lookup.applications_where(d.applications, status="pending_admin")
+    return lookup.page_after(rows, "created_at", (datetime(1996, 1, 1), "A5"), 100).select("id", "app_no")
+
+
 @query
 def applications_of_creator(d):
     return lookup.applications_where(d.applications, created_by="C7").select("id", "status")

@@ -1,7 +1,5 @@
 from datetime import datetime, timedelta
 
-from pyspark.sql import functions as F
-
 from stewardry.operators.validate import validate
 from stewardry.sources.tables import load_rows
 from stewardry.streaming import jobs

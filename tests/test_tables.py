@@ -8,6 +8,7 @@ from stewardry.operators import attachments, hierarchy, lookup, patch
 from stewardry.plans import backfill
 from stewardry.schemas import APPLICATIONS, TABLES
 from stewardry.sources import feeds, tables
+from stewardry.sources.tables import load_rows
 
 NOW = datetime(2026, 5, 1, 12)
 AT = lambda: F.lit(NOW).cast("timestamp")
@@ -83,6 +84,11 @@ def test_page_bounds(spark):
         with pytest.raises(ValueError):
             lookup.page(df, "created_at", skip, limit)
     assert [r.id for r in lookup.page(df, "created_at", 1, 2).collect()] == ["1", "2"]
+    seen, after = [], None
+    while rows_ := lookup.page_after(df, "created_at", after, 1).collect():
+        seen += [r.id for r in rows_]
+        after = (rows_[-1].created_at, rows_[-1].id)
+    assert seen == [r.id for r in lookup.page(df, "created_at", 0, 100).collect()]
     plan = lookup.page(df, "created_at", 1, 2)._jdf.queryExecution().executedPlan().toString()
     assert "TakeOrderedAndProject" in plan
 
