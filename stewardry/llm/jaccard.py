@@ -247,7 +247,7 @@ def _arrays(wanted):
 
 
 def _sets_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """``cls, shingles`` of the ``needed`` classes.
+    """``cls, shingles, lead`` of the ``needed`` classes (``cls, lead``).
 
     A filter of fixed size, sent to the tasks, keeps nearly all other sets from the
     shuffle; the join behind it is exact.
@@ -260,7 +260,7 @@ def _sets_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
         bits[at : at + FILTER_SLICE // 8] = np.frombuffer(r.bits, np.uint8)
     wanted = texts.sparkSession.sparkContext.broadcast(zlib.compress(bits.tobytes(), 1))
     found = texts.select("text").mapInArrow(_arrays(wanted), "cls long, shingles binary")
-    return found.dropDuplicates(["cls"]).join(needed.select("cls"), "cls", "left_semi")
+    return found.dropDuplicates(["cls"]).join(needed, "cls")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -461,22 +461,21 @@ def jaccard_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     members = written(_often(written(sorted_.mapInArrow(_members, met), "blocks")), "members")
 
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
-    arrays = written(_sets_of(texts, members.select("cls").distinct()), "shingles")
-
     votes = members.filter("lead is not null").select("cls", F.explode(F.array("lead", "prev")).alias("other"))
     votes = votes.groupBy("cls", "other").agg(F.count("*").alias("k"))
     best = votes.groupBy("cls").agg(F.max(F.struct("k", F.col("other"))).alias("v"))
-    pairs = best.select(F.col("cls").alias("a"), F.col("v.other").alias("b"))
-    compared = (
-        pairs.join(arrays.withColumnsRenamed({"cls": "a", "shingles": "x"}), "a")
-        .join(arrays.withColumnsRenamed({"cls": "b", "shingles": "y"}), "b").select("a", "b", "x", "y")
-    )
+    needed = members.select("cls").distinct().join(best, "cls", "left").select("cls", F.col("v.other").alias("lead"))
+    # the sets lie by class already when they meet their leads, and move once to be compared
+    arrays = written(_sets_of(texts, written(needed, "needed")), "shingles")
+    pairs = arrays.filter("lead is not null").select(F.col("cls").alias("a"), F.col("lead").alias("b"), F.col("shingles").alias("x"))
+    others = arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
+    compared = pairs.join(others, "b").select("a", "b", "x", "y")
     easy = written(compared.mapInArrow(_verified, "a long, b long"), "easy")
     first = written(components(easy), "first")
 
     dealt = _open_blocks(members, first, tile)
     block = ["head", "band", "i", "j"]
-    with_sets = dealt.join(arrays, "cls").repartition(*block).sortWithinPartitions(*block)
+    with_sets = dealt.join(arrays.select("cls", "shingles"), "cls").repartition(*block).sortWithinPartitions(*block)
     hard = written(with_sets.mapInArrow(_trees, "a long, b long"), "hard")
     # the first round's stars and the new links connect what either connects
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(hard))
