@@ -26,6 +26,8 @@ from stewardry.llm.frames import flat, remainder, slices
 
 #: Bound of the sample of labelled documents that the machine is fitted on, per label.
 SAMPLE = 1500
+#: Longer documents are left out of that sample, which bounds what the driver holds.
+SAMPLE_CHARS = 20_000
 #: Fewer positives than this teach nothing; every score is then PRIOR.
 LEAST = 3
 PRIOR = 0.05
@@ -358,7 +360,8 @@ def _platt(worst: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from at most ``sample`` labelled documents of each label whose id's
-    remainder by 3 is not 1, those of the smallest hashes of their ids."""
+    remainder by 3 is not 1, those of the smallest hashes of their ids, without documents of
+    more than SAMPLE_CHARS characters."""
     learning = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).filter(
         "id is not null and y in (0, 1)"
     )
@@ -369,7 +372,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         chosen = top if chosen is None else chosen.unionByName(top)
     # at most 2 * sample ids
     rows = (
-        docs.select(F.col("doc_id").alias("id"), "text")
+        docs.select(F.col("doc_id").alias("id"), "text").filter(
+            F.char_length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS
+        )
         .join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("h", "id").select("text", "y").collect()
     )
     return fit([(r.text, r.y) for r in rows])
