@@ -66,22 +66,24 @@ class Pieces:
     """Ids of numbered pieces, one after another."""
 
     def __init__(self) -> None:
-        self.number: dict[int, int] = {}
-        self.ids = np.zeros(1 << 16, np.int32)
-        self.ends = [0]
-
-    def add(self, key: int, ids) -> int:
-        end = self.ends[-1] + len(ids)
-        if end > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(end, len(self.ids)), np.int32)])
-        self.ids[self.ends[-1] : end] = ids
-        self.ends.append(end)
-        self.number[key] = len(self.ends) - 2
-        return len(self.ends) - 2
-
-    def of(self, key: int) -> np.ndarray | None:
-        n = self.number.get(key)
-        return None if n is None else self.ids[self.ends[n] : self.ends[n + 1]]
+        self.number = words.Known(np.int64)
+        self.ids = np.zeros(0, np.int32)
+        self.bounds = np.zeros(1, np.int64)
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces, given their ids one after another."""
+        numbers = len(self.bounds) - 1 + np.arange(len(keys))
+        self.number.add(keys, numbers)
+        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
+        self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        return numbers
+
+    def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some pieces, one after another, and how many each has."""
+        sizes = self.bounds[numbers + 1] - self.bounds[numbers]
+        upto = np.cumsum(sizes) - sizes
+        source = np.repeat(self.bounds[numbers] - upto, sizes) + np.arange(int(sizes.sum()))
+        return self.ids[source], sizes
 
 
 class Encoder:
@@ -102,27 +104,25 @@ class Encoder:
         starts = cuts(data, offsets)
         ends = np.append(starts[1:], len(data))
         h = words.span_hashes(data, starts, ends, fold=False)
-        distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.young.number) > KNOWN:
+        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
+        if len(self.young.number.keys) > KNOWN:
             self.young, self.old = Pieces(), self.young
         young = self.young
-        keys = distinct.tolist()
-        index = np.array([young.number.get(k, -1) for k in keys], np.int64)
-        new = []
-        for k in np.flatnonzero(index < 0).tolist():
-            ids = self.old.of(keys[k])
-            if ids is None:
-                new.append(k)
-            else:
-                index[k] = young.add(keys[k], ids)
-        if new:
+        met, index = young.number.find(keys)
+        index = np.where(met, index, 0)
+        missing = np.flatnonzero(~met)
+        again, number = self.old.number.find(keys[missing])
+        if again.any():
+            moved = missing[again]
+            index[moved] = young.add(keys[moved], *self.old.of(number[again]))
+        new = missing[~again]
+        if len(new):
             body = data.tobytes()
             pieces = [body[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            for k, ids in zip(new, self.encode(pieces), strict=True):
-                index[k] = young.add(keys[k], ids)
-        bounds = np.array(young.ends)
-        piece = index[back]
-        size = (bounds[1:] - bounds[:-1])[piece]
-        upto = np.concatenate([[0], np.cumsum(size)])
-        source = np.repeat(bounds[piece] - upto[:-1], size) + np.arange(upto[-1])
-        return young.ids[source], upto[np.searchsorted(starts, offsets)]
+            ids = self.encode(pieces)
+            sizes = np.array([len(x) for x in ids], np.int64)
+            joined = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
+            index[new] = young.add(keys[new], joined, sizes)
+        out, sizes = young.of(index[back])
+        upto = np.concatenate([[0], np.cumsum(sizes)])
+        return out, upto[np.searchsorted(starts, offsets)]

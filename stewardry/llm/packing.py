@@ -120,7 +120,11 @@ def _tokenizer(path: str) -> Encoder:
     t = Tokenizer.from_file(path)
 
     def encode(pieces: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in t.encode_batch([p.decode() for p in pieces], add_special_tokens=False)]
+        out: list[list[int]] = []
+        for at in range(0, len(pieces), 5000):  # the library's results are large
+            texts = [p.decode() for p in pieces[at : at + 5000]]
+            out += [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+        return out
 
     return Encoder(encode)
 

@@ -150,10 +150,10 @@ class Machine:
 NOTHING = float("-inf")
 
 
-def worst_words(machine: Machine, texts: pa.Array, known: dict[int, float]) -> np.ndarray:
+def worst_words(machine: Machine, texts: pa.Array, known: words.Known | None = None) -> np.ndarray:
     """The largest decision value among each text's words; -inf without words.
 
-    ``known`` keeps the values of words already seen by this task.
+    ``known`` keeps the values of words that this task has seen.
     """
     data, offsets = flat(texts)
     worst = np.full(len(texts), NOTHING)
@@ -162,17 +162,19 @@ def worst_words(machine: Machine, texts: pa.Array, known: dict[int, float]) -> n
         return worst
     h = words.span_hashes(data, starts, ends)
     distinct, first, back = np.unique(h, return_index=True, return_inverse=True)
-    values = np.array([known.get(x, np.nan) for x in distinct.tolist()])
-    new = np.flatnonzero(np.isnan(values))
+    known = words.Known(np.float64) if known is None else known
+    met, values = known.find(distinct)
+    new = np.flatnonzero(~met)
     if len(new):
-        for part in np.array_split(new, max(1, len(new) // 50_000)):
+        for part in np.array_split(new, max(1, len(new) // 20_000)):
             rows, unit = letters(data, starts[first[part]], ends[first[part]])
             found = np.full(len(part), NOTHING)
             np.maximum.at(found, unit, machine.word_values(rows))
             values[part] = found
-        if len(known) > 1_000_000:
-            known.clear()
-        known.update(zip(distinct[new].tolist(), values[new].tolist(), strict=True))
+        if len(known.keys) > 1_000_000:
+            known.__init__(np.float64)
+            new = np.arange(len(distinct))
+        known.add(distinct[new], values[new])
     np.maximum.at(worst, text, values[back])
     return worst
 
@@ -382,7 +384,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 def _scored(machine, make):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, float] = {}
+        known = words.Known(np.float64)
         for whole in batches:
             for batch in slices(whole, "text"):
                 worst = worst_words(machine.value, batch.column("text"), known)

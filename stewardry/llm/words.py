@@ -129,3 +129,24 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> list[
         else:
             out.append(h[:0])
     return out
+
+
+class Known:
+    """Values by 64-bit key in two sorted arrays: 16 bytes an entry."""
+
+    def __init__(self, kind: type) -> None:
+        self.keys, self.values = np.zeros(0, np.uint64), np.zeros(0, kind)
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each key is there, and its value where it is."""
+        if len(self.keys) == 0:
+            return np.zeros(len(keys), bool), np.zeros(len(keys), self.values.dtype)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return self.keys[at] == keys, self.values[at]
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """New keys, none of which is there."""
+        both = np.concatenate([self.keys, keys])
+        order = np.argsort(both, kind="stable")
+        self.keys = both[order]
+        self.values = np.concatenate([self.values, values.astype(self.values.dtype)])[order]

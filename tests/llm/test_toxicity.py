@@ -29,7 +29,7 @@ def machine():
 
 
 def scores(machine, texts):
-    return machine.score(toxicity.worst_words(machine, pa.array(texts, pa.string()), {}))
+    return machine.score(toxicity.worst_words(machine, pa.array(texts, pa.string())))
 
 
 def test_new_sentences(machine):
