@@ -3,9 +3,9 @@
 A text is its words, A-Z folded, with one blank between them and an end mark. The tree's
 nodes are contexts of up to DEPTH bytes; one is kept where its next-byte distribution
 diverges enough from that of the context one byte shorter, weighted by how often it occurs.
-Distributions are smoothed towards the shorter context's, down to all bytes alike. The kept
-contexts become an automaton whose states are the longest suffixes read so far, which
-scores many texts side by side.
+Distributions are smoothed towards the shorter context's, down to all bytes alike. Every
+context that passes the test is kept. The model is sorted tables of what was seen behind each
+context; each distinct run of DEPTH + 1 bytes of a batch is looked up once.
 """
 
 from __future__ import annotations
@@ -27,12 +27,9 @@ from stewardry.llm.imatch import Counts
 DEPTH = 5
 #: a context is kept if its divergence from the shorter one, times its count, is at least this (nats)
 GAIN = 8.0
-#: model size: contexts kept, those of the greatest gain. Bounds what is broadcast.
-CONTEXTS = 32_768
 #: words whose counts are broadcast; the others' are joined
 COMMON = 200_000
 END, BLANK = 0, 0x20
-ROWS = 256  # bytes of text that a row of the scoring matrix holds
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,106 +97,102 @@ def grams(body: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return code
 
 
+@dataclass
+class Level:
+    """What follows the kept contexts of one length."""
+
+    codes: np.ndarray  # context << 8 | byte seen behind it, sorted
+    logp: np.ndarray  # base 10
+    contexts: np.ndarray  # sorted
+    left: np.ndarray  # log10 of the share that a byte not seen behind the context takes of the shorter one's
+
+
 @dataclass
 class Automaton:
-    """``move`` and ``logp`` (base 10) by state and symbol; ``symbol`` maps bytes to symbols."""
+    """Kept contexts by length; ``symbol`` maps bytes to symbols, the last one any byte not seen."""
 
     symbol: np.ndarray
-    move: np.ndarray
-    logp: np.ndarray
-    start: int
+    seen: int  # symbols without that last one
+    levels: list[Level]
+
+    def log10(self, codes: np.ndarray, longest: int = DEPTH) -> np.ndarray:
+        """log10 probability of each code's last byte behind those before it, at most ``longest``."""
+        out, open_ = np.zeros(len(codes)), np.arange(len(codes))
+        for length in range(longest, -1, -1):
+            level = self.levels[length]
+            if not len(level.contexts):
+                continue
+            own = codes[open_] & np.uint64((1 << 8 * (length + 1)) - 1)
+            at = np.minimum(np.searchsorted(level.codes, own), len(level.codes) - 1)
+            hit = level.codes[at] == own
+            out[open_[hit]] += level.logp[at[hit]]
+            open_, own = open_[~hit], own[~hit] >> np.uint64(8)
+            at = np.minimum(np.searchsorted(level.contexts, own), len(level.contexts) - 1)
+            known = level.contexts[at] == own
+            out[open_[known]] += level.left[at[known]]
+        out[open_] -= np.log10(256)
+        return out
+
+    def _spelled_out(self) -> tuple[np.ndarray, np.ndarray]:
+        """``move`` and ``logp`` by state and symbol, where states are the kept contexts and all
+        their beginnings. To look at small models; scoring needs neither."""
+        used = np.flatnonzero(self.symbol < self.seen).tolist()
+        width = len(used) + 1
+        kept = {int(c).to_bytes(8, "big")[8 - n :] for n, level in enumerate(self.levels) for c in level.contexts}
+        order = sorted({c[:i] for c in kept for i in range(len(c) + 1)} | {b""}, key=lambda c: (len(c), c))
+        number = {c: i for i, c in enumerate(order)}
+        move, logp = np.zeros((len(order), width), np.int32), np.zeros((len(order), width), np.float32)
+        unused = next((b for b in range(256) if b not in used), 0)
+        for i, c in enumerate(order):
+            for s, b in enumerate(used):
+                goes = c + bytes((b,))
+                move[i, s] = number[next(goes[k:] for k in range(len(goes) + 1) if goes[k:] in number)]
+            codes = np.array([int.from_bytes(c + bytes((b,)), "big") for b in [*used, unused]], np.uint64)
+            logp[i] = self.log10(codes, len(c))
+        return move, logp
+
+    @property
+    def move(self) -> np.ndarray:
+        return self._spelled_out()[0]
+
+    @property
+    def logp(self) -> np.ndarray:
+        return self._spelled_out()[1]
 
 
-def build(rows: list[tuple[int, int, int, int]]) -> Automaton:
+def build(rows) -> Automaton:
     """The automaton of kept contexts from rows ``(length, context, next byte, count)``.
 
-    A context is a number of its bytes, the last one lowest. The empty one is among them.
+    A context is a number of its bytes, the last one lowest. Distributions are smoothed by
+    Witten and Bell.
     """
-    table: dict[tuple[int, int], dict[int, int]] = {(0, 0): {}}
-    for length, context, byte, n in rows:
-        table.setdefault((length, context), {})[byte] = n
-    used = sorted({b for row in table.values() for b in row} | {END, BLANK})
-    symbol = np.full(256, len(used), np.int64)  # the last symbol: any byte not seen
+    lengths, contexts, byte, n = np.asarray(rows, np.int64).reshape(-1, 4).T
+    used = sorted({*np.unique(byte).tolist(), END, BLANK})
+    symbol = np.full(256, len(used), np.int64)
     symbol[used] = np.arange(len(used))
-    width = len(used) + 1
-    unseen = max(1, 256 - len(used))
-
-    def spelled(length: int, context: int) -> bytes:
-        return context.to_bytes(8, "big")[8 - length :]
-
-    contexts = {spelled(*key): row for key, row in table.items()}
-    # smoothed distributions, shorter contexts first (Witten-Bell)
-    flat_p = np.full(width, 1 / 256)
-    flat_p[-1] = unseen / 256
-    if 256 == len(used):
-        flat_p[-1] = 0.0
-    dist: dict[bytes, np.ndarray] = {}
-    for c in sorted(contexts, key=len):
-        parent = flat_p if c == b"" else dist[next(c[i:] for i in range(1, len(c) + 1) if c[i:] in dist)]
-        row = contexts[c]
-        total, kinds = sum(row.values()), len(row)
-        p = parent * max(kinds, 1)
-        for b, n in row.items():
-            p[symbol[b]] += n
-        dist[c] = p / (total + max(kinds, 1))
-    # states: the kept contexts and all their beginnings
-    states = {c[:i] for c in contexts for i in range(len(c) + 1)}
-    order = sorted(states, key=lambda c: (len(c), c))
-    number = {c: i for i, c in enumerate(order)}
-    move = np.zeros((len(order), width), np.int32)
-    logp = np.zeros((len(order), width), np.float32)
-
-    def longest(c: bytes, among) -> bytes:
-        while c not in among:
-            c = c[1:]
-        return c
-
-    # the state after a byte: a longer beginning if there is one, else what the state
-    # without its first byte would go to
-    shorter = [number[longest(c[1:], number)] if c else 0 for c in order]
-    for i, c in enumerate(order):
-        if i:
-            move[i] = move[shorter[i]]
-        for s, b in enumerate(used):
-            goes = number.get(c + bytes((b,)))
-            if goes is not None:
-                move[i, s] = goes
-        p = dist[longest(c, dist)].copy()
-        p[-1] = p[-1] / unseen
-        logp[i] = np.log10(np.maximum(p, 1e-300))
-    return Automaton(symbol, move, logp, number[longest(bytes(DEPTH), number)])
+    none = np.zeros(0, np.uint64)
+    a = Automaton(symbol, len(used), [Level(none, np.zeros(0), none, np.zeros(0)) for _ in range(DEPTH + 1)])
+    for length in range(DEPTH + 1):  # shorter contexts first
+        own = lengths == length
+        code = (contexts[own] << 8 | byte[own]).astype(np.uint64)
+        if not len(code):
+            continue
+        order = np.argsort(code)
+        code, times = code[order], n[own][order]
+        kept, first, kinds = np.unique(code >> np.uint64(8), return_index=True, return_counts=True)
+        total = np.add.reduceat(times, first) + kinds
+        below = 10.0 ** a.log10(code, length - 1)
+        p = (times + np.repeat(kinds, kinds) * below) / np.repeat(total, kinds)
+        a.levels[length] = Level(code, np.log10(p).astype(np.float32), kept, np.log10(kinds / total).astype(np.float32))
+    return a
 
 
 def score_texts(a: Automaton, body: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """log10 probability of each text, its end mark included.
-
-    Texts are cut into rows of ROWS bytes, each with the DEPTH bytes before it to reach its
-    state; all rows advance together.
-    """
-    n = len(bounds) - 1
-    sizes = np.diff(bounds)
-    parts = -(-sizes // ROWS)
-    text = np.repeat(np.arange(n), parts)
-    nth = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
-    begin = bounds[text] + nth * ROWS
-    end = np.minimum(begin + ROWS, bounds[text + 1])
-    codes = a.symbol[body]
-    states = np.full(len(text), a.start, np.int32)
-    inner = nth > 0
-    for back in range(DEPTH, 0, -1):
-        # a row's first DEPTH bytes belong to the row before, which has ROWS of them
-        states[inner] = a.move[states[inner], codes[begin[inner] - back]]
-    total = np.zeros(len(text))
-    order = np.argsort(begin - end, kind="stable")  # longest first, so that rows drop off at the end
-    begin, sizes, states = begin[order], (end - begin)[order], states[order]
-    out = np.zeros(len(text))
-    for step in range(int(sizes.max(initial=0))):
-        m = int(np.searchsorted(-sizes, -step, "left"))
-        s = codes[begin[:m] + step]
-        out[:m] += a.logp[states[:m], s]
-        states[:m] = a.move[states[:m], s]
-    total[order] = out
-    return np.bincount(text, total, n)
+    """log10 probability of each text, its end mark included."""
+    if len(bounds) < 2:
+        return np.zeros(0)
+    distinct, which = np.unique(grams(body, bounds), return_inverse=True)
+    return np.add.reduceat(a.log10(distinct)[which], bounds[:-1])
 
 
 @dataclass
@@ -222,7 +215,7 @@ def _mask(length: Column) -> Column:
     return F.array(*[F.lit((1 << 8 * i) - 1).cast("bigint") for i in range(DEPTH + 1)])[length]
 
 
-def _kept_contexts(found: DataFrame, gain: float, most: int) -> DataFrame:
+def _kept_contexts(found: DataFrame, gain: float) -> DataFrame:
     """``length, context, byte, n`` of the contexts that a divergence test retains, and of
     every shorter end of theirs."""
     byte, context = F.col("code").bitwiseAND(F.lit(255)), F.shiftright("code", 8)
@@ -241,16 +234,15 @@ def _kept_contexts(found: DataFrame, gain: float, most: int) -> DataFrame:
     term = F.col("n") * F.log((F.col("n") * F.col("ptotal")) / (F.col("total") * F.col("pn")))
     tested = (
         child.join(parent, ["above", "over", "byte"]).groupBy("length", "context").agg(F.sum(term).alias("gain"))
-        .filter(F.col("gain") >= gain).orderBy(F.desc("gain"), "length", "context").limit(most)
+        .filter(F.col("gain") >= gain)
     )
     chosen = tested.select(F.explode(F.sequence(F.lit(0), "length")).alias("length"), F.col("context").alias("all"))
     chosen = chosen.select("length", F.col("all").bitwiseAND(_mask(F.col("length"))).alias("context")).distinct()
-    # DEPTH + 1 times the contexts at most, of two numbers each
     root = rows.filter("length = 0")
-    return rows.filter("length > 0").join(F.broadcast(chosen), ["length", "context"], "left_semi").unionByName(root)
+    return rows.filter("length > 0").join(chosen, ["length", "context"], "left_semi").unionByName(root)
 
 
-def learn(docs: DataFrame, gain: float = GAIN, most: int = CONTEXTS, common: int = COMMON) -> Model:
+def learn(docs: DataFrame, gain: float = GAIN, common: int = COMMON) -> Model:
     """A model of the documents whose id's remainder by 5 is not 1, all of them, whole texts."""
     texts = docs.filter(remainder("doc_id", 5) != 1).select("text")
     counted = texts.mapInArrow(_counted, "kind string, code long, n long")
@@ -271,8 +263,8 @@ def learn(docs: DataFrame, gain: float = GAIN, most: int = CONTEXTS, common: int
     table = few.toArrow()
     code, n = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(code)
-    rows = _kept_contexts(counted.filter("kind = 'gram'"), gain, most).toArrow()
-    automaton = build(list(zip(*(rows.column(c).to_pylist() for c in ("length", "context", "byte", "n")), strict=True)))
+    rows = _kept_contexts(counted.filter("kind = 'gram'"), gain).toArrow()
+    automaton = build(np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in ("length", "context", "byte", "n")]))
     # the end mark is a token too
     distinct = size + (1 if texts_learned else 0)
     return Model(automaton, code[order], n[order], total, distinct, texts_learned, vocabulary)
@@ -289,7 +281,7 @@ def _scored(shared, end_count: float, log_total: float):
         value = np.log10(counts + 0.5)
         names = [c.split()[0] for c in PARTS.split(", ")]
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 data, offsets = flat(batch.column("text"))
                 m = batch.num_rows
                 text, h = words.hashed(data, offsets)
@@ -337,8 +329,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     A null text counts as empty: its end mark is its only token. Repeated rows give
-    repeated results, an empty table none; other columns are ignored. Common words' counts
-    come with the model, a bounded table; the rest of the words are joined, one row for each
+    repeated results, an empty table none; other columns are ignored. All kept contexts and the
+    common words' counts come with the model; only the latter is a bounded table. The rest of the words are joined, one row for each
     document and word.
     """
     shared = docs.sparkSession.sparkContext.broadcast(

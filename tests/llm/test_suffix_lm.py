@@ -113,3 +113,45 @@ def test_beats_words_on_held_out_text(spark, sf_dir):
     docs = table(spark, "/root/testdata/sf0.1", "documents")
     out = [r for r in suffix_lm.score(docs, suffix_lm.learn(docs)).collect() if r.held_out]
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
+
+
+def test_every_context_that_passes_is_kept(spark, sf_dir):
+    """More than 32,768 contexts pass here; each text scores as by all of them."""
+    rng = np.random.default_rng(5)
+    letters = "abcdefghijklmnopqrstuvwxyz0123456789"[:34]
+    words = [a + b + c + letters[rng.integers(34)] for a in letters for b in letters for c in letters]
+    texts = [" ".join(words[i : i + 200]) for i in range(0, len(words), 200)] * 10
+    docs = [(i, t) for i, t in enumerate(texts)]
+    learned = [t for i, t in docs if learns(i)]
+    rows = {}
+    for t in learned:
+        whole = bytes(suffix_lm.DEPTH) + normal(t)
+        for i in range(suffix_lm.DEPTH, len(whole)):
+            for size in range(suffix_lm.DEPTH + 1):
+                rows.setdefault(whole[i - size : i], Counter())[whole[i]] += 1
+    kept, passed = {b""}, 0
+    for c, row in rows.items():
+        total, above = sum(row.values()), rows[c[1:]] if c else None
+        if c and total >= 8:
+            up = sum(above.values())
+            gain = sum(n * math.log(n * up / (total * above[b])) for b, n in row.items())
+            assert abs(gain - suffix_lm.GAIN) > 1e-6
+            if gain >= suffix_lm.GAIN:
+                passed += 1
+                kept |= {c[i:] for i in range(len(c))}
+    assert passed > 32_768
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = suffix_lm.learn(df)
+    assert sum(len(level.contexts) for level in model.automaton.levels) == len(kept)
+    out = {r.doc_id: r.score for r in suffix_lm.score(df, model).collect()}
+
+    def probability(c, b):
+        while c not in kept:
+            c = c[1:]
+        row = rows[c]
+        return (row[b] + len(row) * (probability(c[1:], b) if c else 1 / 256)) / (sum(row.values()) + len(row))
+
+    for i, t in docs[:20]:
+        whole = bytes(suffix_lm.DEPTH) + normal(t)
+        want = sum(math.log10(probability(whole[j - suffix_lm.DEPTH : j], whole[j])) for j in range(suffix_lm.DEPTH, len(whole)))
+        assert out[i] == pytest.approx(want, rel=1e-4)
