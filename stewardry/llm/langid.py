@@ -3,8 +3,9 @@
 A text's vector holds the counts of its byte bigrams and trigrams (letters and blanks only, A-Z folded,
 hashed to DIMS places), dampened by a logarithm, weighted by inverse document frequency
 and scaled to length one. Each language has several centroids, found by clustering its
-sample; the nearest by cosine names the language. A text far beyond the distance at
-which nearly all learned texts of that language lie is rejected.
+sample; the nearest by cosine names the language. A text is rejected if it lies farther off
+than nearly all texts of that language and of about its length do from centroids that were
+found without them.
 """
 
 from __future__ import annotations
@@ -26,7 +27,13 @@ SAMPLE = 256
 SAMPLE_ALL = 4096
 CENTROIDS = 4
 #: A text is rejected below this share of the lowest percentile of its language's cosines.
-SLACK = 0.25
+SLACK = 0.9
+#: Bytes of the beginnings by which the cosines of short texts are measured.
+CUTS = (6, 12, 24, 48, 96, 192, 384, 768, 1536)
+#: Lengths are told apart by the logarithm of the number of grams, up to this.
+SIZES = 16
+#: cosines of a length that say where its lowest percentile is
+ENOUGH = 100
 #: Clusters of a smaller share of the sample are dissolved.
 LEAST = 0.03
 
@@ -67,12 +74,16 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(size, 1e-12)
 
 
+def lengths(tf: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(tf.sum(axis=1), 1)).astype(np.int64), SIZES - 1)
+
+
 @dataclass
 class Centroids:
     idf: np.ndarray
     centres: np.ndarray
     names: list[str]
-    floors: np.ndarray
+    floors: np.ndarray  # by centre and length
 
     def nearest(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         cosines = x @ self.centres.T
@@ -103,7 +114,8 @@ def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _small(whole):
             tf = counts(*flat(batch.column("text")))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), pa.array([row.tobytes() for row in tf], pa.binary())], names=["lang", "tf"]
+                [batch.column("lang"), batch.column("head"), pa.array([row.tobytes() for row in tf], pa.binary())],
+                names=["lang", "head", "tf"],
             )
 
 
@@ -123,6 +135,37 @@ def _cluster(x: np.ndarray, k: int) -> np.ndarray:
     return c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
 
 
+def _floors(tf: np.ndarray, heads: list[str], idf: np.ndarray) -> np.ndarray:
+    """The least cosine by length, from each half of the texts and of their beginnings against
+    centroids of the other half. A length with fewer than ENOUGH takes the next shorter ones' in.
+    """
+    found: list[list[float]] = [[] for _ in range(SIZES)]
+    x = vectors(tf, idf)
+    for half in (0, 1):
+        out = np.arange(len(x)) % 2 == half
+        if not out.any():
+            continue
+        c = _cluster(x[~out] if (~out).any() else x, CENTROIDS)
+        parts = [tf[out]]
+        own = [h.encode() for h, o in zip(heads, out.tolist(), strict=True) if o]
+        for size in CUTS:
+            cut = [h[:size].decode(errors="ignore") for h in own if len(h) > size]
+            parts += [counts(*flat(pa.array(cut[at : at + 128], pa.string()))) for at in range(0, len(cut), 128)]
+        for part in parts:
+            cosines = (vectors(part, idf) @ c.T).max(axis=1)
+            for k, cosine in zip(lengths(part).tolist(), cosines.tolist(), strict=True):
+                found[k].append(cosine)
+    floors = np.zeros(SIZES)
+    for k in range(SIZES):
+        cosines, shorter = found[k], k
+        while len(cosines) < ENOUGH and shorter:
+            shorter -= 1
+            cosines = cosines + found[shorter]
+        if cosines:
+            floors[k] = SLACK * float(np.quantile(cosines, 0.01))
+    return floors
+
+
 def learn(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
     """Centroids from texts with a letter and a language whose id's remainder by 4 is not 2.
 
@@ -146,17 +189,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
     unit = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
     few = known.join(F.broadcast(share), "lang").filter(unit <= F.col("share")).drop("share")
     first = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("nth") <= each)
-    rows = first.select("lang", "text").mapInArrow(_count_rows, "lang string, tf binary").collect()  # SAMPLE_ALL rows at most
+    first = first.select("lang", "text", F.substring("text", 1, max(CUTS) + 1).alias("head"))
+    rows = first.mapInArrow(_count_rows, "lang string, head string, tf binary").collect()  # SAMPLE_ALL rows at most
     centres, names, floors = [], [], []
     for lang, _ in sorted(top):
-        tf = [np.frombuffer(r.tf, np.float32) for r in rows if r.lang == lang]
-        if not tf:
+        own = [r for r in rows if r.lang == lang]
+        if not own:
             continue
-        x = vectors(np.stack(tf), idf)
-        c = _cluster(x, CENTROIDS)
+        tf = np.stack([np.frombuffer(r.tf, np.float32) for r in own])
+        c = _cluster(vectors(tf, idf), CENTROIDS)
         centres += list(c)
         names += [lang] * len(c)
-        floors += [SLACK * float(np.quantile((x @ c.T).max(axis=1), 0.01))] * len(c)
+        floors += [_floors(tf, [r.head for r in own], idf)] * len(c)
     return Centroids(idf, np.stack(centres), names, np.array(floors))
 
 
@@ -168,8 +212,9 @@ def _identified(model, make):
             for batch in _small(whole):
                 letters = batch.column(batch.schema.get_field_index("_llm_letter")).to_numpy(zero_copy_only=False)
                 if m:
-                    best, cosine = m.nearest(vectors(counts(*flat(batch.column("text"))), m.idf))
-                    floor = m.floors[best]
+                    tf = counts(*flat(batch.column("text")))
+                    best, cosine = m.nearest(vectors(tf, m.idf))
+                    floor = m.floors[best, lengths(tf)]
                 else:
                     best, cosine, floor = np.zeros(batch.num_rows, int), np.zeros(batch.num_rows), 1.0
                 reject = ~letters | (cosine < floor)

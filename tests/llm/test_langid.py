@@ -47,3 +47,26 @@ def test_counts_do_not_cross_texts():
     one = langid.counts(*flat(pa.array(texts)))
     alone = np.vstack([langid.counts(*flat(pa.array([t]))) for t in texts])
     assert (one == alone).all() and one[0].sum() == 3 and one[1].sum() == 0
+
+
+def test_latin_foreign_and_random_text_is_rejected(spark, sf_dir):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.learn(docs)
+    rng = np.random.default_rng(7)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz "), 600).tolist())
+    foreign = [
+        letters, letters[:120],
+        "".join(rng.choice(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"), 600).tolist()),
+        "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+        "i powinni postępować wobec innych w duchu braterstwa. Każdy człowiek posiada wszystkie prawa i wolności.",
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+        "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. Jokainen on oikeutettu kaikkiin näihin vapauksiin.",
+    ]
+    df = spark.createDataFrame(list(enumerate(foreign)), "doc_id long, text string")
+    assert all(r.rejected for r in langid.identify(df, model).collect())
+    held = [r for r in langid.identify(docs, model).collect() if r.held_out]
+    assert np.mean([r.rejected for r in held]) < 0.02
+    # beginnings of clean texts stay as well
+    short = spark.createDataFrame([(r.doc_id, r.text[:100]) for r in docs.collect() if r.text and r.text.strip()], "doc_id long, text string")
+    short = [r for r in langid.identify(short, model).collect() if r.held_out]
+    assert np.mean([r.rejected for r in short]) < 0.03
