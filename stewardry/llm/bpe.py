@@ -203,6 +203,7 @@ class Decoder:
             yield part, machine.decode(part, at + step >= len(ids))
 
 
+CODED = "doc_id long, ids array<int>, decoded binary, decoded_text string"
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, decoded_chars long"
 
 
@@ -213,25 +214,37 @@ def _coded(path: str, pattern: str):
         for whole in batches:
             for batch in slices(whole, "text"):
                 ids, bounds = encode(*flat(batch.column("text")))
-                rows = []
+                body, texts = [], []
                 for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    own = ids[a:b]
-                    digest, chars = hashlib.sha256(), 0
-                    for part, text in decode.stream(own):
-                        digest.update(part)
-                        chars += len(text)
-                    rows.append((b - a, hashlib.sha256(own.astype("<u4").tobytes()).hexdigest(), digest.hexdigest(), chars))
-                n, sha, decoded, chars = zip(*rows, strict=True)
+                    parts, spelled = zip(*decode.stream(ids[a:b]), strict=True)
+                    body.append(b"".join(parts))
+                    texts.append("".join(spelled))
+                lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids.astype("<i4")))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(sha), pa.array(decoded), pa.array(chars, pa.int64())],
-                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"],
+                    [batch.column("doc_id"), lists, pa.array(body, pa.binary()), pa.array(texts, pa.string())],
+                    names=["doc_id", "ids", "decoded", "decoded_text"],
                 )
 
     return run
 
 
-def code_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars`` for every row.
+def _digests(coded: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in coded:
+        doc_id, lists, body, texts = batch.columns
+        ids, bounds = lists.values.to_numpy(), lists.offsets.to_pylist()
+        own = [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                doc_id, pa.array(map(len, own), pa.int64()), pa.array([hashlib.sha256(x.tobytes()).hexdigest() for x in own]),
+                pa.array([hashlib.sha256(x).hexdigest() for x in body.to_pylist()]), pa.array(map(len, texts.to_pylist()), pa.int64()),
+            ],
+            names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "decoded_chars"],
+        )
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``doc_id, ids, decoded, decoded_text`` for every row: the ids, and the bytes and the
+    text that they spell.
 
     Ids by the ranks of ``vocabulary`` (a path that every worker has, a tiktoken file), each
     match of ``pattern`` by itself and no special tokens; then decoded again. A null text
@@ -239,4 +252,12 @@ def code_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     none; other columns are ignored.
     """
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return source.mapInArrow(_coded(vocabulary, pattern), OUT)
+    return source.mapInArrow(_coded(vocabulary, pattern), CODED)
+
+
+def code_documents(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256, decoded_chars`` for every row: digests
+    of the rows of ``encode_documents``, made where those are."""
+    coded = _coded(vocabulary, pattern)
+    source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return source.mapInArrow(lambda batches: _digests(coded(batches)), OUT)

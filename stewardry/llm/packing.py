@@ -29,7 +29,10 @@ GROUP = 4096
 #: gaps of fewer tokens stay padding
 LEAST_CUT = 2
 
-OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+#: rows that are read and sent on at a time
+ROWS = 2048
+
+OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids array<int>"
 TOKENS = "doc_id long, start long, length long, doc_tokens long, ids binary, ids_crc32 long, deal long"
 
 
@@ -130,7 +133,7 @@ def _tokenizer(path: str) -> Encoder:
 
 
 def _tokenized(path: str, length: int):
-    """A row for each full window, without its ids, and one for the rest with them."""
+    """A row with its ids for each full window, and one for the rest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = shared(("tokenizer", path), lambda: _tokenizer(path))
@@ -144,8 +147,7 @@ def _tokenized(path: str, length: int):
                     n = len(own)
                     for s in range(0, n, length):
                         part = own[s : s + length].tobytes()
-                        full = len(part) == 4 * length
-                        rows.append((ids_of[d], s, len(part) // 4, n, None if full else part, zlib.crc32(part), deal[d]))
+                        rows.append((ids_of[d], s, len(part) // 4, n, part, zlib.crc32(part), deal[d]))
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -171,7 +173,8 @@ def _packed(length: int, group: int):
                 at = 0
                 for i, s, t in pieces:
                     doc, start, n, ids = rests[i]
-                    rows.append((doc, start + s, t - s, zlib.crc32(ids[4 * s : 4 * t]), n, sequence, at))
+                    own = ids[4 * s : 4 * t]
+                    rows.append((doc, start + s, t - s, zlib.crc32(own), n, sequence, at, own))
                     at += t - s
                 sequence += 1
             rests.clear()
@@ -179,21 +182,25 @@ def _packed(length: int, group: int):
 
         def record(rows: list[tuple]) -> pa.RecordBatch:
             names = [c.split()[0] for c in OUT.split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
+            *columns, parts = zip(*rows, strict=True)
+            bounds = np.concatenate([[0], np.cumsum([len(x) // 4 for x in parts])]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.frombuffer(b"".join(parts), "<i4")))
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in columns), ids], names=names)
 
-        for batch in batches:
-            rows = []
-            names = ("doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32")
-            for doc, start, n, total, ids, crc in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-                if ids is None:
-                    rows.append((doc, start, n, crc, total, sequence, 0))
-                    sequence += 1
-                else:
-                    rests.append((doc, start, total, ids))
-                    if len(rests) == group:
-                        rows += flush()
-            if rows:
-                yield record(rows)
+        names = ("doc_id", "start", "length", "doc_tokens", "ids", "ids_crc32")
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch, rows = whole.slice(first, ROWS), []
+                for doc, start, n, total, ids, crc in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                    if n == length:
+                        rows.append((doc, start, n, crc, total, sequence, 0, ids))
+                        sequence += 1
+                    else:
+                        rests.append((doc, start, total, ids))
+                        if len(rests) == group:
+                            rows += flush()
+                if rows:
+                    yield record(rows)
         if rests:
             yield record(flush())
 
@@ -203,7 +210,9 @@ def _packed(length: int, group: int):
 def pack_documents(
     docs: DataFrame, vocabulary: str, length: int = LENGTH, group: int = GROUP, seed: int = 7
 ) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
+
+    A sequence is the ``ids`` of its pieces in the order of ``offset``.
 
     A document is its ids by the byte-level ``vocabulary`` (a tokenizers file), then id 0; a
     null or empty text is that id alone. Documents are dealt out by a hash of id and seed,

@@ -64,3 +64,11 @@ def test_documents(corpus, odd, nothing, reference):
         got = [tuple(r) for r in bpe.code_documents(docs, PATH, public_tokenizers.PATTERN).collect()]
         assert sorted(got, key=repr) == sorted(want, key=repr)
     assert bpe.code_documents(nothing, PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_ids_and_decoded_text_are_given(corpus, odd, nothing, reference):
+    for docs in (corpus, odd):
+        want = [(r.doc_id, reference.encode_ordinary(r.text or ""), (r.text or "").encode(), r.text or "") for r in docs.select("doc_id", "text").collect()]
+        out = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN).collect()
+        assert sorted(((r.doc_id, r.ids, bytes(r.decoded), r.decoded_text) for r in out), key=repr) == sorted(want, key=repr)
+    assert bpe.encode_documents(nothing, PATH, public_tokenizers.PATTERN).count() == 0

@@ -105,3 +105,17 @@ def test_pieces_encode_like_the_whole(tokenizer, texts):
         ids += tokenizer.encode(body[a:b].decode(), add_special_tokens=False).ids
     whole = [i for t in texts for i in tokenizer.encode(t, add_special_tokens=False).ids]
     assert ids == whole
+
+
+def test_sequences_hold_their_ids(spark, corpus, odd, tokenizer):
+    for docs in (corpus, odd):
+        texts = docs.select("doc_id", "text").collect()
+        encoded = [(r.doc_id, [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]) for r in texts]
+        whole = defaultdict(list)
+        pieces = packing.pack_documents(docs, VOCABULARY, group=64).collect()
+        for p in sorted(pieces, key=lambda p: p.start):
+            whole[p.doc_id] += p.ids
+            assert len(p.ids) == p.length and zlib.crc32(np.array(p.ids, "<u4").tobytes()) == p.ids_crc32
+        once = [i for i, _ in encoded if [j for j, _ in encoded].count(i) == 1]
+        assert all(whole[i] == ids for i, ids in encoded if i in once)
+        assert any(p.length == packing.LENGTH for p in pieces)
