@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
 from stewardry.llm import words
 
@@ -62,27 +63,51 @@ def shared(key: tuple, make: Callable[[], Encoder]) -> Encoder:
     return _encoders[key]
 
 
+def _places(bounds: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the parts ``numbers`` of a joined array lie, one after another, and their sizes."""
+    sizes = bounds[numbers + 1] - bounds[numbers]
+    upto = np.cumsum(sizes) - sizes
+    return np.repeat(bounds[numbers] - upto, sizes) + np.arange(int(sizes.sum())), sizes
+
+
 class Pieces:
-    """Ids of numbered pieces, one after another."""
+    """Bytes and ids of numbered pieces, each kind one after another; pieces are found by hash."""
 
     def __init__(self) -> None:
         self.number = words.Known(np.int64)
-        self.ids = np.zeros(0, np.int32)
-        self.bounds = np.zeros(1, np.int64)
+        self.ids, self.bounds = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.body, self.edges = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        """Numbers of new pieces, given their ids one after another."""
+    def add(self, keys: np.ndarray, body: np.ndarray, lengths: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers of new pieces; of those that share a hash only the first can be found again."""
         numbers = len(self.bounds) - 1 + np.arange(len(keys))
-        self.number.add(keys, numbers)
+        once, first = np.unique(keys, return_index=True)
+        fresh = ~self.number.find(once)[0]
+        self.number.add(once[fresh], numbers[first[fresh]])
         self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(sizes)])
+        self.body = np.concatenate([self.body, body])
+        self.edges = np.concatenate([self.edges, self.edges[-1] + np.cumsum(lengths)])
         return numbers
 
+    def find(self, keys: np.ndarray, body: np.ndarray, edges: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each of the pieces ``which`` is there, byte by byte, and its number."""
+        met, number = self.number.find(keys[which])
+        hits = np.flatnonzero(met)
+        same = edges[which[hits] + 1] - edges[which[hits]] == np.diff(self.edges)[number[hits]]
+        met[hits[~same]] = False
+        hits = hits[same]
+        if len(hits):
+            here, lengths = _places(edges, which[hits])
+            there, _ = _places(self.edges, number[hits])
+            differ = np.concatenate([[0], np.cumsum(body[here] != self.body[there])])
+            upto = np.concatenate([[0], np.cumsum(lengths)])
+            met[hits[differ[upto[1:]] > differ[upto[:-1]]]] = False
+        return met, number
+
     def of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some pieces, one after another, and how many each has."""
-        sizes = self.bounds[numbers + 1] - self.bounds[numbers]
-        upto = np.cumsum(sizes) - sizes
-        source = np.repeat(self.bounds[numbers] - upto, sizes) + np.arange(int(sizes.sum()))
+        source, sizes = _places(self.bounds, numbers)
         return self.ids[source], sizes
 
 
@@ -90,7 +115,8 @@ class Encoder:
     """Ids of texts through ``encode``, which takes pieces (bytes) and returns their ids.
 
     Pieces are remembered in two generations; what is met again moves to the young one, so
-    frequent pieces stay while memory is bounded.
+    frequent pieces stay while memory is bounded. A piece is looked up by a hash and taken
+    for known only if its bytes are the same.
     """
 
     def __init__(self, encode: Callable[[list[bytes]], list[list[int]]]):
@@ -102,27 +128,32 @@ class Encoder:
         if len(data) == 0:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         starts = cuts(data, offsets)
-        ends = np.append(starts[1:], len(data))
-        h = words.span_hashes(data, starts, ends, fold=False)
-        keys, first, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.young.number.keys) > KNOWN:
+        limits = np.append(starts, len(data)).astype(np.int64)
+        pieces = pa.LargeBinaryArray.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(limits), pa.py_buffer(np.ascontiguousarray(data))]
+        ).dictionary_encode()
+        back = pieces.indices.to_numpy()
+        edges = np.frombuffer(pieces.dictionary.buffers()[1], np.int64)[: len(pieces.dictionary) + 1]
+        body = np.frombuffer(pieces.dictionary.buffers()[2], np.uint8)[: edges[-1]]
+        keys = words.span_hashes(body, edges[:-1], edges[1:], fold=False)
+        if len(self.young.bounds) > KNOWN:
             self.young, self.old = Pieces(), self.young
-        young = self.young
-        met, index = young.number.find(keys)
+        young, everything = self.young, np.arange(len(keys))
+        met, index = young.find(keys, body, edges, everything)
         index = np.where(met, index, 0)
-        missing = np.flatnonzero(~met)
-        again, number = self.old.number.find(keys[missing])
+        missing = everything[~met]
+        again, number = self.old.find(keys, body, edges, missing)
         if again.any():
             moved = missing[again]
-            index[moved] = young.add(keys[moved], *self.old.of(number[again]))
+            place, lengths = _places(edges, moved)
+            index[moved] = young.add(keys[moved], body[place], lengths, *self.old.of(number[again]))
         new = missing[~again]
         if len(new):
-            body = data.tobytes()
-            pieces = [body[a:b] for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-            ids = self.encode(pieces)
+            place, lengths = _places(edges, new)
+            ids = self.encode(pieces.dictionary.take(pa.array(new)).to_pylist())
             sizes = np.array([len(x) for x in ids], np.int64)
             joined = np.fromiter((i for x in ids for i in x), np.int32, int(sizes.sum()))
-            index[new] = young.add(keys[new], joined, sizes)
+            index[new] = young.add(keys[new], body[place], lengths, joined, sizes)
         out, sizes = young.of(index[back])
         upto = np.concatenate([[0], np.cumsum(sizes)])
         return out, upto[np.searchsorted(starts, offsets)]

@@ -1,17 +1,18 @@
 """Words of many texts at once: spans, 64-bit hashes and shingles, as whole-array operations.
 
-A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes treat A-Z as a-z. Two
-different words share a 64-bit hash with a chance of about n²/2⁶⁵ over n distinct words.
+A word is a run of bytes other than 0x20 and 0x09-0x0D. Hashes treat A-Z as a-z. A span's
+hash is a chain of bijective mixers over its eight-byte blocks, a long one's is XXH3 of its
+bytes. Equal hashes are taken for equal words where sets are compared; where the bytes
+themselves matter (token ids), they are compared.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
-PIECE = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_random = np.random.default_rng(20240607)
+#: bytes from which on a span is hashed by itself
+LONG = 64
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -19,19 +20,7 @@ IS_WORD[[0x20, *range(0x09, 0x0E)]] = False
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 
-_EXACT = _random.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_FOLDED = _EXACT[LOWER]
-
-_powers: list[np.ndarray] = []
-
-
-def _power_tables() -> list[np.ndarray]:
-    if not _powers:
-        for base in (_BASE, _INVERSE):
-            steps = np.full(PIECE + 1, base, np.uint64)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
-    return _powers
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -46,35 +35,21 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
-    """Hash of the bytes of each span; spans ascend and do not overlap.
-
-    A polynomial in the bytes' random values: prefix sums over a piece of the data give
-    every span's value by one difference, shifted to the span's own start.
-    """
-    powers, inverses = _power_tables()
-    values = _FOLDED if fold else _EXACT
-    out = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):
-        a = starts[i]
-        j = int(np.searchsorted(ends, a + PIECE, "right"))
-        if j == i:  # one span longer than a piece
-            total, shift = 0, 1
-            for b in range(int(a), int(ends[i]), PIECE):
-                part = values[data[b : min(b + PIECE, int(ends[i]))]]
-                total += int((part * powers[: len(part)]).sum()) * shift
-                shift = shift * int(powers[PIECE]) % (1 << 64)
-            out[i] = total % (1 << 64)
-            i += 1
-            continue
-        part = data[a : ends[j - 1]]
-        sums = np.empty(len(part) + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum(values[part] * powers[: len(part)], out=sums[1:])
-        at = starts[i:j] - a
-        out[i:j] = (sums[ends[i:j] - a] - sums[at]) * inverses[at]
-        i = j
-    return mix(out)
+    """Hash of the length and the bytes of each span."""
+    body = np.zeros(len(data) + 8, np.uint8)
+    body[: len(data)] = LOWER[data] if fold else data
+    blocks = np.ndarray((len(data) + 1,), "<u8", body.data, 0, (1,))  # the eight bytes from any place on
+    sizes = ends - starts
+    out = mix(sizes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(1))
+    for i in np.flatnonzero(sizes > LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(body[starts[i] : ends[i]], 20240607)
+    active, done = np.flatnonzero((sizes > 0) & (sizes <= LONG)), 0
+    while len(active):
+        left = sizes[active] - done
+        block = blocks[starts[active] + done] & _MASK[np.minimum(left, 8)]
+        out[active] = mix(out[active] ^ block)
+        active, done = active[left > 8], done + 8
+    return out
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +121,7 @@ class Known:
 
     def add(self, keys: np.ndarray, values: np.ndarray) -> None:
         """New keys, none of which is there."""
-        both = np.concatenate([self.keys, keys])
-        order = np.argsort(both, kind="stable")
-        self.keys = both[order]
-        self.values = np.concatenate([self.values, values.astype(self.values.dtype)])[order]
+        order = np.argsort(keys)
+        at = np.searchsorted(self.keys, keys[order])
+        self.keys = np.insert(self.keys, at, keys[order])
+        self.values = np.insert(self.values, at, values[order].astype(self.values.dtype))
