@@ -81,6 +81,18 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     pa.default_memory_pool().release_unused()
 
 
+def apart(deals: np.ndarray) -> np.ndarray:
+    """Different values for equal ones of a batch, whatever their order, so that equal rows go
+    to many tasks."""
+    order = np.argsort(deals, kind="stable")
+    ordered = deals[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    nth = np.arange(len(deals)) - np.repeat(first, np.diff(np.append(first, len(deals))))
+    out = np.empty_like(deals)
+    out[order] = ordered + 1_000_003 * nth
+    return out
+
+
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of the texts (null: none), one after another, and where each begins and ends."""
     if texts.null_count:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stewardry.llm.chunks import Encoder, shared
-from stewardry.llm.frames import flat, slices
+from stewardry.llm.frames import apart, flat, slices
 
 LENGTH = 1024
 END_ID = 0
@@ -141,7 +141,7 @@ def _tokenized(path: str, length: int):
             for batch in slices(whole, "text"):
                 ids, bounds = encoder(*flat(batch.column("text")))
                 rows: list[tuple] = []
-                ids_of, deal = batch.column("doc_id").to_pylist(), batch.column("deal").to_pylist()
+                ids_of, deal = batch.column("doc_id").to_pylist(), apart(batch.column("deal").to_numpy()).tolist()
                 for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
                     own = np.append(ids[a:b], END_ID).astype("<u4")
                     n = len(own)
@@ -215,14 +215,14 @@ def pack_documents(
     A sequence is the ``ids`` of its pieces in the order of ``offset``.
 
     A document is its ids by the byte-level ``vocabulary`` (a tokenizers file), then id 0; a
-    null or empty text is that id alone. Documents are dealt out by a hash of id and seed,
-    so groups are random, of bounded size and the same on a repeated run; a repeated or
-    null id only lets a task pack more groups, one after another. An empty table gives no
+    null or empty text is that id alone. Documents are dealt out by a hash of id, text
+    and seed, equal rows of a batch to different tasks, so groups are random, of bounded size
+    and the same on a repeated run. An empty table gives no
     rows; other columns are ignored.
     """
     dealt = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), "text",
-        F.xxhash64(F.lit(seed), "doc_id").alias("deal"),
+        F.shiftright(F.xxhash64(F.lit(seed), "doc_id", "text"), 1).alias("deal"),
     )
     pieces = dealt.mapInArrow(_tokenized(vocabulary, length), TOKENS)
     order = ["deal", "doc_id", "start", "doc_tokens", "ids_crc32"]

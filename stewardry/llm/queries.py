@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardry.llm import bpe, chat, content_sort, imatch, jaccard, langid, packing, suffix_lm, toxicity, warc
+from stewardry.llm import (
+    best_fit, bpe, chat, content_sort, imatch, jaccard, langid, lexical, packing, prefix_trie, suffix_lm, toxicity, warc,
+)
 from stewardry.llm.frames import table
 
 
@@ -63,11 +65,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = prefix_trie.units(table(spark, sf_dir, "conversations"))
+    return prefix_trie.nodes(prefix_trie.rebuilt(own))
+
+
+def op12_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_whole(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_packing, op2_chat, op3_jaccard, op4_langid, op5_suffix_lm, op6_bpe, op7_toxicity,
-        op8_warc_revisits, op9_imatch, op10_exact_dedup,
+        op8_warc_revisits, op9_imatch, op10_exact_dedup, op11_prefix_trie, op12_best_fit, op13_lexical_search,
     )
 }
 
@@ -158,9 +173,89 @@ SELECT record_id, url_key, status, refers_to, refers_at,
 FROM judged
 """
 
+TRIE = r"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS nth
+  FROM conversations WHERE conv_id IS NOT NULL
+), ids AS (
+  SELECT DISTINCT c, CAST(c AS VARCHAR) AS name FROM turns
+), summed AS (
+  SELECT c, name, xor(CAST(4294967295 AS BIGINT), list_reduce(
+      list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(name, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+      lambda crc, b: list_reduce([xor(crc, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda a, z: xor(a // 2, CASE WHEN a % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h
+  FROM ids
+), rebuilt AS (
+  SELECT s.c, t.nth AS d, t.role, t.text FROM summed s JOIN turns t ON t.c = s.c - s.c % 100 AND t.nth <= s.h
+  UNION ALL
+  SELECT s.c, t.nth - s.h + least(s.h, coalesce(b.n, 0)), t.role, t.text
+  FROM summed s JOIN turns t ON t.c = s.c AND t.nth > s.h
+  LEFT JOIN (SELECT c, count(*) AS n FROM turns GROUP BY c) b ON b.c = s.c - s.c % 100
+), prefixes AS (
+  SELECT c, d, length(text) AS chars,
+         string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY d) OVER (PARTITION BY c ORDER BY d) AS path
+  FROM rebuilt
+  UNION ALL SELECT c, 0, 0, '' FROM ids
+), members AS (
+  SELECT path, d, any_value(chars) AS chars, min(c) AS conv_id, count(*) AS n_convs FROM prefixes GROUP BY path, d
+), ends AS (
+  SELECT path, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS ends
+  FROM (SELECT c, path FROM prefixes QUALIFY d = max(d) OVER (PARTITION BY c)) GROUP BY path
+), children AS (
+  SELECT substring(path, 1, 64 * (d - 1)) AS path, count(*) AS n FROM members WHERE d > 0 GROUP BY 1
+), above AS (
+  SELECT substring(m.path, 1, 64 * u.up) AS path, (k.n IS NULL)::INT AS leaf, (m.n_convs - 1) * m.chars AS saved
+  FROM (SELECT *, unnest(range(0, d + 1)) AS up FROM members) u JOIN members m ON m.path = u.path
+  LEFT JOIN children k ON k.path = m.path
+), sums AS (
+  SELECT path, CAST(sum(leaf) AS BIGINT) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM above GROUP BY path
+)
+SELECT m.conv_id, CAST(m.d AS BIGINT) AS depth, p.conv_id AS parent_conv_id, m.n_convs,
+       coalesce(k.n, 0) AS n_children, s.n_leaves, s.saved_tokens, coalesce(e.ends, sha256('')) AS ends_sha256
+FROM members m JOIN sums s ON s.path = m.path
+LEFT JOIN members p ON m.d > 0 AND p.path = substring(m.path, 1, 64 * (m.d - 1))
+LEFT JOIN children k ON k.path = m.path
+LEFT JOIN ends e ON e.path = m.path
+"""
+
+SEARCH = r"""
+WITH folded AS (
+  SELECT doc_id, regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), sized AS (
+  SELECT doc_id, terms, len(terms) AS n FROM folded WHERE len(terms) > 0
+), whole AS (
+  SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS total FROM sized
+), asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), wanted AS (
+  SELECT item_id, term, count(*) AS times FROM asked GROUP BY ALL
+), posted AS (
+  SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(terms) AS term FROM sized)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), weighed AS (
+  SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * texts + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM posted, whole GROUP BY term, texts
+), scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * texts) // total)))) AS BIGINT) AS score
+  FROM wanted JOIN posted USING (term) JOIN weighed USING (term), whole GROUP BY item_id, doc_id
+)
+SELECT item_id, CAST(row_number() OVER w AS INT) AS rank, doc_id, score FROM scored WHERE score > 0
+WINDOW w AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER w <= 10
+"""
+
 ORACLES: dict[str, str] = {
     "op2_chat": CHAT,
     "op8_warc_revisits": WARC,
+    "op11_prefix_trie": TRIE,
+    "op13_lexical_search": SEARCH,
     "op10_exact_dedup": f"""
 WITH normal AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, {NORMAL} AS t FROM documents
