@@ -275,14 +275,14 @@ pairs AS (
   SELECT n, low, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(a), len(b)) AS score
   FROM (SELECT n, list_distinct(regexp_split_to_array(n, '{SPACE}')) AS a FROM names WHERE length(n) >= 4)
   JOIN words ON contains(low, substr(n, 1, 4)) AND low <> n),
+scored AS (SELECT n, code, raw, score FROM pairs JOIN live USING (low) WHERE score >= 0.5),
 near AS (
   SELECT n, code, raw, score FROM (
-    SELECT n, code, raw, score, row_number() OVER (PARTITION BY n ORDER BY score DESC, code) AS place
-    FROM pairs JOIN live USING (low) WHERE score >= 0.5) WHERE place <= 5),
+    SELECT *, row_number() OVER (PARTITION BY n ORDER BY score DESC, code) AS place FROM scored) WHERE place <= 5),
 hits AS (
   SELECT n, code, raw, 1.0::DOUBLE AS similarity, '名称完全相同' AS reason, 0 AS src FROM exact
   UNION ALL
-  SELECT n, code, raw, {ROUNDED}, '关键词重叠 ' || CAST(trunc(score * 100) AS INTEGER) || '%', 1 FROM near),
+  SELECT n, code, raw, {ROUNDED}, '关键词重叠 ' || CAST(trunc(score * 100) AS INTEGER) || '%', 1 FROM scored),
 ranked AS (
   SELECT *, row_number() OVER (PARTITION BY n ORDER BY similarity DESC, src, code) AS place FROM (
     SELECT *, row_number() OVER (PARTITION BY n, code ORDER BY similarity DESC, src) AS copy

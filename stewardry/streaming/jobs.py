@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import build_index, check_duplicates
 from ..operators.validate import validate
-from ..session import materialize, scratch_path, scratch_removed
+from ..session import scratch_path, scratch_removed
 
 
 def validate_stream(
@@ -35,8 +35,8 @@ def dedup_stream(
     """Check every micro-batch against the golden records and write it to ``sink``.
 
     ``golden``: a snapshot, or a function that returns the newest version's name and
-    records; it is asked before each batch, and the index is built anew when the name has
-    changed. A batch is written to a folder named by its id, so a repeated batch replaces
+    records; it is asked before each batch, and what differs is filed into the index when the
+    name has changed. A batch is written to a folder named by its id, so a repeated batch replaces
     itself.
     """
     newest = golden if callable(golden) else lambda: (None, golden)
@@ -44,10 +44,11 @@ def dedup_stream(
 
     def check(batch: DataFrame, batch_id: int) -> None:
         version, records = newest()
-        if "index" not in held or version != held["version"]:
-            built = build_index(records)
-            parts = {f: materialize(getattr(built, f)) for f in ("exact", "near", "counts")}
-            held.update(version=version, index=built._replace(**parts))
+        if "index" not in held:
+            held["index"] = build_index(records)
+        elif version != held["version"]:
+            held["index"].refresh(records)
+        held["version"] = version
         with scratch_removed():
             checked = check_duplicates(batch, index=held["index"])
             checked.write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")

@@ -128,9 +128,11 @@ def brute_force(golden, name):
     return best[:5]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_equals_brute_force(spark, monkeypatch, seed):
+@pytest.mark.parametrize("seed, wide", [(0, 8), (1, 8), (1, 3), (2, 0), (3, 2)])
+def test_equals_brute_force(spark, monkeypatch, seed, wide):
+    """By shared word sets, by rare words (no name is short enough for sets) and by both."""
     monkeypatch.setattr(dedup, "CHUNK", [256, 3, 17, 1][seed])
+    monkeypatch.setattr(dedup, "WIDE", wide)
     rnd = random.Random(seed)
     words = ["ring", "Ring", "bolt", "bo", "RING", "x", "gear", "plate", "q1", "q2"]
     text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 5)))
@@ -144,6 +146,66 @@ def test_equals_brute_force(spark, monkeypatch, seed):
         assert result.confidence == (want[0][1] if want else 0.0)
 
 
+@pytest.mark.parametrize("wide", [0, 20])
+@pytest.mark.parametrize("chunk", [256, 1])
+def test_equal_after_rounding_goes_by_code(spark, monkeypatch, wide, chunk):
+    """9/17 and 10/19 both round to 0.53; the lowest codes come first, however records are filed."""
+    monkeypatch.setattr(dedup, "CHUNK", chunk)
+    monkeypatch.setattr(dedup, "WIDE", wide if wide == 0 else 8)
+    name = "word00 " + " ".join(f"word{i:02d}" for i in range(1, 17))
+    shared = name.split()
+    golden = [(f"B{i}", " ".join(shared[:9] + [f"b{i}{j}" for j in range(8)]), "active") for i in range(5)]
+    golden += [("A1", " ".join(shared[:10] + [f"a{j}" for j in range(9)]), "active")]
+    (result,) = check(spark, golden, [name])
+    assert [h[:2] for h in hits(result)] == [("A1", 0.53), *((f"B{i}", 0.53) for i in range(4))]
+
+
+def test_long_and_short_names_meet(spark):
+    """One of many words and one of few, in both directions."""
+    long = "steel a b c d e f g h"
+    golden = [("L", long, "active"), ("S", "steel a b c d", "active"), ("T", "steel a b c", "active")]
+    to_long, to_short = check(spark, golden, ["steel a b c d", long])
+    assert [h[0] for h in hits(to_long)] == ["S", "T", "L"]  # 1.0, 0.8, 5/9
+    assert [h[0] for h in hits(to_short)] == ["L", "S"]
+
+
+def test_many_equals_do_not_hide_near_ones(spark):
+    """Containment hits are no equals, even if those have the lowest codes of the key."""
+    golden = [(f"A{i}", "steel plate two", "active") for i in range(9)]
+    golden += [(f"B{i}", "Two steel plate", "active") for i in range(6)]
+    records = spark.createDataFrame(
+        [(f"g{i}", *row) for i, row in enumerate(golden)], "id string, material_code string, material_name string, status string"
+    )
+    cands = spark.createDataFrame([(1, "steel plate two")], "id int, material_name string")
+    rows = dedup.containment_rows(cands, records).collect()
+    assert sorted(r.material_code for r in rows) == [f"B{i}" for i in range(5)]
+
+
+@pytest.mark.parametrize("merge", [0.0, 0.25, 10.0])
+def test_index_takes_increments(spark, monkeypatch, merge):
+    """After any versions the index answers like one built anew; only changed names are filed."""
+    monkeypatch.setattr(dedup.GoldenIndex, "MERGE", merge)
+    rnd = random.Random(5)
+    words = ["ring", "Ring", "bolt", "bo", "RING", "x", "gear", "plate", "q1"]
+    text = lambda: " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))
+    rows = {f"M{i:03d}": (text(), "active") for i in range(120)}
+    frame = lambda: spark.createDataFrame(
+        [(c, c, n, s) for c, (n, s) in rows.items()], "id string, material_code string, material_name string, status string"
+    )
+    cands = spark.createDataFrame([(i, text()) for i in range(40)] + [(99, "abc")], "id int, material_name string")
+    index = build_index(frame())
+    answers = lambda **how: sorted(map(str, check_duplicates(cands, **how).select("id", "dedup_result").collect()))
+    for step in range(3):
+        for code in rnd.sample(sorted(rows), 3):
+            rows[code] = (text(), rnd.choice(["active", "obsolete"]))
+        rows[f"N{step}"] = (["abc", "ring bolt", "abc"][step], "active")
+        rows.pop(rnd.choice(sorted(rows)))
+        assert 0 < index.refresh(frame()) <= 10
+        assert answers(index=index) == answers(golden=frame())
+    assert index.refresh(frame()) == 0
+    assert len(index.generations) == (1 if merge == 0.0 else 4 if merge == 10.0 else len(index.generations))
+
+
 def test_another_similarity_sees_all_records_with_the_prefix(spark):
     golden = [("A", "steel a b c d", "active"), ("B", "xxsteel", "active"), ("C", "iron", "active")]
     same = lambda a, b: F.lit(0.9)
