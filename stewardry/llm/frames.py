@@ -81,6 +81,13 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 4 << 20) -> Iterator
     pa.default_memory_pool().release_unused()
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, made longer until no column is called like that."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def apart(deals: np.ndarray) -> np.ndarray:
     """Different values for equal ones of a batch, whatever their order, so that equal rows go
     to many tasks."""

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from stewardry.llm import words
 from stewardry.llm.components import components
-from stewardry.llm.frames import flat, slices, written
+from stewardry.llm.frames import flat, slices, unused, written
 
 WIDTH = 5
 #: cells of the shingle counts that order shingles from rare to common; any order is exact
@@ -493,6 +493,6 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Rows without an id stay; of rows that repeat an id, all that carry their group's id do.
     """
-    named = jaccard_components(docs)
-    stay = named.filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias("_llm_stay")).distinct()
-    return docs.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_llm_stay")), "left_semi")
+    named, own = jaccard_components(docs), unused("_llm_stay", docs.columns)
+    stay = named.filter("doc_id is null or doc_id = component_id").select(F.col("doc_id").alias(own)).distinct()
+    return docs.join(stay, F.col("doc_id").cast("bigint").eqNullSafe(F.col(own)), "left_semi")

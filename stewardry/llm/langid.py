@@ -19,12 +19,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stewardry.llm import words
-from stewardry.llm.frames import flat, remainder, slices
+from stewardry.llm.frames import flat, remainder, slices, unused
 
 DIMS = 1 << 13
 #: Bound of the sample that centroids are clustered from, per language and for all of them.
 SAMPLE = 256
 SAMPLE_ALL = 4096
+#: Values of ``lang`` that can be learned: the most frequent ones, two texts of each at least.
+LANGUAGES = SAMPLE_ALL // 2
 CENTROIDS = 4
 #: A text is rejected below this share of the lowest percentile of its language's cosines.
 SLACK = 0.9
@@ -37,6 +39,8 @@ ENOUGH = 100
 #: Clusters of a smaller share of the sample are dissolved.
 LEAST = 0.03
 
+LETTER = "_llm_letter"
+
 #: what counts as a letter byte; all else is one blank class
 _KEEP = np.zeros(256, np.uint64)
 _KEEP[[*range(97, 123)]] = np.arange(97, 123)
@@ -166,15 +170,18 @@ def _floors(tf: np.ndarray, heads: list[str], idf: np.ndarray) -> np.ndarray:
     return floors
 
 
-def learn(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
+def learn(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> Centroids | None:
     """Centroids from texts with a letter and a language whose id's remainder by 4 is not 2.
 
     Document frequencies cover all of them. The clusters come from at most ``sample``
-    texts of each language and SAMPLE_ALL in all, those of the smallest hashes of their
-    ids. None if there is nothing to learn from.
+    texts of each language and SAMPLE_ALL in all, those of the smallest hashes of id and
+    text; a language of repeated rows, which share a hash, gives what it has. Of more than
+    ``languages`` values of ``lang`` the most frequent are learned. Null ids, languages and
+    texts are read as the filters above say; ties go by text; other columns are ignored. None
+    if there is nothing to learn from.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).filter(remainder("doc_id", 4) != 2)
-    known = known.select("text", "lang", F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("h"))
+    known = known.select("text", "lang", F.xxhash64("doc_id", "text").alias("h"))
     df = known.select("text").mapInArrow(_frequencies, "place int, n long").groupBy("place").agg(F.sum("n").alias("n"))
     df = {r.place: r.n for r in df.collect()}  # DIMS + 1 numbers
     n = df.get(-1, 0)
@@ -182,12 +189,18 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
         return None
     idf = np.log((1 + n) / (1 + np.array([df[i] for i in range(DIMS)]))).astype(np.float32) + np.float32(0.1)
     langs = known.groupBy("lang").agg(F.count("*").alias("n"))
-    top = [(r.lang, r.n) for r in langs.orderBy(F.desc("n"), "lang").limit(SAMPLE_ALL // 8).collect()]
-    each = max(8, min(sample, SAMPLE_ALL // len(top)))
+    top = [(r.lang, r.n) for r in langs.orderBy(F.desc("n"), "lang").limit(languages).collect()]
+    each = max(2, min(sample, SAMPLE_ALL // len(top)))
     # keep about twice as many by hash, then the first ones exactly
-    share = docs.sparkSession.createDataFrame([(a, min(1.0, 2 * each / m + 20 / m)) for a, m in top], "lang string, share double")
+    wanted = [(a, min(1.0, 2 * each / m + 20 / m), min(each, m)) for a, m in top]
+    share = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, share double, least long"))  # ``languages`` rows
     unit = (F.col("h").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
-    few = known.join(F.broadcast(share), "lang").filter(unit <= F.col("share")).drop("share")
+    passing = known.join(share, "lang").filter(unit <= F.col("share")).groupBy("lang").agg(F.count("*").alias("n"))
+    enough = {r.lang for r in passing.join(share, "lang").filter("n >= least").select("lang").collect()}
+    # repeated rows pass or fail together: of a language with too few, all are drawn from
+    wanted = [(a, s if a in enough else 1.0) for a, s, _ in wanted]
+    share = F.broadcast(docs.sparkSession.createDataFrame(wanted, "lang string, share double"))
+    few = known.join(share, "lang").filter(unit <= F.col("share")).drop("share")
     first = few.withColumn("nth", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).filter(F.col("nth") <= each)
     first = first.select("lang", "text", F.substring("text", 1, max(CUTS) + 1).alias("head"))
     rows = first.mapInArrow(_count_rows, "lang string, head string, tf binary").collect()  # SAMPLE_ALL rows at most
@@ -204,13 +217,13 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> Centroids | None:
     return Centroids(idf, np.stack(centres), names, np.array(floors))
 
 
-def _identified(model, make):
+def _identified(model, make, letter: str = LETTER):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         names = np.array(m.names, object) if m else np.array(["und"], object)
         for whole in batches:
             for batch in _small(whole):
-                letters = batch.column(batch.schema.get_field_index("_llm_letter")).to_numpy(zero_copy_only=False)
+                letters = batch.column(batch.schema.get_field_index(letter)).to_numpy(zero_copy_only=False)
                 if m:
                     tf = counts(*flat(batch.column("text")))
                     best, cosine = m.nearest(vectors(tf, m.idf))
@@ -223,8 +236,8 @@ def _identified(model, make):
     return run
 
 
-def _with_letter(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_llm_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+def _with_letter(docs: DataFrame, letter: str = LETTER) -> DataFrame:
+    return docs.withColumn(letter, F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
 
 
 def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
@@ -248,10 +261,15 @@ def identify(docs: DataFrame, model: Centroids | None) -> DataFrame:
 
 
 def without_rejected(docs: DataFrame, model: Centroids | None) -> DataFrame:
-    """The rows not rejected, with all their columns."""
+    """The rows not rejected, with all their columns, whatever their names.
+
+    A null text and one without a letter are rejected, and all rows if nothing was learned.
+    Repeated rows stay or go together; an empty table stays empty.
+    """
+    letter = unused(LETTER, docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make(batch, lang, cosine, reject) -> pa.RecordBatch:
-        return batch.filter(pa.array(~reject)).drop_columns(["_llm_letter"])
+        return batch.filter(pa.array(~reject)).drop_columns([letter])
 
-    return _with_letter(docs).mapInArrow(_identified(shared, make), docs.schema)
+    return _with_letter(docs, letter).mapInArrow(_identified(shared, make, letter), docs.schema)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stewardry.llm.frames import written
+
 #: fixed values: headers that a 304 answer may update (RFC 9110, 15.4.5)
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
 #: time slots that a URL's records are spread over
@@ -42,6 +44,18 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(lower(kept), lower(may))
 
 
+def _slot(at: Column, cuts: list[int], width: int = 32) -> Column:
+    """How many of the ascending ``cuts`` lie at or below ``at``, looked up in two steps."""
+    parts = [cuts[i : i + width] for i in range(0, len(cuts), width)]
+    if not parts:
+        return F.lit(0)
+    numbers = lambda values: F.array(*[F.lit(v).cast("bigint") for v in values])
+    upto = lambda values: F.size(F.filter(values, lambda c: c <= at))
+    part = upto(numbers([p[0] for p in parts]))
+    inner = upto(F.element_at(F.array(*[numbers(p) for p in parts]), F.greatest(part, F.lit(1))))
+    return F.when(part == 0, 0).otherwise((part - 1) * width + inner)
+
+
 def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     """``record_id, url_key, status, refers_to, refers_at, headers, payload_sha256`` per revisit.
 
@@ -52,7 +66,7 @@ def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
     latest response has other validators (refers_to names it, headers are the revisit's);
     ``missing`` without an earlier response or with a null URL or time.
 
-    A URL's records are spread over time slots. Within a slot the latest response before a
+    A URL's records are spread over time slots of about as many records each. Within a slot the latest response before a
     record is a window's running maximum; across slots it is the running maximum of one row
     a slot. So one URL with most of the records fills many tasks, and a second window sees
     ``slots`` rows of it at most.
@@ -64,10 +78,11 @@ def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
         "record_id", canonical(F.col("url")).alias("url_key"), F.col("at").cast("bigint").alias("at"), "kind",
         lower.alias("headers"), "payload_sha256",
     )
+    rows = written(rows, "records")
     placed = rows.filter("url_key is not null and at is not null")
-    span = placed.agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # one row
-    width = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / slots))
-    placed = placed.join(F.broadcast(span)).withColumn("slot", F.floor((F.col("at") - F.col("lo")) / width).cast("int"))
+    shares = [i / slots for i in range(1, slots)]
+    cuts = sorted(set(placed.approxQuantile("at", shares, 0.1 / slots))) if shares else []  # ``slots`` numbers
+    placed = placed.withColumn("slot", _slot(F.col("at"), [int(c) for c in cuts]))
     full = F.when(
         F.col("kind") == "response",
         F.struct(
@@ -76,7 +91,7 @@ def resolve_revisits(records: DataFrame, slots: int = SLOTS) -> DataFrame:
             F.col("payload_sha256").alias("payload"),
         ),
     )
-    placed = placed.drop("lo", "hi").withColumn("full", full)
+    placed = placed.withColumn("full", full)
     before = Window.partitionBy("url_key", "slot").orderBy("at").rangeBetween(Window.unboundedPreceding, -1)
     near = placed.withColumn("near", F.max("full").over(before)).filter("kind = 'revisit'").drop("full")
     by_slot = placed.groupBy("url_key", "slot").agg(F.max("full").alias("last"))

@@ -101,3 +101,14 @@ def test_a_hot_url_is_spread_over_slots(spark):
     assert {(r.record_id, r.refers_to) for r in out.collect()} == {(i, i // 500 * 500) for i in range(2000) if i % 500}
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "slot" in plan and "CartesianProduct" not in plan
+
+
+def test_slots_hold_about_as_many_records(spark):
+    """One wrong time does not put all else into one slot."""
+    times = [*range(20_000), 10**15]
+    df = spark.createDataFrame([(t,) for t in times], "at long")
+    cuts = sorted({int(c) for c in df.approxQuantile("at", [i / 100 for i in range(1, 100)], 0.001)})
+    sizes = [r["count"] for r in df.groupBy(warc._slot(F.col("at"), cuts).alias("slot")).count().collect()]
+    assert len(sizes) > 80 and max(sizes) < 800
+    for row in df.sample(0.01, seed=1).withColumn("slot", warc._slot(F.col("at"), cuts)).collect():
+        assert row.slot == sum(c <= row["at"] for c in cuts)
