@@ -50,13 +50,17 @@ def page_after(
 ) -> DataFrame:
     """Newest first, the rows that follow ``after``: the last page's (``order``, ``tie``) values.
 
-    However deep the page, a task keeps ``limit`` rows; the first page has no ``after``.
+    However deep the page, a task keeps ``limit`` rows; the first page has no ``after``. Rows
+    without a value of ``order`` come last, by ``tie``.
     """
     check_page(0, limit)
     if after is not None:
         at, last = F.lit(after[0]), F.lit(after[1])
-        same = (F.col(order) == at) & (F.col(tie) > last)
-        df = df.filter((F.col(order) < at) | F.col(order).isNull() | same)
+        if after[0] is None:
+            df = df.filter(F.col(order).isNull() & (F.col(tie) > last))
+        else:
+            same = (F.col(order) == at) & (F.col(tie) > last)
+            df = df.filter((F.col(order) < at) | F.col(order).isNull() | same)
     return df.orderBy(F.col(order).desc(), F.col(tie).asc()).limit(limit)
 
 

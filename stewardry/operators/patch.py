@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .access import judge_requests
+from .audit import request_audit
+
 
 def patch_by_id(
     base: DataFrame,
@@ -68,3 +73,34 @@ def save_drafts(
         )
     )
     return joined.select(out), refused
+
+
+class Saved(NamedTuple):
+    applications: DataFrame  # next version
+    refused: DataFrame  # saves that change nothing, with the reason
+    audit: DataFrame  # one row per accepted save
+
+
+def save_drafts_as(
+    applications: DataFrame,
+    saves: DataFrame,
+    columns: list[str],
+    principals: DataFrame,
+    logs: DataFrame,
+    order: list[str],
+    at: Column,
+) -> Saved:
+    """Draft saves by their actors: judged by role, owner and status, folded per draft, logged.
+
+    ``saves`` has ``save_id, application_id, acted_by, acted_by_name, at``, the ``columns`` to
+    set and those of ``order``, by which later saves of one draft win.
+    """
+    judged = judge_requests(saves, applications, principals)
+    folded = fold_patches(judged.accepted.withColumn("id", F.col("application_id")), columns, order)
+    written, _ = save_drafts(applications, folded, columns, at)
+    requests = judged.accepted.select(
+        F.col("save_id").alias("id"), "application_id", F.col("acted_by").alias("executed_by"),
+        F.col("acted_by_name").alias("executed_by_name"), F.col("at").alias("executed_at"),
+        F.lit(None).cast("string").alias("details"),
+    )
+    return Saved(written, judged.refused, request_audit(requests, "save_draft", applications, logs))

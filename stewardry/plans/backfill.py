@@ -11,9 +11,9 @@ from ..sources.tables import conform
 
 def backfill_level(classifications: DataFrame, seed: DataFrame, level: int = 3) -> DataFrame:
     """Rows of ``seed`` to add: none if the level is in use, else those whose parent exists."""
-    used = classifications.filter(F.col("level") == level).select(F.lit(level).alias("level")).limit(1)
+    used = classifications.filter(F.col("level") == level).agg(F.count("*")).scalar()
     parents = classifications.select(F.col("id").alias("parent_id"))
-    rows = seed.withColumn("level", F.lit(level)).join(used, "level", "left_anti")
+    rows = seed.withColumn("level", F.lit(level)).filter(used == 0)
     rows = rows.join(parents, "parent_id", "left_semi")
     return conform(rows, CLASSIFICATIONS, DEFAULTS["material_classifications"])
 

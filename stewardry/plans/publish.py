@@ -33,6 +33,7 @@ class Published(NamedTuple):
     publish_feed: DataFrame
     catalog_feed: DataFrame
     refused: DataFrame  # approved applications that cannot become a record, with the reason
+    refused_audit: DataFrame  # a failed step for each of them
 
 
 class Answered(NamedTuple):
@@ -48,9 +49,13 @@ def publish_batch(
     logs: DataFrame,
     as_of: datetime,
     fqn_prefix: str = FQN_PREFIX,
+    actor: tuple[str, str] | None = None,
 ) -> Published:
     """Turn approved applications into golden records, feeds and audit rows.
 
+    ``actor`` (id, name) is who asked for it; the audit rows of refused applications name
+    them, else the system.
+
     Refused are applications without a code (``no_code``), with a record already
     (``recorded``), whose code a record or a lower id of the batch has (``code_taken``),
     and whose class lies in a cycle (``no_path``). So running a batch again adds nothing.
@@ -86,6 +91,13 @@ def publish_batch(
     steps = records.select(
         "application_id", "app_no", F.col("id").alias("golden_record_id"), F.inline(F.array(made))
     )
+    refused = judged.filter("reason is not null")
+    failed = system_step(1, "publish", F.lit("failed"), F.lit(None).cast("string"))
+    asked = refused.select(
+        F.col("id").alias("application_id"), "app_no", F.col("reason").alias("error_message"), F.inline(F.array(failed))
+    )
+    if actor:
+        asked = asked.withColumns({"executed_by": F.lit(actor[0]), "executed_by_name": F.lit(actor[1])})
     stamped = done.withColumn("status", F.lit("published"))
     if "updated_at" in done.columns:
         stamped = stamped.withColumn("updated_at", at)
@@ -95,7 +107,8 @@ def publish_batch(
         batch_audit(steps.withColumn("executed_at", at), logs),
         publish_feed(new_golden),
         catalog_feed(new_golden, fqn_prefix),
-        judged.filter("reason is not null").select("id", "app_no", "material_code", "reason"),
+        refused.select("id", "app_no", "material_code", "reason"),
+        batch_audit(asked.withColumn("executed_at", at), logs),
     )
 
 

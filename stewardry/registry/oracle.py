@@ -69,6 +69,12 @@ FROM classifications a LEFT JOIN classifications b ON b.parent_id = a.id
 LEFT JOIN classifications c ON c.parent_id = b.id
 WHERE a.level = 1 AND a.is_active""")
 
+oracle("classification_tree_nested", "classifications", """
+SELECT a.code AS root_code, row_number() OVER (PARTITION BY a.id ORDER BY b.code, b.id) - 1 AS nth, b.code AS middle_code,
+       coalesce((SELECT string_agg(c.code, ',' ORDER BY c.code, c.id) FROM classifications c WHERE c.parent_id = b.id), '') AS leaf_codes
+FROM classifications a JOIN classifications b ON b.parent_id = a.id
+WHERE a.level = 1 AND a.is_active""")
+
 MAJOR = """
 majors AS (
   SELECT c.id, c.code, CASE WHEN c.parent_id IS NOT NULL THEN coalesce(p.code, '00')
@@ -132,6 +138,8 @@ oracle("visible_applications", "applications principals", """
 SELECT user_id, id, status FROM applications JOIN principals ON created_by = user_id
 WHERE role = 'applicant'""")
 
+oracle("visible_to_applicant", "applications", "SELECT id, status FROM applications WHERE created_by = 'C7'")
+oracle("visible_to_admin", "applications", "SELECT id, status FROM applications")
 oracle("visible_counts", "applications principals", """
 SELECT user_id, role, CASE WHEN role = 'applicant'
          THEN (SELECT count(*) FROM applications WHERE created_by = user_id)
@@ -585,6 +593,16 @@ SELECT application_id, app_no || '-S' || (4 + {OLD.format('a')}) AS step_id, act
        acted_by_name AS executed_by_name
 FROM judged_requests r JOIN applications a ON a.id = r.application_id JOIN summary s ON s.id = a.id
 WHERE reason IS NULL AND s.validation_passed""", CHECKS + "," + JUDGED)
+oracle("draft_audit", "applications principals requests old_logs", f"""
+SELECT application_id, app_no || '-S' || (n + {OLD.format('r')}) AS step_id, 'save_draft' AS step_name, acted_by AS executed_by,
+       'success' AS status
+FROM (SELECT j.*, app_no, row_number() OVER (PARTITION BY application_id ORDER BY "at", j.id) AS n
+      FROM judged_requests j JOIN applications a ON a.id = application_id WHERE reason IS NULL) r""", JUDGED)
+oracle("draft_saved_as", "applications principals requests", """
+SELECT a.id, (SELECT arg_max('by ' || acted_by, r."at") FROM judged_requests r WHERE r.application_id = a.id AND reason IS NULL) AS material_desc
+FROM applications a""", JUDGED)
+oracle("draft_refused_as", "applications principals requests", """
+SELECT id AS save_id, application_id, acted_by, reason FROM judged_requests WHERE reason IS NOT NULL""", JUDGED)
 oracle("create_audit", "applications old_logs", f"""
 SELECT id AS application_id, app_no || '-S' || (1 + {OLD.format('a')}) AS step_id, 'create_draft' AS step_name,
        created_by AS executed_by, created_by_name AS executed_by_name, '{{"app_no":"' || app_no || '"}}' AS details
@@ -615,6 +633,9 @@ SELECT id, 'published' AS status, '2026-05-01T12:00:00' AS updated_at FROM fresh
 oracle("publish_audit", PUBLISH_TABLES, f"""
 SELECT app_no || '-S' || (1 + {OLD.format('fresh')}) AS step_id, 'gr-' || id AS golden_record_id,
        'create_gr' AS step_name, 'success' AS status FROM fresh""", PUBLISH)
+oracle("publish_refused_audit", PUBLISH_TABLES, f"""
+SELECT app_no || '-S' || (1 + {OLD.format('judged')}) AS step_id, id AS application_id, 'publish' AS step_name,
+       'C1' AS executed_by, 'failed' AS status, reason AS error_message FROM judged WHERE reason IS NOT NULL""", PUBLISH)
 oracle("publish_refused", PUBLISH_TABLES,
        "SELECT id, material_code, reason FROM judged WHERE reason IS NOT NULL", PUBLISH)
 
@@ -719,6 +740,8 @@ SELECT application_id, id AS attachment_id, safe AS original_name, id || '-' ||
        coalesce(nullif(content_type, ''), 'application/octet-stream') AS content_type, size,
        uploaded_by, uploaded_by_name, {iso('uploaded_at')} AS uploaded_at,
        '/api/applications/' || application_id || '/attachments/' || id AS download_url FROM files""", FILES)
+oracle("attachments_appended", "applications uploads", """
+SELECT application_id, id AS attachment_id, safe AS original_name, size FROM files""", FILES)
 oracle("attachment_sizes", "applications uploads", """
 SELECT a.id AS application_id, count(f.id) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size
 FROM applications a LEFT JOIN files f ON f.application_id = a.id GROUP BY a.id""", FILES)
@@ -734,7 +757,9 @@ LEVEL = """SELECT 'K' || c_custkey AS id, 'N' || c_nationkey AS parent_id, 3 AS
 FROM customer WHERE c_mktsegment <> 'BUILDING'"""
 oracle("backfill_level", "", LEVEL)
 oracle("backfill_level_guarded", "classifications",
-       LEVEL + " AND NOT EXISTS (SELECT 1 FROM classifications WHERE level = 3)")
+       LEVEL + " AND NOT EXISTS (SELECT 1 FROM classifications WHERE level = 3) UNION ALL "
+       + LEVEL.replace("3 AS level", "4 AS level")
+       + " AND NOT EXISTS (SELECT 1 FROM classifications WHERE level = 4)")
 
 oracle("publish_feed", "golden", """
 SELECT id AS golden_record_id, material_code, material_name, 'published' AS status,
@@ -753,6 +778,6 @@ oracle("stream_step_counts", "logs",
 
 for climbing in (
     "classification_path", "classification_path_deep", "catalog", "publish_batch", "publish_applications",
-    "publish_audit", "publish_refused", "publish_results", "publish_result_audit",
+    "publish_audit", "publish_refused", "publish_refused_audit", "publish_results", "publish_result_audit",
 ):
     recursive(climbing)

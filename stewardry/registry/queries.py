@@ -15,7 +15,7 @@ from stewardry.operators import (
     validate,
 )
 from stewardry.plans import approve, backfill, dashboard, overview, publish, submit
-from stewardry.session import tune
+from stewardry.session import scratch_path, tune
 from stewardry.sources import feeds, tables
 from stewardry.sources import testdata as td
 from stewardry.streaming import jobs
@@ -93,6 +93,18 @@ def classification_tree_flat(d):
     return hierarchy.tree_flat(d.classifications)
 
 
+@query
+def classification_tree_nested(d):
+    """The nested form, read back: a row per middle class with its leaves in order."""
+    roots = hierarchy.tree_nested(d.classifications).select(
+        F.col("code").alias("root_code"), F.posexplode_outer("children").alias("nth", "middle")
+    )
+    return roots.select(
+        "root_code", F.col("nth").cast("bigint").alias("nth"), F.col("middle.code").alias("middle_code"),
+        F.array_join("middle.children.code", ",").alias("leaf_codes"),
+    )
+
+
 @query
 def parent_codes(d):
     return hierarchy.major_codes(d.classifications).select("id", "code", "major_code")
@@ -172,6 +184,17 @@ def visible_applications(d):
     return lookup.own_applications(d.applications, d.principals).select("user_id", "id", "status")
 
 
+@query
+def visible_to_applicant(d):
+    return lookup.visible_to(d.applications, "C7", "applicant").select("id", "status")
+
+
+@query
+def visible_to_admin(d):
+    others = lookup.visible_to(d.applications, "C7", "guest")
+    return lookup.visible_to(d.applications, "C1", "data_admin").unionByName(others).select("id", "status")
+
+
 @query
 def visible_counts(d):
     return lookup.visible_counts(d.applications, d.principals)
@@ -565,6 +588,12 @@ def publish_audit(d):
     return published(d).audit.select("step_id", "golden_record_id", "step_name", "status")
 
 
+@query
+def publish_refused_audit(d):
+    done = publish.publish_batch(d.applications, d.golden, d.classifications, d.old_logs, AS_OF, actor=("C1", "Admin"))
+    return done.refused_audit.select("step_id", "application_id", "step_name", "executed_by", "status", "error_message")
+
+
 @query
 def publish_refused(d):
     return published(d).refused.select("id", "material_code", "reason")
@@ -620,6 +649,29 @@ def draft_patch_refused(d):
     return draft_saves(d)[1].select("id", "status", "reason")
 
 
+def saves_by_actor(d):
+    """Every request of an order's application as a save of a new description."""
+    saves = d.requests.withColumnRenamed("id", "save_id").withColumn("material_desc", F.concat(F.lit("by "), "acted_by"))
+    return patch.save_drafts_as(
+        d.applications, saves, ["material_desc"], d.principals, d.old_logs, ["at", "save_id"], F.lit(AS_OF).cast("timestamp")
+    )
+
+
+@query
+def draft_audit(d):
+    return saves_by_actor(d).audit.select("application_id", "step_id", "step_name", "executed_by", "status")
+
+
+@query
+def draft_saved_as(d):
+    return saves_by_actor(d).applications.select("id", "material_desc")
+
+
+@query
+def draft_refused_as(d):
+    return saves_by_actor(d).refused.select("save_id", "application_id", "acted_by", "reason")
+
+
 @query
 def record_patch(d):
     changed = d.given("part").select(
@@ -662,6 +714,15 @@ def attachments_flat(d):
     return uploads(d)
 
 
+@query
+def attachments_appended(d):
+    """The row layout: files on the application, read back one by one."""
+    grown = attachments.append_attachments(
+        d.applications, attachments.attachment_rows(d.uploads), F.lit(AS_OF).cast("timestamp")
+    )
+    return attachments.flat_attachments(grown).select("application_id", "attachment_id", "original_name", "size")
+
+
 @query
 def attachment_sizes(d):
     return attachments.upload_sizes(d.applications, uploads(d))
@@ -704,9 +765,9 @@ def backfill_level(d):
 
 @query
 def backfill_level_guarded(d):
-    return backfill.backfill_level(d.classifications, customer_classes(d)).select(
-        "id", "parent_id", "level", "is_active"
-    )
+    """Level 3 is in use and gets nothing, level 4 is free."""
+    added = [backfill.backfill_level(d.classifications, customer_classes(d), level) for level in (3, 4)]
+    return added[0].unionByName(added[1]).select("id", "parent_id", "level", "is_active")
 
 
 @query
@@ -763,16 +824,28 @@ def stream_lifecycle(d):
 
 @query
 def stream_audit_dedup(d):
-    once, again = streamed(d, "events", "logs"), streamed(d, "events", "logs")
-    # stored files may be replayed in any order, so nothing counts as late here
-    events = jobs.distinct_events(once.unionByName(again), delay="36500 days")
-    return jobs.drain(d.spark, events.select("id", "step_name", "status"))
+    """The log arrives in files by time, then all of it once more."""
+    folder = scratch_path(d.spark, "ingest")
+    rows = d.logs.select("id", "step_name", "status", "executed_at")
+    for source in ("1", "2"):
+        rows.repartitionByRange(4, "executed_at").write.parquet(f"{folder}/in{source}")
+    read = lambda: (
+        d.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(f"{folder}/in*")
+    )
+    jobs.ingest_events(read, f"{folder}/sink", f"{folder}/checkpoint")
+    return jobs.ingested(d.spark, f"{folder}/sink").select("id", "step_name", "status")
 
 
 @query
 def stream_status_counts(d):
-    counts = jobs.status_counts(streamed(d, "orders", "applications"))
-    return jobs.drain(d.spark, counts, "complete")
+    """Every application comes as a draft and as it is now, the draft possibly behind."""
+    columns = ["id", "status", F.col("created_at").alias("at"), "tie"]
+    now = streamed(d, "orders", "applications").withColumn("tie", F.lit("2")).select(*columns)
+    draft = streamed(d, "orders", "applications").withColumns({"tie": F.lit("1"), "status": F.lit("draft")})
+    folder = scratch_path(d.spark, "counts")
+    deltas = jobs.status_deltas(now.unionByName(draft.select(*columns)))
+    jobs.live_counts(deltas, f"{folder}/sink", f"{folder}/checkpoint").awaitTermination()
+    return jobs.counts_now(d.spark, f"{folder}/sink")
 
 
 @query

@@ -7,11 +7,12 @@ batch operator. Starting, triggering and sinks are the caller's choice; see
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..operators.dedup import build_index, check_duplicates
 from ..operators.validate import validate
@@ -72,9 +73,129 @@ def distinct_events(
     return stamped.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
 
 
-def status_counts(applications: DataFrame) -> DataFrame:
-    """Live number of applications per status (update or complete mode)."""
-    return applications.groupBy("status").agg(F.count("*").alias("applications"))
+def ingest_events(
+    read: Callable[[], DataFrame],
+    sink: str,
+    checkpoint: str,
+    at: str = "executed_at",
+    key: str = "id",
+    delay: str = "7 days",
+) -> list[StreamingQuery]:
+    """Audit ingest in which nothing is lost: events within ``delay`` are told apart in the
+    state store, later ones against the written log.
+
+    ``read`` opens the source. First :func:`distinct_events` writes what is in time, one folder
+    a batch. Then the same source is read once more for rows that were too late for that:
+    those more than ``delay`` behind the newest event up to their batch. The few there are
+    join the written log, and whose id is not in it is written behind the rest. So state holds
+    ids of ``delay`` only, however long the stream. Returns the two queries, both ended.
+    """
+    spark = read().sparkSession
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/on_time/batch={batch_id}")
+
+    def write_late(batch: DataFrame, batch_id: int) -> None:
+        stamped = batch.withColumn(at, F.col(at).cast("timestamp"))
+        newest = stamped.agg(F.max(at).alias("newest")).withColumn("nth", F.lit(batch_id))
+        newest.write.mode("overwrite").parquet(f"{sink}/newest/part={batch_id}")
+        seen = spark.read.parquet(f"{sink}/newest").filter(F.col("nth") <= batch_id)
+        bound = seen.agg(F.max("newest")).scalar() - F.expr(f"INTERVAL {delay}")
+        late = stamped.filter(F.col(at) < bound)
+        known = spark.read.parquet(f"{sink}/on_time").select(key)
+        if batch_id:
+            older = spark.read.schema(f"{key} string, nth long").parquet(f"{sink}/late")
+            known = known.unionByName(older.filter(F.col("nth") < batch_id).select(key))
+        fresh = late.join(known, key, "left_anti").dropDuplicates([key])
+        fresh.withColumn("nth", F.lit(batch_id).cast("bigint")).write.mode("overwrite").parquet(f"{sink}/late/batch={batch_id}")
+
+    queries = []
+    for name, rows, writer in (
+        ("state", distinct_events(read(), at, key, delay), write), ("late", read(), write_late)
+    ):
+        query = (
+            rows.writeStream.foreachBatch(writer).option("checkpointLocation", f"{checkpoint}/{name}")
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+        queries.append(query)
+    return queries
+
+
+def ingested(spark: SparkSession, sink: str) -> DataFrame:
+    """What :func:`ingest_events` has written: every event id once."""
+    on_time = spark.read.parquet(f"{sink}/on_time").drop("batch")
+    return on_time.unionByName(spark.read.parquet(f"{sink}/late").drop("batch", "nth"))
+
+
+DELTAS = "status string, delta long"
+
+
+def status_changes() -> StatefulProcessor:
+    """Keeps the newest status of an application and sends out what changes in the counts.
+
+    The class is local so that it travels to the workers by value.
+    """
+
+    class Newest(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.held = handle.getValueState("held", "at timestamp, tie string, status string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            best = before = tuple(self.held.get()) if self.held.exists() else None
+            for part in rows:  # one part in memory, whatever the application's rows
+                last = part.fillna({"tie": ""}).sort_values(["at", "tie"], na_position="first").iloc[-1]
+                at = pd.Timestamp.min if pd.isna(last["at"]) else last["at"]
+                if best is None or (at, last["tie"]) > (pd.Timestamp(best[0]), best[1]):
+                    best = (at.to_pydatetime(), last["tie"], last["status"])
+            if best is not before:
+                self.held.update(best)
+            old, new = before[2] if before else None, best[2]
+            if before is None or old != new:
+                gone = [(old, -1)] if before else []
+                yield pd.DataFrame([*gone, (new, 1)], columns=["status", "delta"])
+
+        def close(self) -> None:
+            pass
+
+    return Newest()
+
+
+def status_deltas(changes: DataFrame) -> DataFrame:
+    """Changes of the number of applications per status, as the stream goes.
+
+    ``changes`` has ``id, status, at, tie``: a version of an application as of a time, the
+    greater ``tie`` later at the same time. An older version than the one held, or the same
+    again, changes nothing, so repeated and out-of-order rows are counted right.
+    """
+    return (
+        changes.select("id", "status", F.col("at").cast("timestamp").alias("at"), F.col("tie").cast("string").alias("tie"))
+        .filter("id is not null")
+        .groupBy("id")
+        .transformWithStateInPandas(
+            statefulProcessor=status_changes(), outputStructType=DELTAS, outputMode="Append", timeMode="None"
+        )
+    )
+
+
+def live_counts(deltas: DataFrame, sink: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Writes each micro-batch's summed changes to a folder named by its id, so a repeated
+    batch replaces itself; :func:`counts_now` adds them up."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        summed = batch.groupBy("status").agg(F.sum("delta").alias("delta"))
+        summed.coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+
+    return (
+        deltas.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def counts_now(spark: SparkSession, sink: str) -> DataFrame:
+    """Number of applications per current status: a few rows a batch, added up."""
+    total = spark.read.parquet(sink).groupBy("status").agg(F.sum("delta").alias("applications"))
+    return total.filter("applications > 0")
 
 
 def step_counts(logs: DataFrame) -> DataFrame:

@@ -93,6 +93,17 @@ def test_page_bounds(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_pages_go_through_rows_without_a_key(spark):
+    """More null keys than a page holds: every row once, nulls last."""
+    rows_ = [(f"{i:02d}", NOW if i % 3 == 0 else None) for i in range(17)]
+    df = spark.createDataFrame(rows_, "id string, created_at timestamp")
+    seen, after = [], None
+    while found := lookup.page_after(df, "created_at", after, 3).collect():
+        seen += [r.id for r in found]
+        after = (found[-1].created_at, found[-1].id)
+    assert seen == sorted([i for i, at in rows_ if at]) + sorted([i for i, at in rows_ if not at])
+
+
 def test_lists(spark, classes, rules):
     assert [r.code for r in lookup.active_classifications(classes, parent_id="cls-parent").collect()] == ["0101"]
     assert [r.code for r in lookup.active_classifications(classes, level=2).collect()] == ["0101", "0901"]
