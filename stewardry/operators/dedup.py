@@ -269,7 +269,7 @@ class GoldenIndex:
     def _write(self, names: DataFrame) -> DataFrame:
         path = scratch_path(self.spark, "postings")
         folder = F.pmod(F.xxhash64("prefix"), F.lit(self.FOLDERS)).cast("int")
-        filed(names).withColumn("folder", folder).repartition("folder", "prefix").write.partitionBy("folder").parquet(path)
+        filed(names).withColumn("folder", folder).repartitionByRange("folder", "prefix", "low").write.partitionBy("folder").parquet(path)
         schema = f"prefix string, low string, words array<string>, {ITEMS}, folder int"
         return self.spark.read.schema(schema).parquet(path)
 

@@ -146,6 +146,11 @@ SELECT user_id, role, CASE WHEN role = 'applicant'
          WHEN role = 'admin' THEN (SELECT count(*) FROM applications) ELSE 0 END AS visible
 FROM principals WHERE role <> 'guest'""")
 
+for indexed in ("application_search", "golden_search", "trace_search"):
+    ORACLES[f"{indexed}_index"] = ORACLES[indexed]
+oracle("golden_search_index_short", "golden", """
+SELECT id FROM golden WHERE contains(lower(material_name), '42') OR contains(lower(material_code), '42')""")
+
 # ---- constraints and validation ---------------------------------------------------
 
 oracle("constraint_violations", "classifications templates applications logs", """
@@ -328,6 +333,22 @@ SELECT id, 'SQ-' || y || '-' || {padded('n', '5')} AS app_no FROM (
 
 
 oracle("app_numbers", "applications", app_numbers("max(CAST(split_part(app_no, '-', 3) AS BIGINT))"))
+oracle("app_numbers_counted", "applications", app_numbers("max(CAST(split_part(app_no, '-', 3) AS BIGINT))"))
+oracle("counters_after", "applications", """
+SELECT stem, count(*) AS issued, max(n) AS highest FROM (
+  SELECT 'SQ-' || year(created_at) || '-' AS stem, CAST(split_part(app_no, '-', 3) AS BIGINT) AS n
+  FROM applications WHERE status IN ('rejected', 'published')
+  UNION ALL
+  SELECT 'SQ-' || year(created_at) || '-', row_number() OVER (PARTITION BY year(created_at) ORDER BY created_at, id) + coalesce(used, 0)
+  FROM (SELECT * FROM applications WHERE status NOT IN ('rejected', 'published'))
+  LEFT JOIN (SELECT year(created_at) AS y, max(CAST(split_part(app_no, '-', 3) AS BIGINT)) AS used FROM applications
+             WHERE status IN ('rejected', 'published') GROUP BY 1) ON y = year(created_at)) GROUP BY stem""")
+BATCHES = """
+placed AS (
+  SELECT id, 'SQ-' || year(created_at) || '-' AS stem,
+         row_number() OVER (PARTITION BY year(created_at) ORDER BY status <> 'draft', created_at, id) AS n FROM applications)"""
+oracle("create_batches", "applications", f"SELECT id, stem || {padded('n', '5')} AS app_no FROM placed", BATCHES)
+oracle("create_counters", "applications", "SELECT stem, count(*) AS issued, max(n) AS highest FROM placed GROUP BY stem", BATCHES)
 oracle("app_numbers_by_count", "applications", app_numbers("count(*)"))
 
 STEPS = f"""
@@ -340,6 +361,7 @@ numbered AS (
              FROM old_logs GROUP BY 1) ON no = a.app_no)"""
 STEP_TABLES = "applications logs old_logs"
 oracle("step_ids", STEP_TABLES, "SELECT id, app_no || '-S' || n AS step_id FROM numbered", STEPS)
+oracle("step_ids_counted", STEP_TABLES, "SELECT id, app_no || '-S' || n AS step_id FROM numbered", STEPS)
 oracle("audit_records", STEP_TABLES, f"""
 SELECT id, app_no || '-S' || n AS step_id, step_name, {STEP} AS step_label, status,
        {STATUS} AS status_label FROM numbered""", STEPS)

@@ -11,13 +11,15 @@ from pyspark.sql import functions as F
 from stewardry.functions import labels
 from stewardry.functions.text import iso_time
 from stewardry.operators import (
-    access, attachments, audit, codes, constraints, dedup, hierarchy, lifecycle, lookup, patch, quality,
+    access, attachments, audit, codes, constraints, counters, dedup, hierarchy, lifecycle, lookup, patch, quality,
     validate,
 )
+from stewardry.operators.search_index import SearchIndex
 from stewardry.plans import approve, backfill, dashboard, overview, publish, submit
 from stewardry.session import scratch_path, tune
 from stewardry.sources import feeds, tables
 from stewardry.sources import testdata as td
+from stewardry.sources.manifest import Manifest
 from stewardry.streaming import jobs
 from stewardry.streaming.lifecycle import lifecycle_stream
 
@@ -147,6 +149,30 @@ def application_search(d):
     return lookup.search(d.applications, "Ring E", lookup.APPLICATION_SEARCH).select("id")
 
 
+@query
+def application_search_index(d):
+    index = SearchIndex(d.applications, lookup.APPLICATION_SEARCH)
+    return index.search("Ring E").select("id")
+
+
+@query
+def golden_search_index(d):
+    return SearchIndex(d.golden, lookup.GOLDEN_SEARCH).search("ANVIL").select("id", "material_name")
+
+
+@query
+def golden_search_index_short(d):
+    """Two characters: a scan of the stored rows."""
+    return SearchIndex(d.golden, lookup.GOLDEN_SEARCH).search("42").select("id")
+
+
+@query
+def trace_search_index(d):
+    rows = audit.trace_summary(d.applications, with_labels(d.logs))
+    index = SearchIndex(rows, lookup.TRACE_SEARCH, "application_id")
+    return index.search("sq-1998").select("application_id", "app_no")
+
+
 @query
 def golden_search(d):
     return lookup.search(d.golden, "ANVIL", lookup.GOLDEN_SEARCH).select("id", "material_name")
@@ -311,6 +337,49 @@ def step_ids(d):
     return rows.select("id", "step_id")
 
 
+@query
+def app_numbers_counted(d):
+    """Numbers after a counter table instead of all numbers issued so far."""
+    existing = d.applications.filter(F.col("status").isin("rejected", "published"))
+    new = d.applications.filter(~F.col("status").isin("rejected", "published"))
+    kept = counters.counters_of(existing, "app_no", "^(.+-)([0-9]+)$")
+    return counters.number_applications(new.select("id", "created_at"), kept).rows.select("id", "app_no")
+
+
+@query
+def step_ids_counted(d):
+    kept = counters.counters_of(d.old_logs, "step_id", audit.STEP_ID)
+    return counters.number_steps(raw_events(d), d.applications, kept).rows.select("id", "step_id")
+
+
+@query
+def counters_after(d):
+    """The counter table that a batch leaves behind."""
+    existing = d.applications.filter(F.col("status").isin("rejected", "published"))
+    new = d.applications.filter(~F.col("status").isin("rejected", "published"))
+    kept = counters.counters_of(existing, "app_no", "^(.+-)([0-9]+)$")
+    return counters.number_applications(new.select("id", "created_at"), kept).counters
+
+
+def created(d):
+    """Two batches committed one after the other, both planned from the newest version."""
+    manifest = Manifest(d.spark, scratch_path(d.spark, "manifest"))
+    drafts = d.applications.filter("status = 'draft'").select("id", "created_at")
+    others = d.applications.filter("status <> 'draft'").select("id", "created_at")
+    counters.create_applications(manifest, drafts)
+    return counters.create_applications(manifest, others)
+
+
+@query
+def create_batches(d):
+    return created(d).table("applications").select("id", "app_no")
+
+
+@query
+def create_counters(d):
+    return created(d).table("counters")
+
+
 @query
 def audit_records(d):
     rows = audit.record_events(raw_events(d), d.applications, d.old_logs)
@@ -817,9 +886,9 @@ def stream_dedup(d):
 @query
 def stream_lifecycle(d):
     actions = lifecycle.authorised(streamed(d, "events", "actions"), d.principals)
-    return jobs.drain(d.spark, lifecycle_stream(actions)).select(
-        "app_id", "event_id", "action", "source", "target", "taken"
-    )
+    folder = scratch_path(d.spark, "lifecycle")
+    lifecycle_stream(actions, f"{folder}/sink", f"{folder}/checkpoint").awaitTermination()
+    return d.spark.read.parquet(f"{folder}/sink").select("app_id", "event_id", "action", "source", "target", "taken")
 
 
 @query

@@ -1,84 +1,86 @@
-"""Lifecycle status per application, kept in the state store across micro-batches.
+"""Lifecycle status per application across micro-batches.
 
-State is one short text per application. Within a micro-batch an application's actions run
-in event-time order; an action arriving in a later batch is applied when it arrives. The
-rows of one application in one micro-batch share a task, so the source's rate limit bounds
-a hot application; a backlog without such a limit belongs to the batch replay.
+Every micro-batch is replayed like a batch, from the statuses that the batches before have
+left: actions are range-sorted and composed as status maps, so an application with most of a
+batch's rows fills many tasks. A batch writes the statuses that it changed; every MERGE
+batches they are merged into one table. A repeated batch reads what came before it and
+replaces its own folders, so its outcome is the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-from ..constants import TRANSITIONS
-
-OUTPUT = (
-    "app_id string, event_id string, at timestamp, action string, "
-    "source string, target string, taken boolean"
-)
-
-
-def lifecycle_processor(transitions: list[tuple[str, str, str]]) -> StatefulProcessor:
-    """Applies each action to the stored status; refused actions leave it unchanged.
-
-    The class is local so that it travels to the workers by value, without the package
-    being installed there.
-    """
-
-    class Lifecycle(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.table = {(source, action): target for source, action, target in transitions}
-            self.status = handle.getValueState("status", "status string")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows)).sort_values(["at", "event_id"], ignore_index=True)
-            status = self.status.get()[0] if self.status.exists() else "draft"
-            met, left = [], []
-            for action, allowed in zip(batch["action"], batch["allowed"]):
-                target = self.table.get((status, action)) if allowed else None
-                met.append(status)
-                left.append(target)
-                status = target or status
-            self.status.update((status,))
-            batch["source"] = met
-            batch["taken"] = [target is not None for target in left]
-            batch["target"] = [target or source for target, source in zip(left, met)]
-            yield batch[["app_id", "event_id", "at", "action", "source", "target", "taken"]]
-
-        def close(self) -> None:
-            pass
-
-    return Lifecycle()
+from pyspark.sql.streaming import StreamingQuery
+
+from ..operators.lifecycle import place_actions, refused_actions, replay, taken_actions
+from ..session import materialize, scratch_removed
+
+STATE = "app_id string, status string, nth long"
+#: batches whose statuses are kept apart until they are merged
+MERGE = 16
+
+
+def _held(spark, state: str, batch_id: int) -> DataFrame:
+    """``app_id, status, nth``: what the batches before ``batch_id`` have left, a row or more an
+    application, the greatest ``nth`` newest."""
+    merged = batch_id // MERGE * MERGE
+    paths = [f"{state}/batch={k}" for k in range(merged, batch_id)]
+    if merged:
+        paths.append(f"{state}/merged={merged}")
+    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+
+
+def _newest(held: DataFrame) -> DataFrame:
+    return held.groupBy("app_id").agg(F.max_by("status", "nth").alias("status"), F.max("nth").alias("nth"))
+
+
+def replay_batch(batch: DataFrame, batch_id: int, sink: str, state: str) -> None:
+    """Writes a micro-batch's outcome to ``sink`` and the statuses it leaves to ``state``."""
+    spark = batch.sparkSession
+    with scratch_removed():
+        placed = place_actions(batch)
+        apps = placed.select("app_id").filter("app_id is not null").distinct()
+        held = _newest(_held(spark, state, batch_id).join(apps, "app_id", "left_semi"))
+        initial = materialize(apps.join(held, "app_id", "left").select("app_id", F.coalesce("status", F.lit("draft")).alias("status")))
+        states = materialize(replay(placed, initial))
+        out = ["app_id", "event_id", "at", "action"]
+        met = F.coalesce("status", F.lit("draft"))
+        taken = taken_actions(states).select(*out, "source", "target", F.lit(True).alias("taken"))
+        refused = refused_actions(placed, states, initial).select(
+            *out, met.alias("source"), met.alias("target"), F.lit(False).alias("taken")
+        )
+        taken.unionByName(refused).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        left = states.select("app_id", "status", F.lit(batch_id).cast("long").alias("nth"))
+        left.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        if (batch_id + 1) % MERGE == 0:
+            parts = _held(spark, state, batch_id).unionByName(spark.read.schema(STATE).parquet(f"{state}/batch={batch_id}"))
+            _newest(parts).select("app_id", "status", "nth").write.mode("overwrite").parquet(f"{state}/merged={batch_id + 1}")
 
 
-def lifecycle_stream(actions: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Every action of the stream with the status it met and left behind.
+def lifecycle_stream(
+    actions: DataFrame, sink: str, checkpoint: str, delay: str = "30 days", **trigger
+) -> StreamingQuery:
+    """Writes every action of the stream with the status it met and left behind to ``sink``.
 
     ``actions`` has ``app_id, event_id, at, action, allowed``. An event id that comes again
-    within ``delay`` changes nothing; its state is then given up. The last row of an
-    application holds its current status; rows that were not taken are the refused ones.
-    Needs the state store that :func:`stewardry.session.tune` selects.
+    within ``delay`` changes nothing; its state is then given up. Actions of one micro-batch
+    run in event-time order; one that arrives in a later batch is applied when it arrives.
+    The last row of an application holds its current status; rows that were not taken are
+    the refused ones. Needs the state store that :func:`stewardry.session.tune` selects.
     """
-    return (
+    once = (
         actions.select(
-            "app_id",
-            F.col("event_id").cast("string").alias("event_id"),
-            F.col("at").cast("timestamp").alias("at"),
-            "action",
-            "allowed",
+            "app_id", F.col("event_id").cast("string").alias("event_id"), F.col("at").cast("timestamp").alias("at"),
+            "action", "allowed",
         )
         .withWatermark("at", delay)
         .dropDuplicatesWithinWatermark(["event_id"])
-        .groupBy("app_id")
-        .transformWithStateInPandas(
-            statefulProcessor=lifecycle_processor(TRANSITIONS),
-            outputStructType=OUTPUT,
-            outputMode="Append",
-            timeMode="None",
-        )
+    )
+    state = f"{checkpoint}/statuses"
+    return (
+        once.writeStream.foreachBatch(lambda batch, batch_id: replay_batch(batch, batch_id, sink, state))
+        .option("checkpointLocation", f"{checkpoint}/stream")
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
     )

@@ -118,6 +118,36 @@ def test_applicants_act_on_their_own_only(spark):
     assert {r.app_id: r.allowed for r in out} == {"x": True, "y": False, "z": True}
 
 
+def test_hot_application_in_a_stream(spark, tmp_path, monkeypatch):
+    """Half of every batch is one application; statuses are merged on the way; equals the batch."""
+    from stewardry.streaming import lifecycle as stream_of
+
+    monkeypatch.setattr(stream_of, "MERGE", 2)
+    rnd = random.Random(9)
+    rows = [("hot" if i % 2 else f"a{rnd.randint(0, 5)}", i, rnd.choice(ACTIONS)) for i in range(2400)]
+    source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    for part in range(5):
+        frame(spark, rows[part * 480 : part * 480 + 480]).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SCHEMA).parquet(source).withColumn("allowed", F.lit(True))
+        lifecycle_stream(stream, sink, check).awaitTermination()
+    out = spark.read.parquet(sink).orderBy("at").collect()
+    want, refused = walk(rows)
+    assert len(out) == len(rows) and {r.app_id: r.target for r in out} == {a: s for a, (s, _) in want.items()}
+    assert {(r.app_id, r.event_id): (r.source, "status") for r in out if not r.taken} == refused
+
+
+def test_a_repeated_batch_replaces_itself(spark, tmp_path):
+    from stewardry.streaming.lifecycle import replay_batch
+
+    sink, state = str(tmp_path / "out"), str(tmp_path / "state")
+    batches = [frame(spark, [("a", 1, "submit")]), frame(spark, [("a", 2, "admin_approve"), ("b", 3, "publish")])]
+    for nth in (0, 1, 1):
+        replay_batch(batches[nth].withColumn("allowed", F.lit(True)), nth, sink, state)
+    out = {(r.app_id, r.event_id): (r.source, r.target, r.taken) for r in spark.read.parquet(sink).collect()}
+    assert len(out) == spark.read.parquet(sink).count() == 3
+    assert sorted(v[2] for v in out.values()) == [False, True, True] and ("pending_admin", "pending_dept", True) in out.values()
+
+
 def test_stream_keeps_state_across_batches(spark, tmp_path):
     rnd = random.Random(5)
     rows = [(f"a{rnd.randint(0, 12)}", i, rnd.choice(ACTIONS)) for i in range(300)]
@@ -128,11 +158,7 @@ def test_stream_keeps_state_across_batches(spark, tmp_path):
             spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
             .withColumn("allowed", F.lit(True))
         )
-        query = (
-            lifecycle_stream(stream).writeStream.format("parquet").option("path", sink)
-            .option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
-        )
-        query.awaitTermination()
+        lifecycle_stream(stream, sink, str(tmp_path / "check")).awaitTermination()
         if part == 1:  # the events of the first file once more
             frame(spark, rows[:100]).coalesce(1).write.mode("append").parquet(source)
     out = spark.read.parquet(sink).orderBy("at").collect()
