@@ -200,3 +200,38 @@ def uniqueness_audit(
             ]
         )
     )
+
+
+def orphans_after(
+    found: DataFrame, relation: str, children: DataFrame, column: str, targets: DataFrame,
+    changed: DataFrame, added: DataFrame, removed: DataFrame,
+) -> DataFrame:
+    """``relation, id, value`` of one relation after a batch, from the findings before it.
+
+    ``children`` and ``targets`` are the tables after the batch; ``changed`` holds the ``id`` of
+    every child row that the batch wrote or took out, ``added`` and ``removed`` those of
+    targets. What the batch touched is looked up anew: changed children, and children of
+    removed targets. All other findings stay, unless their target was added.
+    """
+    rows = children.select("id", F.col(column).alias("value"))
+    ids = changed.select("id").distinct()
+    kept = (
+        found.filter(F.col("relation") == relation).join(ids, "id", "left_anti")
+        .join(added.select(F.col("id").alias("value")), "value", "left_anti")
+    )
+    gone = removed.select(F.col("id").alias("value")).distinct()
+    touched = rows.join(ids, "id", "left_semi").unionByName(
+        rows.join(gone, "value", "left_semi").join(ids, "id", "left_anti").select("id", "value")
+    )
+    new = orphans(touched, "value", targets).withColumn("relation", F.lit(relation))
+    # of a removed target that dangled before as well, the findings are in both parts
+    return kept.select("relation", "id", "value").unionByName(new.select("relation", "id", "value")).distinct()
+
+
+def repeats_after(found: DataFrame, key: str, table: DataFrame, column: str, touched: DataFrame) -> DataFrame:
+    """``key, value, copies`` of one unique column after a batch: values in ``touched`` (what
+    changed rows held before and after, as ``value``) are counted anew, other findings stay."""
+    values = touched.select("value").filter("value is not null").distinct()
+    kept = found.filter(F.col("key") == key).join(values, "value", "left_anti")
+    now = table.select(F.lit(key).alias("key"), F.col(column).alias("value")).join(values, "value", "left_semi")
+    return kept.select("key", "value", "copies").unionByName(repeated_values(now).select("key", "value", "copies"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import ANY_ROLES, LEVEL_LABELS, PAGE_LIMIT, PAGE_MAX
 from ..functions.text import matches_any
+from ..session import scratch_path
 
 APPLICATION_SEARCH = ["material_name", "app_no", "material_code"]
 GOLDEN_SEARCH = ["material_name", "material_code"]
@@ -64,6 +65,45 @@ def page_after(
     return df.orderBy(F.col(order).desc(), F.col(tie).asc()).limit(limit)
 
 
+class RankedPages:
+    """Pages by offset over a sorted copy of a table: newest first, rows without a value last.
+
+    The copy is range-sorted over the cluster and every row keeps its place in its range, so a
+    page is the rows of a few places of one or two ranges: however deep, it reads the files of
+    those and holds ``limit`` rows. Made anew for a new version of the table.
+    """
+
+    _BITS = 33  # a row's place in its range is below this bit of its position
+
+    def __init__(self, df: DataFrame, order: str, tie: str = "id"):
+        self.spark, self.order, self.tie = df.sparkSession, order, tie
+        sort = [F.col(order).desc_nulls_last(), F.col(tie).asc()]
+        ranged = df.repartitionByRange(*sort).sortWithinPartitions(*sort)
+        position = F.monotonically_increasing_id()
+        placed = ranged.withColumn("_range", F.shiftright(position, self._BITS).cast("int"))
+        placed = placed.withColumn("_place", position.bitwiseAND(F.lit((1 << self._BITS) - 1)))
+        path = scratch_path(self.spark, "pages")
+        placed.write.partitionBy("_range").parquet(path)
+        schema = f"{df.schema.toDDL()}, _place long, _range int" if df.columns else "_place long, _range int"
+        self.rows = self.spark.read.schema(schema).parquet(path)
+        counts = self.rows.groupBy("_range").agg(F.count("*").alias("rows")).orderBy("_range")
+        #: first rank and rows of each range: a few numbers for each sorting task
+        self.ranges: list[tuple[int, int, int]] = []
+        first = 0
+        for r in counts.collect():
+            self.ranges.append((r["_range"], first, r["rows"]))
+            first += r["rows"]
+
+    def page(self, skip: int = 0, limit: int = PAGE_LIMIT) -> DataFrame:
+        check_page(skip, limit)
+        wanted = F.lit(False)
+        for number, first, rows in self.ranges:
+            low, high = max(skip - first, 0), min(skip + limit - first, rows)
+            if low < high:
+                wanted = wanted | ((F.col("_range") == number) & (F.col("_place") >= low) & (F.col("_place") < high))
+        return self.rows.filter(wanted).orderBy("_range", "_place").drop("_range", "_place")
+
+
 def applications_where(
     df: DataFrame, status: str | None = None, created_by: str | None = None
 ) -> DataFrame:

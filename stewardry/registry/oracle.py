@@ -148,6 +148,13 @@ FROM principals WHERE role <> 'guest'""")
 
 for indexed in ("application_search", "golden_search", "trace_search"):
     ORACLES[f"{indexed}_index"] = ORACLES[indexed]
+ORACLES["application_page_ranked"] = ORACLES["application_page"]
+oracle("referential_delta", "golden applications", """
+SELECT 'golden.application' AS relation, id, application_id AS value FROM golden
+WHERE application_id IS NOT NULL AND application_id NOT IN (SELECT id FROM applications WHERE status <> 'draft')""")
+oracle("uniqueness_delta", "golden", """
+SELECT 'golden.material_name' AS key, material_name AS value, count(*) AS copies FROM golden
+WHERE material_name IS NOT NULL GROUP BY material_name HAVING count(*) > 1""")
 oracle("golden_search_index_short", "golden", """
 SELECT id FROM golden WHERE contains(lower(material_name), '42') OR contains(lower(material_code), '42')""")
 

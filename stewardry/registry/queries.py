@@ -133,6 +133,14 @@ def application_page(d):
     )
 
 
+@query
+def application_page_ranked(d):
+    pages = lookup.RankedPages(lookup.applications_where(d.applications, status="pending_admin"), "created_at")
+    return pages.page(skip=20, limit=100).select(
+        "id", "app_no", "status", iso_time(F.col("created_at")).alias("created_at")
+    )
+
+
 @query
 def application_page_after(d):
     rows = lookup.applications_where(d.applications, status="pending_admin")
@@ -254,6 +262,43 @@ def referential_audit(d):
     )
 
 
+def golden_batch(d):
+    """Before a batch: other class references of some records, and fewer applications."""
+    changed = d.golden.filter("version = 1 and right(id, 1) = '7'").select("id")
+    marked = d.golden.join(changed.withColumn("_old", F.lit(True)), "id", "left")
+    before = marked.withColumn("application_id", F.when(F.col("_old"), F.concat(F.lit("old-"), "id")).otherwise(F.col("application_id")))
+    return before.drop("_old"), changed
+
+
+@query
+def referential_delta(d):
+    """Findings about golden records' applications, carried over a batch that changes records,
+    adds the published applications and takes out the drafts."""
+    before, changed = golden_batch(d)
+    old_apps = d.applications.filter("status <> 'published'")
+    new_apps = d.applications.filter("status <> 'draft'")
+    audit_of = lambda golden, apps: constraints.orphans(
+        golden.select(F.lit("golden.application").alias("relation"), "id", F.col("application_id").alias("value")), "value", apps
+    )
+    return constraints.orphans_after(
+        audit_of(before, old_apps), "golden.application", d.golden, "application_id", new_apps, changed,
+        d.applications.filter("status = 'published'"), d.applications.filter("status = 'draft'"),
+    )
+
+
+@query
+def uniqueness_delta(d):
+    """Repeated names of records, carried over a batch that renames some of them."""
+    changed = d.golden.filter("right(id, 1) = '7'").select("id", F.col("material_name").alias("value"))
+    before = d.golden.join(changed.select("id", F.lit(True).alias("_old")), "id", "left").withColumn(
+        "material_name", F.when(F.col("_old"), F.lit("old name")).otherwise(F.col("material_name"))
+    )
+    found = constraints.repeated_keys(before, "material_name").withColumn("key", F.lit("golden.material_name"))
+    old = d.spark.createDataFrame([("old name",)], "value string")
+    touched = changed.select("value").unionByName(old)
+    return constraints.repeats_after(found, "golden.material_name", d.golden, "material_name", touched)
+
+
 @query
 def uniqueness_audit(d):
     repeated = constraints.uniqueness_audit(d.classifications, d.applications, d.golden)

@@ -93,6 +93,63 @@ def test_page_bounds(spark):
     assert "TakeOrderedAndProject" in plan
 
 
+def test_pages_by_rank(spark):
+    """Every page equals offset and limit, nulls last; a deep page opens one range."""
+    rows_ = [(f"{i:04d}", None if i % 11 == 0 else NOW.replace(microsecond=(i * 7919) % 997)) for i in range(2000)]
+    df = spark.createDataFrame(rows_, "id string, created_at timestamp").repartition(8)
+    pages = lookup.RankedPages(df, "created_at")
+    assert sum(n for *_, n in pages.ranges) == 2000
+    for skip, limit in [(0, 1), (0, 500), (7, 13), (990, 20), (1800, 500), (1999, 5), (2000, 5), (5000, 1)]:
+        want = [r.id for r in lookup.page(df, "created_at", skip, limit).collect()]
+        assert [r.id for r in pages.page(skip, limit).collect()] == want
+    with pytest.raises(ValueError):
+        pages.page(-1, 5)
+    number, first, n = pages.ranges[-1]
+    plan = pages.page(first + n // 2, 1)._jdf.queryExecution().executedPlan().toString()
+    assert f"PartitionFilters: [isnotnull(_range" in plan and "GreaterThanOrEqual(_place" in plan
+    empty = lookup.RankedPages(df.limit(0), "created_at")
+    assert empty.page().count() == 0
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_audits_carried_over_batches(spark, seed):
+    """After any batches the carried findings are those of a full audit."""
+    import random
+
+    from stewardry.operators import constraints as cs
+
+    rnd = random.Random(seed)
+    children = {f"c{i}": f"t{rnd.randint(0, 12)}" for i in range(40)}
+    targets = {f"t{i}" for i in range(8)}
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    child = lambda: frame([(k, v) for k, v in children.items()], "id string, ref string")
+    ids = lambda names: frame([(n,) for n in names], "id string")
+    full = lambda: sorted((i, v) for i, v in children.items() if v not in targets)
+    repeated = lambda: sorted((v, n) for v, n in __import__("collections").Counter(children.values()).items() if n > 1)
+    found = frame([("r", *x) for x in full()], "relation string, id string, value string")
+    copies = frame([("k", *x) for x in repeated()], "key string, value string, copies long")
+    for _ in range(3):
+        changed = set(rnd.sample(sorted(children), 5))
+        touched = {children[c] for c in changed}
+        for c in list(changed)[:4]:
+            children[c] = f"t{rnd.randint(0, 12)}"
+        children.pop(list(changed)[4])
+        children[f"n{rnd.random()}"] = "t3"
+        new = [c for c in children if c.startswith("n")]
+        changed |= set(new)
+        touched |= {children[c] for c in changed if c in children}
+        out, more = set(rnd.sample(sorted(targets), 2)), {f"t{rnd.randint(8, 12)}"}
+        out -= more
+        more -= targets
+        targets = targets - out | more
+        found = cs.orphans_after(found, "r", child(), "ref", ids(targets), ids(changed), ids(more), ids(out))
+        found = frame([tuple(r) for r in found.collect()], found.schema)
+        assert sorted((r.id, r.value) for r in found.collect()) == full()
+        copies = cs.repeats_after(copies, "k", child(), "ref", frame([(t,) for t in touched], "value string"))
+        copies = frame([tuple(r) for r in copies.collect()], copies.schema)
+        assert sorted((r.value, r.copies) for r in copies.collect()) == repeated()
+
+
 def test_pages_go_through_rows_without_a_key(spark):
     """More null keys than a page holds: every row once, nulls last."""
     rows_ = [(f"{i:02d}", NOW if i % 3 == 0 else None) for i in range(17)]
