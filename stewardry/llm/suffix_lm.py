@@ -6,12 +6,17 @@ diverges enough from that of the context one byte shorter, weighted by how often
 Distributions are smoothed towards the shorter context's, down to all bytes alike. Every
 context that passes the test is kept. The model is sorted tables of what was seen behind each
 context; each distinct run of DEPTH + 1 bytes of a batch is looked up once.
+
+The tables are cut into SHARDS by a context's last byte. All shorter ends of a context have
+the same last byte, so a shard answers for its contexts by itself. The driver makes and sends
+one shard at a time, and a worker unpacks the shards it needs and keeps the newest.
 """
 
 from __future__ import annotations
 
 import pickle
 import zlib
+from collections import OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +35,10 @@ GAIN = 8.0
 #: words whose counts are broadcast; the others' are joined
 COMMON = 200_000
 END, BLANK = 0, 0x20
+#: parts of the model, by the last byte of a context
+SHARDS = 32
+#: bytes of unpacked shards that a worker keeps
+UNPACKED = 256 << 20
 
 
 def stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,6 +142,9 @@ class Automaton:
         out[open_] -= np.log10(256)
         return out
 
+    def size(self) -> int:
+        return sum(x.nbytes for level in self.levels for x in (level.codes, level.logp, level.contexts, level.left))
+
     def _spelled_out(self) -> tuple[np.ndarray, np.ndarray]:
         """``move`` and ``logp`` by state and symbol, where states are the kept contexts and all
         their beginnings. To look at small models; scoring needs neither."""
@@ -187,7 +199,37 @@ def build(rows) -> Automaton:
     return a
 
 
-def score_texts(a: Automaton, body: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+class Shards:
+    """The shards of a model in a worker: unpacked when first needed, the least recently used
+    given up beyond UNPACKED bytes."""
+
+    def __init__(self, packed: list):
+        self.packed, self.held = packed, OrderedDict()
+
+    def _shard(self, s: int) -> Automaton:
+        if s in self.held:
+            self.held.move_to_end(s)
+        else:
+            self.held[s] = pickle.loads(zlib.decompress(self.packed[s].value))
+            while len(self.held) > 1 and sum(a.size() for a in self.held.values()) > UNPACKED:
+                self.held.popitem(last=False)
+        return self.held[s]
+
+    def log10(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes))
+        own = shard_of(codes)
+        for s in np.unique(own).tolist():
+            mine = own == s
+            out[mine] = self._shard(s).log10(codes[mine])
+        return out
+
+
+def shard_of(codes: np.ndarray) -> np.ndarray:
+    """The shard of the contexts of ``codes`` (context, then the byte behind it)."""
+    return ((codes >> np.uint64(8)) & np.uint64(255)).astype(np.int64) % SHARDS
+
+
+def score_texts(a: Automaton | Shards, body: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 probability of each text, its end mark included."""
     if len(bounds) < 2:
         return np.zeros(0)
@@ -197,7 +239,8 @@ def score_texts(a: Automaton, body: np.ndarray, bounds: np.ndarray) -> np.ndarra
 
 @dataclass
 class Model:
-    automaton: Automaton
+    shards: list  # broadcast, one Automaton packed in each
+    contexts: DataFrame  # length, context, byte, n of what was kept
     common: np.ndarray  # hashes of common words, sorted
     counts: np.ndarray
     total: int  # tokens learned from
@@ -205,6 +248,11 @@ class Model:
     texts: int  # learned from; the count of the end mark
     words: DataFrame  # code, n of every word learned from
 
+    @property
+    def automaton(self) -> Automaton:
+        """The whole model in one piece, to look at small ones."""
+        return build(_rows(self.contexts))
+
     @property
     def base(self) -> float:
         return float(np.log10(self.total + 0.5 * (self.distinct + 1)))
@@ -242,8 +290,28 @@ def _kept_contexts(found: DataFrame, gain: float) -> DataFrame:
     return rows.filter("length > 0").join(chosen, ["length", "context"], "left_semi").unionByName(root)
 
 
+def _rows(contexts: DataFrame) -> np.ndarray:
+    rows = contexts.select("length", "context", "byte", "n").toArrow()
+    return np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in rows.column_names])
+
+
+def _packed_shards(contexts: DataFrame) -> list:
+    """One shard after another: the driver holds the kept contexts of one at a time."""
+    context, root = contexts.sparkSession.sparkContext, _rows(contexts.filter("length = 0"))  # 256 rows at most
+    out = []
+    for s in range(SHARDS):
+        own = contexts.filter((F.col("length") > 0) & (F.col("context").bitwiseAND(F.lit(255)) % SHARDS == s))
+        shard = build(np.concatenate([root, _rows(own)]))
+        out.append(context.broadcast(zlib.compress(pickle.dumps(shard), 1)))
+    return out
+
+
 def learn(docs: DataFrame, gain: float = GAIN, common: int = COMMON) -> Model:
-    """A model of the documents whose id's remainder by 5 is not 1, all of them, whole texts."""
+    """A model of the documents whose id's remainder by 5 is not 1, all of them, whole texts.
+
+    A null text counts as empty, a null id as an empty one; repeated rows count as often as
+    they are there; no rows give a model of nothing. Other columns are ignored.
+    """
     texts = docs.filter(remainder("doc_id", 5) != 1).select("text")
     counted = texts.mapInArrow(_counted, "kind string, code long, n long")
     counted = written(counted.groupBy("kind", "code").agg(F.sum("n").alias("n")), "counts")
@@ -263,21 +331,21 @@ def learn(docs: DataFrame, gain: float = GAIN, common: int = COMMON) -> Model:
     table = few.toArrow()
     code, n = table.column("code").to_numpy().view(np.uint64), table.column("n").to_numpy()
     order = np.argsort(code)
-    rows = _kept_contexts(counted.filter("kind = 'gram'"), gain).toArrow()
-    automaton = build(np.column_stack([rows.column(c).to_numpy().astype(np.int64) for c in ("length", "context", "byte", "n")]))
+    kept = written(_kept_contexts(counted.filter("kind = 'gram'"), gain), "kept")
     # the end mark is a token too
     distinct = size + (1 if texts_learned else 0)
-    return Model(automaton, code[order], n[order], total, distinct, texts_learned, vocabulary)
+    return Model(_packed_shards(kept), kept, code[order], n[order], total, distinct, texts_learned, vocabulary)
 
 
 PARTS = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word long, uses long"
 
 
-def _scored(shared, end_count: float, log_total: float):
+def _scored(packed: list, shared, end_count: float, log_total: float):
     """A row for every document with what is known here, and one for each of its rare words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, common, counts = pickle.loads(zlib.decompress(shared.value))
+        common, counts = pickle.loads(zlib.decompress(shared.value))
+        automaton = Shards(packed)
         value = np.log10(counts + 0.5)
         names = [c.split()[0] for c in PARTS.split(", ")]
         for whole in batches:
@@ -329,18 +397,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for every row.
 
     A null text counts as empty: its end mark is its only token. Repeated rows give
-    repeated results, an empty table none; other columns are ignored. All kept contexts and the
-    common words' counts come with the model; only the latter is a bounded table. The rest of the words are joined, one row for each
-    document and word.
+    repeated results, an empty table none; other columns are ignored. The shards of the kept
+    contexts and the common words' counts (at most COMMON) come with the model; the rest of the
+    words are joined, one row for each document and word.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(
-        zlib.compress(pickle.dumps((model.automaton, model.common, model.counts)), 1)
-    )
+    shared = docs.sparkSession.sparkContext.broadcast(zlib.compress(pickle.dumps((model.common, model.counts)), 1))
     source = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"),
         (remainder("doc_id", 5) == 1).alias("held_out"), "text",
     )
-    parts = written(source.mapInArrow(_scored(shared, float(model.texts), model.base), PARTS), "scored")
+    parts = written(source.mapInArrow(_scored(model.shards, shared, float(model.texts), model.base), PARTS), "scored")
     rare = parts.filter("word is not null").select("row", "word", "uses")
     counts = model.words.select(F.col("code").alias("word"), "n")
     more = (

@@ -155,3 +155,16 @@ def test_every_context_that_passes_is_kept(spark, sf_dir):
         whole = bytes(suffix_lm.DEPTH) + normal(t)
         want = sum(math.log10(probability(whole[j - suffix_lm.DEPTH : j], whole[j])) for j in range(suffix_lm.DEPTH, len(whole)))
         assert out[i] == pytest.approx(want, rel=1e-4)
+
+
+def test_shards_score_like_the_whole(corpus, monkeypatch):
+    """Also when a worker may keep one shard only."""
+    model = suffix_lm.learn(corpus)
+    texts = pa.array([r.text for r in corpus.select("text").limit(50).collect()], pa.string())
+    body, bounds = suffix_lm.stream(*flat(texts))
+    whole = suffix_lm.score_texts(model.automaton, body, bounds)
+    for room in (suffix_lm.UNPACKED, 1):
+        monkeypatch.setattr(suffix_lm, "UNPACKED", room)
+        shards = suffix_lm.Shards(model.shards)
+        assert np.allclose(suffix_lm.score_texts(shards, body, bounds), whole, rtol=1e-6)
+        assert len(shards.held) == 1 or room > 1
