@@ -112,6 +112,10 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pa.Table.from_batches(small).combine_chunks().to_batches()
 
 
+#: unfinished runs that are broadcast (about 150 bytes each); more are joined
+OPEN_RUNS = 200_000
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -144,8 +148,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         rows.filter("edge").groupBy("text_sha256")
         .agg(F.min(best).alias("best"), F.count("*").alias("size"))
     )
-    # at most two sort keys of every range: a few rows a partition, whatever the input
-    joined = rows.join(F.broadcast(open_runs), "text_sha256", "left")
+    # at most two sort keys of every range: a few rows a partition
+    open_runs = written(open_runs, "open")
+    few = open_runs.count() <= OPEN_RUNS
+    joined = rows.join(F.broadcast(open_runs) if few else open_runs, "text_sha256", "left")
     merged = F.col("size").isNotNull()
     return joined.select(
         "doc_id",
@@ -157,7 +163,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns, whatever their names.
+
+    Null texts count as empty and are copies of each other. Of rows that repeat id and text
+    one stays, of equal texts that of the smallest id, a null id last. An empty table stays
+    empty.
+    """
     sha = F.sha2(normalized(F.col("text")), 256)
     marked = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"),

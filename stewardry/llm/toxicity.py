@@ -3,11 +3,15 @@
 The kernel of two words sums over the three-letter subsequences that both hold; each
 occurrence weighs DECAY to the power of its stretch, at most SPAN letters, so inserted
 characters lower a match but do not undo it. Nyström landmarks give the kernel's feature
-space, in which a linear SVM is trained on labelled sentences: every sentence of a document
-without the label is a negative, and of a toxic document the sentence that looks worst is
+space, in which a linear SVM is trained. The training rows are words of labelled sentences:
+those of clean documents are negatives, and of a toxic document the word that looks worst is
 its positive (chosen anew after each fit). A sentence is as bad as its worst word and a
 document as its worst sentence, so the learned machine folds into one weight per
-subsequence.
+subsequence. An insult made of several ordinary words is not caught.
+
+Beyond SAMPLE, fitting is bounded: at most 600 witness words of toxic documents and 2,000
+words of clean ones are trained on, and a training word counts with its first 46 letters.
+Scoring reads whole words.
 """
 
 from __future__ import annotations
@@ -363,11 +367,16 @@ def _platt(worst: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """A machine from at most ``sample`` labelled documents of each label whose id's
     remainder by 3 is not 1, those of the smallest hashes of their ids, without documents of
-    more than SAMPLE_CHARS characters."""
+    more than SAMPLE_CHARS characters.
+
+    Labels other than 0 and 1 and null ids are left out. Of contradictory labels the toxic
+    one counts, of an id's several texts the first in order; a null text has no words.
+    Without labels the machine calls nothing toxic. Other columns are ignored.
+    """
     learning = labels.select(F.col("doc_id").alias("id"), F.col("toxic").cast("int").alias("y")).filter(
         "id is not null and y in (0, 1)"
     )
-    learning = learning.filter(remainder("id", 3) != 1).dropDuplicates(["id"]).withColumn("h", F.xxhash64("id"))
+    learning = learning.filter(remainder("id", 3) != 1).groupBy("id").agg(F.max("y").alias("y")).withColumn("h", F.xxhash64("id"))
     chosen = None
     for y in (0, 1):
         top = learning.filter(F.col("y") == y).orderBy("h", "id").limit(sample)
@@ -377,7 +386,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
         docs.select(F.col("doc_id").alias("id"), "text").filter(
             F.char_length(F.coalesce("text", F.lit(""))) <= SAMPLE_CHARS
         )
-        .join(F.broadcast(chosen), "id").dropDuplicates(["id"]).orderBy("h", "id").select("text", "y").collect()
+        .join(F.broadcast(chosen), "id").groupBy("id", "h", "y").agg(F.min("text").alias("text"))
+        .orderBy("h", "id").select("text", "y").collect()
     )
     return fit([(r.text, r.y) for r in rows])
 
@@ -412,6 +422,10 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
 
 
 def without_toxic(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows scored below ``threshold``, with all their columns."""
+    """The rows scored below ``threshold``, with all their columns, whatever their names.
+
+    A null or wordless text scores lowest and stays. Repeated rows stay or go together; an
+    empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
     return docs.mapInArrow(_scored(shared, lambda b, s: b.filter(pa.array(s < threshold))), docs.schema)

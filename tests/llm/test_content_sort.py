@@ -45,3 +45,9 @@ def test_stage_keeps_rows_and_columns(odd, nothing):
     # 5 is the longest of the empty ones, and of the rows repeated under 12 one stays
     assert ids == sorted((r[0] for r in expected(odd) if r[3]), key=repr) and ids.count(12) == 1
     assert content_sort.without_copies(nothing).count() == 0
+
+
+def test_many_open_runs_are_joined(spark, odd, monkeypatch):
+    want = sorted(map(str, content_sort.exact_groups(odd).collect()))
+    monkeypatch.setattr(content_sort, "OPEN_RUNS", 0)
+    assert sorted(map(str, content_sort.exact_groups(odd).collect())) == want

@@ -95,3 +95,14 @@ def test_nothing_to_learn(odd, nothing, spark, sf_dir):
     none = table(spark, sf_dir, "labels").filter(F.lit(False))
     machine = toxicity.learn(odd, none)
     assert {r.predicted for r in toxicity.score(odd, machine).collect()} == {0}
+
+
+def test_contradictory_labels_and_texts_have_an_order(spark):
+    """The same machine however rows lie: toxic wins, the first text counts."""
+    rows = [(i, t, y) for i, (t, y) in enumerate(sentences(3, 200))]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, "zz zz"), (4, "zz")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(0, 1 - rows[0][2]), (4, 0), (8, 0)], "doc_id long, toxic int")
+    one = toxicity.learn(docs, labels)
+    two = toxicity.learn(docs.orderBy(F.desc("text")), labels.orderBy(F.desc("toxic")).repartition(3))
+    texts = [t for _, t, _ in rows]
+    assert np.array_equal(scores(one, texts), scores(two, texts))
