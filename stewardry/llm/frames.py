@@ -6,6 +6,7 @@ import atexit
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def held(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """``df`` written like :func:`written`, and its files removed behind the block: what is made
+    of them inside has to be written itself."""
+    out = written(df, name)
+    own = _written[-1]
+    try:
+        yield out
+    finally:
+        _delete(*own)
+        _written.remove(own)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back.
 
@@ -52,14 +66,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def _remove() -> None:
     for spark, path in _written:
-        jvm = spark.sparkContext._jvm
-        if jvm is None or spark.sparkContext._jsc is None:
+        if spark.sparkContext._jvm is None or spark.sparkContext._jsc is None:
             return
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(spark, path)
     _written.clear()
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def remainder(doc_id: str | Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; a null id counts as empty text."""
     column = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from stewardry.llm import words
 from stewardry.llm.components import components
-from stewardry.llm.frames import flat, slices, unused, written
+from stewardry.llm.frames import flat, held, slices, unused, written
 
 WIDTH = 5
 #: cells of the shingle counts that order shingles from rare to common; any order is exact
@@ -458,7 +458,8 @@ def jaccard_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     signatures = texts.select("text").mapInArrow(_signatures(order), "tok long, cls long, n long")
     sorted_ = signatures.repartition("tok").sortWithinPartitions("tok", "n", "cls")
     met = "tok long, cls long, n long, core boolean, lead long, prev long"
-    members = written(_often(written(sorted_.mapInArrow(_members, met), "blocks")), "members")
+    with held(sorted_.mapInArrow(_members, met), "blocks") as blocks:
+        members = written(_often(blocks), "members")
 
     classes = rows.filter("n > 0").groupBy("cls").agg(F.min("doc_id").alias("rep"))
     votes = members.filter("lead is not null").select("cls", F.explode(F.array("lead", "prev")).alias("other"))
@@ -466,7 +467,8 @@ def jaccard_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     best = votes.groupBy("cls").agg(F.max(F.struct("k", F.col("other"))).alias("v"))
     needed = members.select("cls").distinct().join(best, "cls", "left").select("cls", F.col("v.other").alias("lead"))
     # the sets lie by class already when they meet their leads, and move once to be compared
-    arrays = written(_sets_of(texts, written(needed, "needed")), "shingles")
+    with held(needed, "needed") as wanted:
+        arrays = written(_sets_of(texts, wanted), "shingles")
     pairs = arrays.filter("lead is not null").select(F.col("cls").alias("a"), F.col("lead").alias("b"), F.col("shingles").alias("x"))
     others = arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
     compared = pairs.join(others, "b").select("a", "b", "x", "y")
