@@ -2,11 +2,14 @@
 
 Documents with the same shingle set form one class. Two linked classes share several of
 their rarest shingles, so classes meet in the blocks of those, and a class that meets
-others too seldom is linked to none. In a block a signature tree holds
-the OR of its classes' bitmaps, their size range and the most collisions in every node; a
-dual traversal drops node pairs whose greatest possible overlap is too small, whose sizes
-are too far apart or whose classes are connected already, and compares the sets of what is
-left. Blocks whose classes one round of cheap links has connected need no tree.
+others too seldom is linked to none. Links come from signature trees alone: a node holds the
+OR of its sets' bitmaps, their size range and the most collisions; a dual traversal drops
+node pairs whose greatest possible overlap is too small, whose sizes are too far apart or
+whose classes are connected already, and compares the sets of what is left.
+
+Trees are built twice. First each class goes to one tree, that of the family of the class it
+meets most, so that every set moves once however large the group. Then the blocks that
+still hold several components get trees of their own, which makes the components exact.
 """
 
 from __future__ import annotations
@@ -33,9 +36,13 @@ FILTER = 1 << 25
 FILTER_SLICE = 1 << 16
 #: classes of one side that are compared in one task at once
 TILE = 1024
+#: classes of one family's tree; a larger family gets several, each with the class it is named after
+FAMILY = 128
 #: linked classes share a shingle among their rarest fifth, and one more of each 20 beyond it
 EXTRA = 20
 FANOUT = 8
+#: what names a tree: a class, a band of sizes (of a family: one of its trees), two tiles
+BLOCK = ("head", "band", "i", "j")
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -247,7 +254,7 @@ def _arrays(wanted):
 
 
 def _sets_of(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """``cls, shingles, lead`` of the ``needed`` classes (``cls, lead``).
+    """The ``needed`` classes (``cls`` and more) with their ``shingles``.
 
     A filter of fixed size, sent to the tasks, keeps nearly all other sets from the
     shuffle; the join behind it is exact.
@@ -271,17 +278,6 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-            a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-            keep[i] = linked(overlap(a, b), len(a), len(b))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], names=["a", "b"]
-        )
-
-
 class SignatureTree:
     """Levels of OR-combined bitmaps over sets that are given from similar to dissimilar."""
 
@@ -340,7 +336,11 @@ def _block_links(classes: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets
     ``sides``: bit 1 and 2 for the two tiles; two rows are compared if one is of each.
     """
     number = np.unique(comps, return_inverse=True)[1]
-    order = np.lexsort((np.array([len(s) for s in sets]), number))
+    # similar sets often share their least shingle, so it brings members and components together
+    least = np.array([s[0] for s in sets])
+    first = np.full(int(number.max()) + 1, np.iinfo(np.uint64).max, np.uint64)
+    np.minimum.at(first, number, least)
+    order = np.lexsort((least, number, first[number]))
     tree = SignatureTree([sets[i] for i in order], number[order])
     root = list(range(int(number.max()) + 1))
 
@@ -370,6 +370,8 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merged: dict[int, list] = {}
         for cls, comp, side, s in rows:
             merged.setdefault(cls, [comp, 0, s])[1] |= side
+        if len(merged) < 2:
+            return
         found = _block_links(
             np.array([*merged]), np.array([m[0] for m in merged.values()]), np.array([m[1] for m in merged.values()]),
             [np.frombuffer(m[2], np.uint64) for m in merged.values()],
@@ -379,18 +381,49 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"]
             )
 
-    for batch in batches:
-        columns = [batch.column(c).to_pylist() for c in ("head", "band", "i", "j", "cls", "comp", "side", "shingles")]
-        for head, band, i, j, cls, comp, side, s in zip(*columns, strict=True):
-            if (head, band, i, j) != key:
-                if rows:
-                    yield from links()
-                key, rows = (head, band, i, j), []
-            rows.append((cls, comp, side, s))
+    for whole in batches:
+        for batch in slices(whole, "shingles"):
+            columns = [batch.column(c).to_pylist() for c in (*BLOCK, "cls", "comp", "side", "shingles")]
+            for head, band, i, j, cls, comp, side, s in zip(*columns, strict=True):
+                if (head, band, i, j) != key:
+                    if rows:
+                        yield from links()
+                    key, rows = (head, band, i, j), []
+                rows.append((cls, comp, side, s))
     if rows:
         yield from links()
 
 
+def _tree_links(dealt: DataFrame) -> DataFrame:
+    """``a, b``: what the trees of ``dealt`` (a block's key, ``cls, comp, side, shingles``) link."""
+    return dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(_trees, "a long, b long")
+
+
+def _homes(needed: DataFrame, size: int) -> DataFrame:
+    """``cls, family, tiles, leads``: the family of each class, the trees this is cut into, and
+    those of the family that is named after the class (null: there is none).
+
+    The family is named after the class met most (``lead``), or the smaller of two that meet
+    each other most.
+    """
+    back = needed.select(F.col("cls").alias("lead"), F.col("lead").alias("back"))
+    name = F.when(F.col("back") == F.col("cls"), F.least("cls", "lead")).otherwise(F.col("lead"))
+    own = needed.join(back, "lead", "left").select("cls", name.alias("family"))
+    sizes = own.groupBy("family").agg(F.ceil(F.count("*") / size).cast("int").alias("tiles"))
+    led = sizes.select(F.col("family").alias("cls"), F.col("tiles").alias("leads"))
+    return own.join(sizes, "family").join(led, "cls", "left")
+
+
+def _family_blocks(sets: DataFrame) -> DataFrame:
+    """One row per class in its family's tree, and the class a family is named after in each of them."""
+    own = F.pmod(F.xxhash64("cls"), F.col("tiles").cast("bigint")).cast("int")
+    members = sets.select(F.col("family").alias("head"), own.alias("band"), "cls", "shingles")
+    leads = sets.filter("leads > 1 or leads = 1 and family <> cls")
+    leads = leads.select(F.col("cls").alias("head"), F.explode(F.sequence(F.lit(0), F.col("leads") - 1)).alias("band"), "cls", "shingles")
+    rows = members.unionByName(leads)
+    return rows.select("head", "band", F.lit(0).alias("i"), F.lit(0).alias("j"), "cls", F.col("cls").alias("comp"), F.lit(3).alias("side"), "shingles")
+
+
 def _often(members: DataFrame) -> DataFrame:
     """Rows of classes that are in as many of the blocks as a linked class has to be."""
     often = members.groupBy("cls").agg(F.count("*").alias("k"), F.max("n").alias("n"))
@@ -435,7 +468,7 @@ def _open_blocks(members: DataFrame, comp: DataFrame, tile: int) -> DataFrame:
     )
 
 
-def jaccard_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
+def jaccard_components(docs: DataFrame, tile: int = TILE, family: int = FAMILY) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs`` (``doc_id, text``).
 
     Two texts link when 100 * common shingles >= 80 * all shingles of five words, A-Z folded;
@@ -465,20 +498,14 @@ def jaccard_components(docs: DataFrame, tile: int = TILE) -> DataFrame:
     votes = members.filter("lead is not null").select("cls", F.explode(F.array("lead", "prev")).alias("other"))
     votes = votes.groupBy("cls", "other").agg(F.count("*").alias("k"))
     best = votes.groupBy("cls").agg(F.max(F.struct("k", F.col("other"))).alias("v"))
-    needed = members.select("cls").distinct().join(best, "cls", "left").select("cls", F.col("v.other").alias("lead"))
-    # the sets lie by class already when they meet their leads, and move once to be compared
-    with held(needed, "needed") as wanted:
-        arrays = written(_sets_of(texts, wanted), "shingles")
-    pairs = arrays.filter("lead is not null").select(F.col("cls").alias("a"), F.col("lead").alias("b"), F.col("shingles").alias("x"))
-    others = arrays.select(F.col("cls").alias("b"), F.col("shingles").alias("y"))
-    compared = pairs.join(others, "b").select("a", "b", "x", "y")
-    easy = written(compared.mapInArrow(_verified, "a long, b long"), "easy")
+    needed = members.select("cls").distinct().join(best, "cls", "left").select("cls", F.coalesce("v.other", "cls").alias("lead"))
+    with held(needed, "needed") as met_most, held(_homes(met_most, family), "homes") as homes:
+        arrays = written(_sets_of(texts, homes), "shingles")
+    easy = written(_tree_links(_family_blocks(arrays)), "easy")
     first = written(components(easy), "first")
 
     dealt = _open_blocks(members, first, tile)
-    block = ["head", "band", "i", "j"]
-    with_sets = dealt.join(arrays.select("cls", "shingles"), "cls").repartition(*block).sortWithinPartitions(*block)
-    hard = written(with_sets.mapInArrow(_trees, "a long, b long"), "hard")
+    hard = written(_tree_links(dealt.join(arrays.select("cls", "shingles"), "cls")), "hard")
     # the first round's stars and the new links connect what either connects
     roots = components(first.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(hard))
 

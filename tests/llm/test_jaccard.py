@@ -64,11 +64,27 @@ def variants(seed, groups=12, copies=25):
     return list(enumerate(docs))
 
 
-@pytest.mark.parametrize(("seed", "tile"), [(1, jaccard.TILE), (2, 8)])
-def test_near_copies_and_chains(spark, sf_dir, seed, tile):
+@pytest.mark.parametrize(("seed", "tile", "family"), [(1, jaccard.TILE, jaccard.FAMILY), (2, 8, 4)])
+def test_near_copies_and_chains(spark, sf_dir, seed, tile, family):
     docs = variants(seed)
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
-    assert got(df, tile=tile) == expected(docs)
+    assert got(df, tile=tile, family=family) == expected(docs)
+
+
+def test_every_class_has_one_family_and_its_name_is_in_each_tree(spark):
+    # 1 and 2 meet each other most; 3 to 12 meet 2 most; 13 meets none; 14 meets a class without a set
+    rows = [(1, 2), (2, 1), *((c, 2) for c in range(3, 13)), (13, 13), (14, 99)]
+    homes = jaccard._homes(spark.createDataFrame(rows, "cls long, lead long"), 4)
+    found = {r.cls: (r.family, r.tiles, r.leads) for r in homes.collect()}
+    assert found[1] == (1, 1, 1) and found[2] == (1, 1, 3) and found[13] == (13, 1, 1) and found[14] == (99, 1, None)
+    assert all(found[c] == (2, 3, None) for c in range(3, 13))
+    blocks = jaccard._family_blocks(homes.withColumn("shingles", F.lit(b""))).collect()
+    trees = {}
+    for r in blocks:
+        trees.setdefault((r.head, r.band), []).append(r.cls)
+    assert sorted(trees[1, 0]) == [1, 2] and trees[13, 0] == [13]
+    assert all(2 in trees[2, t] for t in range(3))
+    assert sorted(c for t in range(3) for c in trees[2, t] if c != 2) == list(range(3, 13))
 
 
 def test_odd_rows(odd, nothing):
