@@ -331,9 +331,11 @@ class SignatureTree:
 
 
 def _block_links(classes: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect what is not connected yet among one block's classes.
+    """What the links of one block's classes connect anew, as stars: the smallest class of a
+    connected group with each class that a link joined to it.
 
-    ``sides``: bit 1 and 2 for the two tiles; two rows are compared if one is of each.
+    ``sides``: bit 1 and 2 for the two tiles; two rows are compared if one is of each. Stars
+    instead of the links themselves leave shorter chains to :func:`components`.
     """
     number = np.unique(comps, return_inverse=True)[1]
     # similar sets often share their least shingle, so it brings members and components together
@@ -350,7 +352,7 @@ def _block_links(classes: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets
             i = root[i]
         return i
 
-    found = []
+    ends: list[int] = []  # rows that a link joined
     for p, q in zip(*tree.pairs(), strict=True):
         i, j = order[p], order[q]
         if not (sides[i] & 1 and sides[j] & 2 or sides[i] & 2 and sides[j] & 1):
@@ -358,8 +360,12 @@ def _block_links(classes: np.ndarray, comps: np.ndarray, sides: np.ndarray, sets
         u, v = find(int(number[i])), find(int(number[j]))
         if u != v and linked(overlap(sets[i], sets[j]), len(sets[i]), len(sets[j])):
             root[v] = u
-            found.append((int(classes[i]), int(classes[j])))
-    return found
+            ends += [int(i), int(j)]
+    least: dict[int, int] = {}
+    for i in ends:
+        u, own = find(int(number[i])), int(classes[i])
+        least[u] = min(own, least.get(u, own))
+    return sorted({(least[find(int(number[i]))], int(classes[i])) for i in ends if classes[i] != least[find(int(number[i]))]})
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -395,7 +401,7 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _tree_links(dealt: DataFrame) -> DataFrame:
-    """``a, b``: what the trees of ``dealt`` (a block's key, ``cls, comp, side, shingles``) link."""
+    """``a, b``: what the trees of ``dealt`` (a block's key, ``cls, comp, side, shingles``) connect."""
     return dealt.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(_trees, "a long, b long")
 
 
