@@ -7,16 +7,16 @@ batch operator. Starting, triggering and sinks are the caller's choice; see
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.dedup import build_index, check_duplicates
 from ..operators.validate import validate
 from ..session import scratch_path, scratch_removed
+from .lifecycle import held_rows, merge_held
 
 
 def validate_stream(
@@ -128,66 +128,64 @@ def ingested(spark: SparkSession, sink: str) -> DataFrame:
     return on_time.unionByName(spark.read.parquet(f"{sink}/late").drop("batch", "nth"))
 
 
-DELTAS = "status string, delta long"
+#: versions held, the change of the batch they came in with it: the status before, if ``known``
+VERSIONS = "id string, status string, at timestamp, tie string, nth long"
 
 
-def status_changes() -> StatefulProcessor:
-    """Keeps the newest status of an application and sends out what changes in the counts.
+def status_deltas(changes: DataFrame) -> DataFrame:
+    """Versions of applications as :func:`live_counts` takes and compares them.
 
-    The class is local so that it travels to the workers by value.
+    ``changes`` has ``id, status, at, tie``: a version of an application as of a time, the
+    greater ``tie`` later at the same time. Without a time a version is older than all others.
     """
-
-    class Newest(StatefulProcessor):
-        def init(self, handle: StatefulProcessorHandle) -> None:
-            self.held = handle.getValueState("held", "at timestamp, tie string, status string")
-
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            best = before = tuple(self.held.get()) if self.held.exists() else None
-            for part in rows:  # one part in memory, whatever the application's rows
-                last = part.fillna({"tie": ""}).sort_values(["at", "tie"], na_position="first").iloc[-1]
-                at = pd.Timestamp.min if pd.isna(last["at"]) else last["at"]
-                if best is None or (at, last["tie"]) > (pd.Timestamp(best[0]), best[1]):
-                    best = (at.to_pydatetime(), last["tie"], last["status"])
-            if best is not before:
-                self.held.update(best)
-            old, new = before[2] if before else None, best[2]
-            if before is None or old != new:
-                gone = [(old, -1)] if before else []
-                yield pd.DataFrame([*gone, (new, 1)], columns=["status", "delta"])
-
-        def close(self) -> None:
-            pass
-
-    return Newest()
+    tie = F.coalesce(F.col("tie").cast("string"), F.lit(""))
+    return changes.select("id", "status", F.col("at").cast("timestamp").alias("at"), tie.alias("tie")).filter("id is not null")
 
 
-def status_deltas(changes: DataFrame) -> DataFrame:
-    """Changes of the number of applications per status, as the stream goes.
+def changed_versions(batch: DataFrame, held: DataFrame) -> DataFrame:
+    """``id, status, at, tie, known, before``: the newest version of each application of a
+    batch, if it is newer than the one held, with the status held.
 
-    ``changes`` has ``id, status, at, tie``: a version of an application as of a time, the
-    greater ``tie`` later at the same time. An older version than the one held, or the same
-    again, changes nothing, so repeated and out-of-order rows are counted right.
+    An older version than the one held, or the same again, changes nothing. Of versions of one
+    batch with the same time and tie the greatest status counts.
     """
+    came = batch.groupBy("id").agg(F.max(F.struct("at", "tie", "status")).alias("new"))
+    last = held.groupBy("id").agg(F.max_by(F.struct("at", "tie", "status"), "nth").alias("old"))
+    newer = F.struct("new.at", "new.tie") > F.struct("old.at", "old.tie")
     return (
-        changes.select("id", "status", F.col("at").cast("timestamp").alias("at"), F.col("tie").cast("string").alias("tie"))
-        .filter("id is not null")
-        .groupBy("id")
-        .transformWithStateInPandas(
-            statefulProcessor=status_changes(), outputStructType=DELTAS, outputMode="Append", timeMode="None"
-        )
+        came.join(last, "id", "left")
+        .filter(F.col("old").isNull() | newer)
+        .select("id", "new.status", "new.at", "new.tie", F.col("old").isNotNull().alias("known"), F.col("old.status").alias("before"))
     )
 
 
-def live_counts(deltas: DataFrame, sink: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Writes each micro-batch's summed changes to a folder named by its id, so a repeated
-    batch replaces itself; :func:`counts_now` adds them up."""
+def live_counts(versions: DataFrame, sink: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Writes each micro-batch's summed changes of the number of applications per status to a
+    folder named by its id, so a repeated batch replaces itself; :func:`counts_now` adds them up.
+
+    ``versions`` comes from :func:`status_deltas`. The versions held lie in ``checkpoint`` like
+    the lifecycle stream's statuses, so repeated and out-of-order rows are counted right.
+    """
+    state = f"{checkpoint}/statuses"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        summed = batch.groupBy("status").agg(F.sum("delta").alias("delta"))
+        spark = batch.sparkSession
+        changed = changed_versions(batch, held_rows(spark, state, batch_id, VERSIONS))
+        changed.withColumn("nth", F.lit(batch_id).cast("long")).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+        kinds = (
+            spark.read.schema("status string, known boolean, before string").parquet(f"{state}/batch={batch_id}")
+            .groupBy("status", "known", "before").agg(F.count("*").alias("n"))
+        )
+        gone = kinds.filter("known").select(F.col("before").alias("status"), (-F.col("n")).alias("delta"))
+        summed = kinds.select("status", F.col("n").alias("delta")).unionByName(gone).groupBy("status").agg(F.sum("delta").alias("delta"))
         summed.coalesce(1).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        newest = lambda rows: rows.groupBy("id").agg(
+            F.max_by(F.struct("status", "at", "tie"), "nth").alias("last"), F.max("nth").alias("nth")
+        ).select("id", "last.*", "nth")
+        merge_held(spark, state, batch_id, VERSIONS, newest)
 
     return (
-        deltas.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        versions.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True})).start()
     )
 

@@ -9,6 +9,8 @@ replaces its own folders, so its outcome is the same.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,14 +23,21 @@ STATE = "app_id string, status string, nth long"
 MERGE = 16
 
 
-def _held(spark, state: str, batch_id: int) -> DataFrame:
-    """``app_id, status, nth``: what the batches before ``batch_id`` have left, a row or more an
-    application, the greatest ``nth`` newest."""
+def held_rows(spark, state: str, batch_id: int, schema: str = STATE) -> DataFrame:
+    """What the batches before ``batch_id`` have left, a row or more an application, the
+    greatest ``nth`` newest."""
     merged = batch_id // MERGE * MERGE
     paths = [f"{state}/batch={k}" for k in range(merged, batch_id)]
     if merged:
         paths.append(f"{state}/merged={merged}")
-    return spark.read.schema(STATE).parquet(*paths) if paths else spark.createDataFrame([], STATE)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def merge_held(spark, state: str, batch_id: int, schema: str, newest: Callable[[DataFrame], DataFrame]) -> None:
+    """After every MERGE batches: one table of the ``newest`` row of each application."""
+    if (batch_id + 1) % MERGE == 0:
+        parts = held_rows(spark, state, batch_id, schema).unionByName(spark.read.schema(schema).parquet(f"{state}/batch={batch_id}"))
+        newest(parts).write.mode("overwrite").parquet(f"{state}/merged={batch_id + 1}")
 
 
 def _newest(held: DataFrame) -> DataFrame:
@@ -41,7 +50,7 @@ def replay_batch(batch: DataFrame, batch_id: int, sink: str, state: str) -> None
     with scratch_removed():
         placed = place_actions(batch)
         apps = placed.select("app_id").filter("app_id is not null").distinct()
-        held = _newest(_held(spark, state, batch_id).join(apps, "app_id", "left_semi"))
+        held = _newest(held_rows(spark, state, batch_id).join(apps, "app_id", "left_semi"))
         initial = materialize(apps.join(held, "app_id", "left").select("app_id", F.coalesce("status", F.lit("draft")).alias("status")))
         states = materialize(replay(placed, initial))
         out = ["app_id", "event_id", "at", "action"]
@@ -53,9 +62,7 @@ def replay_batch(batch: DataFrame, batch_id: int, sink: str, state: str) -> None
         taken.unionByName(refused).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         left = states.select("app_id", "status", F.lit(batch_id).cast("long").alias("nth"))
         left.write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
-        if (batch_id + 1) % MERGE == 0:
-            parts = _held(spark, state, batch_id).unionByName(spark.read.schema(STATE).parquet(f"{state}/batch={batch_id}"))
-            _newest(parts).select("app_id", "status", "nth").write.mode("overwrite").parquet(f"{state}/merged={batch_id + 1}")
+        merge_held(spark, state, batch_id, STATE, _newest)
 
 
 def lifecycle_stream(

@@ -1,5 +1,7 @@
 from datetime import datetime, timedelta
 
+from pyspark.sql import functions as F
+
 from stewardry.operators.validate import validate
 from stewardry.sources.tables import load_rows
 from stewardry.streaming import jobs
@@ -63,6 +65,28 @@ def test_live_counts_follow_changes(spark, tmp_path):
         assert {r.status: r.applications for r in jobs.counts_now(spark, sink).collect()} == counts
 
 
+def test_live_counts_of_many_applications(spark, tmp_path, monkeypatch):
+    """No call per application: no state operator runs Python, statuses are merged on the way."""
+    from stewardry.streaming import lifecycle
+
+    monkeypatch.setattr(lifecycle, "MERGE", 2)
+    source, sink, check = (str(tmp_path / x) for x in ("in", "out", "check"))
+    schema = "id string, status string, at timestamp, tie string"
+    for nth in range(5):
+        rows = spark.range(3000 * nth, 3000 * nth + 9000).select(
+            F.concat(F.lit("a"), F.pmod(F.col("id") * 7, F.lit(11000)).cast("string")).alias("id"),
+            F.concat(F.lit("s"), F.pmod(F.col("id") * 13, F.lit(5)).cast("string")).alias("status"),
+            F.timestamp_seconds(F.pmod(F.col("id") * 31, F.lit(100000))).alias("at"), F.lpad(F.col("id").cast("string"), 9, "0").alias("tie"),
+        )
+        rows.coalesce(1).write.mode("append").parquet(source)
+        query = jobs.live_counts(jobs.status_deltas(spark.readStream.schema(schema).parquet(source)), sink, check)
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"] == []
+    newest = spark.read.parquet(source).groupBy("id").agg(F.max_by("status", F.struct("at", "tie")).alias("status"))
+    want = newest.groupBy("status").count()
+    assert {r.status: r.applications for r in jobs.counts_now(spark, sink).collect()} == {r.status: r["count"] for r in want.collect()}
+
+
 def test_stream_validation_equals_batch(spark, tmp_path, classes, templates):
     apps = load_rows(
         spark,
