@@ -112,3 +112,27 @@ def test_a_query_reads_few_folders(indexed):
     _, index = indexed
     plan = index.candidates("anvil")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(folder" in plan and "EqualTo(gram" in plan
+
+
+def test_pairs_stay_in_their_task(spark, monkeypatch):
+    """Rows and trigrams meet without a shuffle of pairs: what is shuffled is the postings."""
+    plans = []
+    written = type(spark.range(1).write).parquet
+    monkeypatch.setattr(type(spark.range(1).write), "parquet", lambda self, path, *a, **b: (plans.append(self._df), written(self, path, *a, **b))[1])
+    words = ["Ünï códe 乙醇", "𝔘𝔫𝔦 code", "aaaaaa", None, "xy", ""]
+    table = spark.createDataFrame([(str(i), words[i % 6], f"Code {i}") for i in range(1200)], "id string, name string, code string")
+    index = SearchIndex(table, ["name", "code"])
+    plan = plans[-1]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "Join" not in plan
+    held = {(r.row, r.gram) for r in index.postings.select(F.explode("ids").alias("row"), "gram").collect()}
+    texts = [(r.id, t.lower()) for r in table.collect() for t in (r.name, r.code) if t]
+    assert held == {(i, t[k : k + 3]) for i, t in texts for k in range(len(t) - 2)}
+    uses = {r.gram: r.uses for r in index.postings.groupBy("gram").agg(F.sum("uses").alias("uses")).collect()}
+    assert uses["cod"] == 1200 and uses["aaa"] == 200
+    assert index.search("códe 乙").count() == 200 == index.search("𝔘𝔫𝔦").count() and index.search("aaaa").count() == 200
+
+
+def test_invalid_bytes_and_long_texts_are_indexed(spark):
+    table = spark.sql("SELECT cast(id AS string) AS id, CASE WHEN id % 2 = 0 THEN decode(unhex('C3'), 'ISO-8859-1') ELSE repeat('long text ', 300000) END AS name, cast(unhex('C3616263') AS string) AS code FROM range(6)")
+    index = SearchIndex(table, ["name", "code"])
+    assert index.search("G TEXT LON").count() == 3 and index.search("abc").count() == 6
