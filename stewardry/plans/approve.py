@@ -48,14 +48,15 @@ def approve_batch(
         decision_action(F.col("stage"), F.col("approved")).alias("action"),
         "acted_by",
     )
-    placed = place_actions(authorised(actions, principals))
     initial = applications.select(F.col("id").alias("app_id"), "status")
-    states = materialize(replay(placed, initial))
+    placed = place_actions(authorised(actions, principals), initial, counted=actions)
+    states = materialize(replay(placed))
     effective = materialize(
         taken_actions(states)
         .select("event_id", "place")
         .join(
-            decisions.withColumn("event_id", F.col("decision_id").cast("string")), "event_id"
+            decisions.filter(F.col("approved").isNotNull()).withColumn("event_id", F.col("decision_id").cast("string")),
+            "event_id",
         )
     )
     patch = states.select(F.col("app_id").alias("id"), F.col("status").alias("_status"))
@@ -98,5 +99,5 @@ def approve_batch(
     return Decided(
         joined.select(columns),
         batch_audit(with_app_no(steps, applications), logs),
-        refused_actions(placed, states, initial),
+        refused_actions(placed, states),
     )

@@ -166,3 +166,44 @@ def test_stream_keeps_state_across_batches(spark, tmp_path):
     last = {r.app_id: r.target for r in out}
     assert len(out) == 300 and last == {a: s for a, (s, _) in want.items()}
     assert {(r.app_id, r.event_id): (r.source, "status") for r in out if not r.taken} == refused
+
+
+def test_one_shuffle_of_actions(spark, monkeypatch):
+    """Applications of one run: neither outcome nor refused actions shuffle what was placed."""
+    rnd = random.Random(3)
+    rows = [(f"a{rnd.randint(0, 90)}", i, rnd.choice(ACTIONS)) for i in range(900)]
+    actions = frame(spark, rows).withColumn("allowed", F.lit(True))
+    initial = spark.createDataFrame([(f"a{i}", "pending_admin") for i in range(0, 91)], "app_id string, status string")
+    placed = lc.place_actions(actions, initial)
+    states = lc.replay(placed)
+    refused = lc.refused_actions(placed, states)
+    for out in (states, refused):
+        assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    want, left = walk(rows, lambda app: "pending_admin")
+    assert {r.app_id: (r.status, [t.event_id for t in r.taken]) for r in states.collect()} == want
+    assert {(r.app_id, r.event_id): (r.status, r.reason) for r in refused.collect()} == left
+
+
+@pytest.mark.parametrize("bits", [12, 3])
+def test_placed_with_statuses_equals_given_later(spark, monkeypatch, bits):
+    """Unknown applications, unknown statuses, no application; in one run and in many."""
+    monkeypatch.setattr(lc, "RUN_BITS", bits)
+    rnd = random.Random(bits)
+    names = ["hot", "hot", "x", "odd", "none", "gone", None]
+    rows = [(rnd.choice(names), i, rnd.choice(ACTIONS)) for i in range(400)]
+    rows += [(None, i, None) for i in range(400, 420)]
+    actions = frame(spark, rows).withColumn("allowed", F.pmod(F.substring("event_id", 2, 9).cast("int"), F.lit(3)) > 0)
+    initial = spark.createDataFrame(
+        [("hot", "draft"), ("x", "approved"), ("odd", "strange"), ("none", None), ("idle", "draft")], "app_id string, status string"
+    )
+    later, at_once = lc.place_actions(actions), lc.place_actions(actions, initial)
+    states = [lc.replay(later, initial), lc.replay(at_once)]
+    refused = [lc.refused_actions(later, states[0], initial), lc.refused_actions(at_once, states[1])]
+    for pair in (states, refused):
+        one, two = ({str(r.asDict(True)) for r in df.collect()} for df in pair)
+        assert one == two
+    kinds = {(r.app_id, r.status) for r in states[1].collect()}
+    assert {a for a, _ in kinds} == {"hot", "x", "odd", "none"} and ("odd", None) in kinds and ("none", None) in kinds
+    out = [(r.app_id, r.status, r.reason) for r in refused[1].collect()]
+    assert {o[2] for o in out if o[0] is None} == {"no_application"} and {o[1] for o in out if o[0] == "odd"} == {"strange"}
+    assert ("gone", None, "unknown") in out and {o[1] for o in out if o[0] == "gone"} == {None}
