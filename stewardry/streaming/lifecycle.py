@@ -1,8 +1,8 @@
 """Lifecycle status per application across micro-batches.
 
 Every micro-batch is replayed like a batch, from the statuses that the batches before have
-left: actions are range-sorted and composed as status maps, so an application with most of a
-batch's rows fills many tasks. A batch writes the statuses that it changed; every MERGE
+left: actions that fill more than one run are range-sorted and composed as status maps, so an application
+with most of a batch's rows fills many tasks. A batch writes the statuses that it changed; every MERGE
 batches they are merged into one table. A repeated batch reads what came before it and
 replaces its own folders, so its outcome is the same.
 """
@@ -48,15 +48,16 @@ def replay_batch(batch: DataFrame, batch_id: int, sink: str, state: str) -> None
     """Writes a micro-batch's outcome to ``sink`` and the statuses it leaves to ``state``."""
     spark = batch.sparkSession
     with scratch_removed():
-        placed = place_actions(batch)
-        apps = placed.select("app_id").filter("app_id is not null").distinct()
-        held = _newest(held_rows(spark, state, batch_id).join(apps, "app_id", "left_semi"))
-        initial = materialize(apps.join(held, "app_id", "left").select("app_id", F.coalesce("status", F.lit("draft")).alias("status")))
-        states = materialize(replay(placed, initial))
+        rows = materialize(batch.select("app_id", "event_id", "at", "action", "allowed"))  # the state store runs once
+        apps = rows.select("app_id").filter("app_id is not null").distinct()
+        held = held_rows(spark, state, batch_id).join(apps, "app_id", "left_semi")
+        initial = apps.join(_newest(held), "app_id", "left").select("app_id", F.coalesce("status", F.lit("draft")).alias("status"))
+        placed = place_actions(rows, initial)
+        states = materialize(replay(placed))
         out = ["app_id", "event_id", "at", "action"]
         met = F.coalesce("status", F.lit("draft"))
         taken = taken_actions(states).select(*out, "source", "target", F.lit(True).alias("taken"))
-        refused = refused_actions(placed, states, initial).select(
+        refused = refused_actions(placed, states).select(
             *out, met.alias("source"), met.alias("target"), F.lit(False).alias("taken")
         )
         taken.unionByName(refused).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")

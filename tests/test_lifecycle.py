@@ -207,3 +207,14 @@ def test_placed_with_statuses_equals_given_later(spark, monkeypatch, bits):
     out = [(r.app_id, r.status, r.reason) for r in refused[1].collect()]
     assert {o[2] for o in out if o[0] is None} == {"no_application"} and {o[1] for o in out if o[0] == "odd"} == {"strange"}
     assert ("gone", None, "unknown") in out and {o[1] for o in out if o[0] == "gone"} == {None}
+
+
+def test_a_batch_is_read_once(spark, tmp_path):
+    """A micro-batch comes out of the state store; reading it again would run that again."""
+    from stewardry.streaming.lifecycle import replay_batch
+
+    read = spark.sparkContext.accumulator(0)
+    rows = frame(spark, [("a", 1, "submit"), ("b", 2, "publish"), ("a", 3, "admin_approve")]).withColumn("allowed", F.lit(True))
+    batch = spark.createDataFrame(rows.rdd.map(lambda r: (read.add(1), r)[1]), rows.schema)
+    replay_batch(batch, 0, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert read.value == 3 and spark.read.parquet(str(tmp_path / "out")).count() == 3
