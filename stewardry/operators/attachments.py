@@ -45,6 +45,20 @@ def accepted_uploads(applications: DataFrame, rows: DataFrame) -> DataFrame:
     ).withColumnRenamed("id", "attachment_id")
 
 
+def draft_uploads(applications: DataFrame, uploads: DataFrame) -> DataFrame:
+    """The uploads that go to a draft, as they come: before rows get their derived texts."""
+    drafts = applications.filter(F.col("status") == "draft").select(F.col("id").alias("application_id"))
+    return uploads.join(drafts, "application_id", "left_semi")
+
+
+def append_uploads(
+    applications: DataFrame, uploads: DataFrame, at: Column, url_prefix: str = "/api/applications"
+) -> DataFrame:
+    """:func:`append_attachments` of uploads: they are shuffled once, as they come, and only what
+    goes to a draft gets stored names and addresses, next to the draft."""
+    return append_attachments(applications, attachment_rows(draft_uploads(applications, uploads), url_prefix), at)
+
+
 def upload_sizes(applications: DataFrame, accepted: DataFrame) -> DataFrame:
     """Number and total size of each application's attachments, pre-summed before the shuffle."""
     sums = accepted.groupBy("application_id").agg(

@@ -244,3 +244,26 @@ def test_backfills(spark, classes, templates):
 def test_iso_time(spark):
     df = spark.createDataFrame([(datetime(2026, 1, 2, 3, 4, 5),), (datetime(2026, 1, 2, 3, 4, 5, 60),), (None,)], "t timestamp")
     assert [r[0] for r in df.select(iso_time(F.col("t"))).collect()] == ["2026-01-02T03:04:05", "2026-01-02T03:04:05.000060", None]
+
+
+def test_uploads_are_shuffled_before_their_texts_are_made(spark, monkeypatch):
+    rows = [{"id": f"a{i}", "status": "draft" if i % 3 else "published"} for i in range(30)]
+    apps = load_rows(spark, rows, "material_applications")
+    uploads = spark.range(200).select(
+        F.concat(F.lit("a"), F.pmod("id", F.lit(33)).cast("string")).alias("application_id"), F.concat(F.lit("f"), F.col("id").cast("string")).alias("id"),
+        F.lit("dir/plan.pdf").alias("file_name"), F.lit("").alias("content_type"), F.col("id").alias("size"), F.lit("u").alias("uploaded_by"),
+        F.lit("U").alias("uploaded_by_name"), F.timestamp_seconds(F.lit(1000) - F.col("id")).alias("uploaded_at"),
+    )
+    at = F.lit("2026-01-01").cast("timestamp")
+    want = attachments.append_attachments(apps, attachments.attachment_rows(uploads), at)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = attachments.append_uploads(apps, uploads, at)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        grouped = plan[plan.index("collect_list") : plan.index(" AS attachment#")]
+        assert "Exchange" not in grouped
+        assert {str(r) for r in got.collect()} == {str(r) for r in want.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert attachments.flat_attachments(got).count() == sum(1 for i in range(200) if i % 33 < 30 and i % 33 % 3)
