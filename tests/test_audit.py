@@ -67,3 +67,21 @@ def test_summary_and_latest(spark):
     assert (empty.step_count, empty.last_step, empty.last_executed_at) == (0, None, None)
     latest = {r.step_name: r.id for r in audit.latest_steps(table).collect()}
     assert latest == {"submit": "1", "validate": "3"}
+
+
+def test_a_logged_step_id_is_made_and_read_once(spark):
+    """The filter on what was read off may not move into the join that the step ids come from."""
+    lines = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", None)], "app string, line int")
+    apps = spark.createDataFrame([("a", "SQ-1"), ("b", "SQ-2"), ("c", "SQ-3")], "app string, app_no string")
+    old = lines.join(apps, "app").select(F.concat("app_no", F.lit("-S"), F.col("line").cast("string")).alias("step_id"))
+    steps = spark.createDataFrame([("SQ-1",), ("SQ-2",), ("SQ-3",)], "app_no string")
+    joined = steps.join(audit.logged_steps(old), "app_no", "left")
+    assert {r.app_no: r.logged for r in joined.collect()} == {"SQ-1": 2, "SQ-2": 1, "SQ-3": None}
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract(") == 1 and plan.count("concat(") == 1
+
+
+def test_logged_steps_of_odd_ids(spark):
+    ids = ["A-S1", "A-S1-S2", "A-S1-S2", "-S3", "A-S", "A-Sx", "S1", "", None, "A\n-S1", "B-S7\n"]
+    old = spark.createDataFrame([(i,) for i in ids], "step_id string")
+    assert {r.app_no: r.logged for r in audit.logged_steps(old).collect()} == {"A": 1, "A-S1": 2, "B": 1}

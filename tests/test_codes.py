@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stewardry.functions.text import pad_number
-from stewardry.operators.codes import advance_rules, application_numbers, generate_codes
+from stewardry.operators.codes import _issued_by_stem, advance_rules, application_numbers, generate_codes
 from stewardry.operators.numbering import number_within
 
 
@@ -97,3 +97,14 @@ def test_hot_key_is_spread_over_ranges(spark):
         spark.conf.set(setting, "true")
     sizes = placed.groupBy(F.shiftright("_pos", PART_BITS).alias("p")).count().collect()
     assert len(sizes) == 8 and max(r["count"] for r in sizes) < 10000
+
+
+def test_an_issued_code_is_read_once(spark):
+    codes = ["A-1", "A-12", "A-x", "-5", "B-99999999999999999999", "", None]
+    issued = spark.createDataFrame([(c,) for c in codes], "made string").select(
+        F.concat("made", F.lit("")).alias("material_code")
+    )
+    out = _issued_by_stem(issued, "material_code", "^(.+-)([0-9]+)$")
+    assert {(r.stem, r.issued, r.highest) for r in out.collect()} == {("A-", 2, 12), ("B-", 1, None)}
+    # one for the stem, one for the number
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") == 2

@@ -265,3 +265,11 @@ def test_index_built_once_serves_many_batches(spark):
 def test_normalise_strips_every_white_space(spark):
     df = spark.createDataFrame([("　\x1c A b \n",)], "t string")
     assert df.select(normalise(F.col("t"))).first()[0] == "a b"
+
+
+def test_a_candidate_name_is_stripped_once(spark):
+    cands = spark.createDataFrame([(1, " Abc "), (2, "abc"), (3, " a"), (4, None)], "id int, material_name string")
+    rows = cands.repartition(2).select(F.concat("material_name", F.lit(" ")).alias("material_name"))
+    out = dedup.candidate_names(rows)
+    assert [r.name for r in out.collect()] == ["abc"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1

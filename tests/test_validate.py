@@ -138,3 +138,13 @@ def test_repeated_keys_and_written_numbers(spark):
     item = json_values.typed(json_values.object_entries(F.col("j"))["w"])
     rows = df.select("j", json_values.is_present(item).alias("p"), json_values.value_text(item).alias("t")).collect()
     assert {r.j: (r.p, r.t) for r in rows} == cases
+
+
+def test_errors_are_picked_once(spark, classes, templates):
+    rows = load_rows(spark, [{"id": "a", "material_name": "ab"}], "material_applications").repartition(2)
+    out = validate(rows, classes, templates).select("id", "validation_result", "validation_passed")
+    row = out.first()
+    assert not row.validation_passed and not row.validation_result.passed and len(row.validation_result.errors) == 3
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    # the failed checks, of which the errors are taken
+    assert plan.count("lambdafunction(NOT ") == 1
